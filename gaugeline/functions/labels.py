@@ -36,7 +36,7 @@ def labels_map(labels: str | Column = "labels") -> Column:
 
 def sorted_pairs(labels: Column) -> Column:
     """Label pairs sorted by key."""
-    return F.array_sort(F.map_entries(labels))
+    return F.sort_array(F.map_entries(labels))
 
 
 def labels_json(labels: Column) -> Column:

@@ -113,6 +113,11 @@ def prom_float(value: str | Column) -> Column:
     )
 
 
+def is_plain_number(text: Column) -> Column:
+    """Whether a number is already in its shortest plain spelling (at most 15 digits), or ``+Inf``."""
+    return text.rlike(r"^(?:-?(?:0|[1-9][0-9]{0,7})(?:\.[0-9]{0,6}[1-9])?|\+Inf)$")
+
+
 def float_text(text: Column) -> Column:
     """Normalise the spelling of a label that holds a number: ``5.0`` to ``5``, ``1e3`` to ``1000``.
 

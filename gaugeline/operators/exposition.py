@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import float_text
+from ..functions.scalars import float_text, is_plain_number
 
 # Possessive repeats keep the matcher from recursing on long label blocks.
 _NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*+"
@@ -19,7 +19,8 @@ _QUOTED = r'"(?:[^"\\]++|\\.)*+"'
 _NUMBER = r"[+-]?(?:(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?|(?i:inf|infinity|nan))"
 SAMPLE = rf"^\s*({_NAME})\s*(?:\{{((?:[^\"}}]++|{_QUOTED})*+)\}})?\s+({_NUMBER})(?:\s+-?[0-9]++)?\s*$"
 TYPE = rf"^\s*#\s*TYPE\s+({_NAME})\s+(\w+)\s*$"
-PAIR = r'([a-zA-Z_][a-zA-Z0-9_]*+)\s*=\s*"((?:[^"\\]++|\\.)*+)"'
+# A pair starts at a brace or comma: trying every letter of the name would cost far more.
+PAIR = r'[{,]\s*([a-zA-Z_][a-zA-Z0-9_]*+)\s*=\s*"((?:[^"\\]++|\\.)*+)"'
 
 # What a type is stored as; every other type counts as a counter.
 GAUGE, COUNTER, HISTOGRAM, SUMMARY = "gauge", "counter", "histogram", "summary"
@@ -38,7 +39,7 @@ def _lines(body: Column) -> Column:
 def _types(lines: Column) -> Column:
     """Family to its TYPE lines ``(line_no, kind)`` in line order, as a map."""
     hits = F.transform(
-        F.filter(lines, lambda x: x["line"].rlike(TYPE)),
+        F.filter(lines, lambda x: x["line"].contains("TYPE") & x["line"].rlike(TYPE)),
         lambda x: F.struct(
             F.regexp_extract(x["line"], TYPE, 1).alias("family"),
             F.struct(x["line_no"].alias("line_no"), F.regexp_extract(x["line"], TYPE, 2).alias("kind")).alias("at"),
@@ -67,7 +68,7 @@ def _kind_at(types: Column, family: Column, line_no: Column) -> Column:
 
 
 def parsed_samples(body: Column) -> Column:
-    """Array of ``(line_no, line, family, kind)`` for the sample lines of a body.
+    """Array of ``(line_no, line, name, family, kind)`` for the sample lines of a body.
 
     A ``x_bucket`` line belongs to family ``x`` if that is a histogram at this point, otherwise
     the line is a family of its own. ``kind`` is null without a TYPE line.
@@ -81,17 +82,19 @@ def parsed_samples(body: Column) -> Column:
             return F.struct(
                 x["line_no"].alias("line_no"),
                 x["line"].alias("line"),
+                name.alias("name"),
                 F.when(in_histogram, base).otherwise(name).alias("family"),
                 F.when(in_histogram, F.lit(HISTOGRAM)).otherwise(_kind_at(types, name, x["line_no"])).alias("kind"),
             )
 
-        return _let(F.regexp_extract(x["line"], SAMPLE, 1), named)
+        return _let(F.regexp_extract(x["line"], _NAME, 0), named)
 
     def classified(lines: Column) -> Column:
         return _let(
             _types(lines),
             lambda types: F.transform(
-                F.filter(lines, lambda x: x["line"].rlike(SAMPLE)), lambda x: classify(types, x)
+                F.filter(lines, lambda x: ~x["line"].startswith("#") & x["line"].rlike(SAMPLE)),
+                lambda x: classify(types, x),
             ),
         )
 
@@ -102,39 +105,46 @@ def _unescape(text: Column) -> Column:
     marker = F.lit("\u0000")
     plain = F.replace(text, F.lit("\\\\"), marker)
     plain = F.replace(F.replace(plain, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
-    return F.when(F.contains(text, F.lit("\\")), F.replace(plain, marker, F.lit("\\"))).otherwise(text)
+    return F.replace(plain, marker, F.lit("\\"))
 
 
-def labels_of(line: Column) -> Column:
-    """Labels of a sample line as a map; a repeated label keeps its last value."""
-    block = F.coalesce(F.regexp_extract(line, SAMPLE, 2), F.lit(""))
-    keys = F.regexp_extract_all(block, F.lit(PAIR), F.lit(1))
-    values = F.transform(F.regexp_extract_all(block, F.lit(PAIR), F.lit(2)), _unescape)
+def with_labels(samples: DataFrame) -> DataFrame:
+    """Add ``labels`` of a valid sample ``line`` as a map; a repeated label keeps its last value.
 
-    def mapped(pairs: Column) -> Column:
-        last = F.filter(
-            pairs,
-            lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["keys"] == p["keys"]),
+    Keys and values are columns of their own first, so that the patterns run once per line.
+    """
+    found = samples.withColumns(
+        {
+            "_keys": F.regexp_extract_all("line", F.lit(PAIR), F.lit(1)),
+            "_raw": F.regexp_extract_all("line", F.lit(PAIR), F.lit(2)),
+        }
+    )
+    values = F.when(F.contains("line", F.lit("\\")), F.transform("_raw", _unescape)).otherwise(F.col("_raw"))
+
+    def last_of_each(pairs: Column) -> Column:
+        return F.filter(
+            pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["keys"] == p["keys"])
         )
-        return F.map_from_entries(last)
 
-    return _let(F.arrays_zip(keys.alias("keys"), values.alias("values")), mapped)
+    repeated = _let(F.arrays_zip(F.col("_keys").alias("keys"), values.alias("values")), last_of_each)
+    unique = F.size(F.array_distinct("_keys")) == F.size("_keys")
+    labels = F.when(unique, F.map_from_arrays("_keys", values)).otherwise(F.map_from_entries(repeated))
+    return found.withColumn("labels", labels).drop("_keys", "_raw")
 
 
 def value_of(line: Column) -> Column:
-    return F.regexp_extract(line, SAMPLE, 3).try_cast("double")
+    """Value of a valid sample line: the first word after the labels, or after the name."""
+    rest = F.when(line.contains("}"), F.substring_index(line, "}", -1)).otherwise(F.regexp_replace(line, r"^\s*\S+", ""))
+    return F.regexp_extract(rest, r"\S+", 0).try_cast("double")
 
 
 def parse_exposition(payloads: DataFrame) -> DataFrame:
     """One row per sample line: the payload columns, ``line_no, family, kind, name, labels, value``."""
     others = [c for c in payloads.columns if c != "body"]
-    found = payloads.select(*others, F.inline(parsed_samples(F.col("body").cast("string"))))
-    return found.select(
-        *others, "line_no", "family", "kind",
-        F.regexp_extract("line", SAMPLE, 1).alias("name"),
-        labels_of(F.col("line")).alias("labels"),
-        value_of(F.col("line")).alias("value"),
-    )
+    # The outer form: Spark would put a filter on the array below the plain one, and parse twice.
+    found = payloads.select(*others, F.inline_outer(parsed_samples(F.col("body").cast("string"))))
+    rows = with_labels(found.filter(F.col("line_no").isNotNull()))
+    return rows.select(*others, "line_no", "family", "kind", "name", "labels", value_of(F.col("line")).alias("value"))
 
 
 def metric_type(kind: str | Column = "kind") -> Column:
@@ -144,8 +154,10 @@ def metric_type(kind: str | Column = "kind") -> Column:
 
 
 def _normalised(samples: DataFrame, key: str, applies: Column) -> DataFrame:
+    # Most spellings are short already; only the others have their map rebuilt.
+    rebuild = applies & ~is_plain_number(F.col("labels")[key])
     number = F.transform_values("labels", lambda k, v: F.when(k == key, float_text(v)).otherwise(v))
-    return samples.withColumn("labels", F.when(applies, number).otherwise(F.col("labels")))
+    return samples.withColumn("labels", F.when(rebuild, number).otherwise(F.col("labels")))
 
 
 def decompose_histograms(samples: DataFrame) -> DataFrame:

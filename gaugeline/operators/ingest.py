@@ -10,7 +10,7 @@ from ..functions.labels import PROMOTED, labels_json
 from ..session import small_side
 from ..sources.payloads import MAX_BODY_BYTES, classify_payloads
 from .exposition import (
-    decompose_histograms, decompose_summaries, inject_target, labels_of, metric_type, parsed_samples, value_of, SAMPLE,
+    decompose_histograms, decompose_summaries, inject_target, metric_type, parsed_samples, value_of, with_labels,
 )
 
 # Samples kept per scrape, names reserved for the collector itself, and the
@@ -107,14 +107,9 @@ def samples_from(stage: DataFrame, config: IngestConfig = IngestConfig()) -> Dat
     """
     rows = stage.filter(F.col("status") == "ok").select(
         "scrape_id", "target", F.col("scrape_ts").alias("ts"), "seq",
-        F.inline(F.slice("accepted", 1, config.max_samples)),
-    )
-    named = rows.select(
-        "scrape_id", "target", "ts", "seq", "line_no", "family", "kind",
-        F.regexp_extract("line", SAMPLE, 1).alias("name"),
-        labels_of(F.col("line")).alias("labels"),
-        value_of(F.col("line")).alias("value"),
+        F.inline_outer(F.slice("accepted", 1, config.max_samples)),
     )
+    named = with_labels(rows.filter(F.col("line_no").isNotNull())).withColumn("value", value_of(F.col("line")))
     typed = decompose_summaries(decompose_histograms(named))
     labelled = typed.withColumn("labels", inject_target(F.col("labels"), F.col("target")))
     return labelled.select(

@@ -15,7 +15,7 @@ def arrival_order(ts_us: str | Column = "ts_us", seq: str | Column = "seq") -> C
     fixed-width buffer in place, while a struct buffer makes it sort every input row first.
     """
     ts, arrival = (F.col(c) if isinstance(c, str) else c for c in (ts_us, seq))
-    wide = ts.cast("decimal(19,0)") * F.lit(_SPAN).cast("decimal(20,0)") + arrival.cast("decimal(19,0)")
+    wide = ts.cast("decimal(19,0)") * F.lit(str(_SPAN)).cast("decimal(20,0)") + arrival.cast("decimal(19,0)")
     return wide.cast("decimal(38,0)")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointed, small_side
+from ..session import broadcast_if, checkpointed, size_columns
 
 # A fine bin spans a factor of e**(2**-30), so at most 2**22 different doubles fall into it.
 _FINE = 2.0**30
@@ -53,6 +53,13 @@ def _holding(counts: DataFrame, keys: Sequence[str], by: str, probabilities: Seq
     return ranked.filter(wanted)
 
 
+def _held(bins: DataFrame) -> tuple[DataFrame, int]:
+    """The chosen bins, computed and ready to join, and the count of the fullest."""
+    held = checkpointed(bins)
+    rows, size, fullest = held.agg(*size_columns(held), F.max("_c")).first()
+    return broadcast_if(held.drop("_c"), rows, size), fullest or 0
+
+
 def exact_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
@@ -76,14 +83,13 @@ def exact_quantiles(
     bins = _holding(sized, keys, "_bin", wanted).select(
         *keys, F.col("_bin").alias("_part"), "_n", F.col("_from").alias("_below"), "_c"
     )
-    bins = checkpointed(bins)
-    fullest = bins.agg(F.max("_c")).first()[0] or 0
+    bins, fullest = _held(bins)
 
     inner = coarse
     if fullest > direct_rows:
-        near = coarse.join(small_side(bins.drop("_c")), [*keys, "_part"])
+        near = coarse.join(bins, [*keys, "_part"])
         finer = near.groupBy(*keys, "_part", "_n", "_below", "_fine").agg(F.count(F.lit(1)).alias("_c"))
-        bins = checkpointed(
+        bins, _ = _held(
             _holding(finer, keys, "_fine", wanted).select(
                 *keys, F.col("_fine").alias("_part"), "_n", F.col("_from").alias("_below"), "_c"
             )
@@ -91,7 +97,7 @@ def exact_quantiles(
         inner = base.withColumnRenamed("_fine", "_part")
 
     values = (
-        inner.join(small_side(bins.drop("_c")), [*keys, "_part"])
+        inner.join(bins, [*keys, "_part"])
         .groupBy(*keys, "_part", "_n", "_below", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )

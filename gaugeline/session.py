@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Largest dimension that may be broadcast, and the bytes it may take as JSON text.
 BROADCAST_ROWS = 1_000_000
@@ -54,15 +54,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only once the measured size of ``df`` allows it.
+def size_columns(df: DataFrame) -> list[Column]:
+    """Aggregates for the rows of a table and their bytes as JSON text."""
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes"),
+    ]
 
-    The rows are checkpointed first, so measuring does not compute them twice. A side that
-    turns out too large is returned without a hint and joined by shuffle.
+
+def broadcast_if(df: DataFrame, rows: int, size: int) -> DataFrame:
+    """Hint a broadcast if the measured size allows it; a larger side is left to a shuffle join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Measure a join side and hint a broadcast only if it is small.
+
+    The rows are checkpointed first, so measuring does not compute them twice.
     """
     held = checkpointed(df)
-    rows, size = held.agg(
-        F.count(F.lit(1)),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*held.columns)))), F.lit(0)),
-    ).first()
-    return F.broadcast(held) if rows <= max_rows and size <= max_bytes else held
+    rows, size = held.agg(*size_columns(held)).first()
+    return broadcast_if(held, rows, size)
