@@ -128,7 +128,8 @@ def float_text(text: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     digits = F.length(F.regexp_replace(F.regexp_replace(text, r"[eE].*$", ""), r"[^0-9]", ""))
     return (
-        F.when(number.isNull(), text)
+        F.when(text.rlike(r"^(?:0|[1-9][0-9]{0,7})\.[0-9]{1,7}$"), F.regexp_replace(text, r"\.?0+$", ""))
+        .when(number.isNull(), text)
         .when(F.isnan(number), "NaN")
         .when(number == F.lit(_INF), "+Inf")
         .when(number == F.lit(-_INF), "-Inf")

@@ -33,7 +33,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _lines(body: Column) -> Column:
-    return F.transform(F.split(body, "\r?\n"), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
+    """Numbered lines. A carriage return stays on its line, where the patterns take it as space."""
+    return F.transform(F.split(body, "\n"), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
 
 
 def _types(lines: Column) -> Column:
@@ -63,41 +64,47 @@ def _types(lines: Column) -> Column:
 
 def _kind_at(types: Column, family: Column, line_no: Column) -> Column:
     """Kind the last TYPE line of a family above a line gives, or null."""
-    above = F.filter(F.coalesce(types[family], F.array()), lambda t: t["line_no"] < line_no)
+    above = F.filter(types[family], lambda t: t["line_no"] < line_no)
     return F.when(F.size(above) > 0, F.element_at(above, -1)["kind"])
 
 
-def parsed_samples(body: Column) -> Column:
+def parsed_samples(body: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
     """Array of ``(line_no, line, name, family, kind)`` for the sample lines of a body.
 
     A ``x_bucket`` line belongs to family ``x`` if that is a histogram at this point, otherwise
-    the line is a family of its own. ``kind`` is null without a TYPE line.
+    the line is a family of its own. ``kind`` is null without a TYPE line. ``wanted`` drops lines
+    by their start before any pattern is tried on them.
     """
 
-    def classify(types: Column, x: Column) -> Column:
-        def named(name: Column) -> Column:
-            base = F.regexp_replace(name, "_bucket$", "")
-            of_base = F.when(name.endswith("_bucket"), _kind_at(types, base, x["line_no"]))
-            in_histogram = F.coalesce(of_base == HISTOGRAM, F.lit(False))
-            return F.struct(
-                x["line_no"].alias("line_no"),
-                x["line"].alias("line"),
-                name.alias("name"),
-                F.when(in_histogram, base).otherwise(name).alias("family"),
-                F.when(in_histogram, F.lit(HISTOGRAM)).otherwise(_kind_at(types, name, x["line_no"])).alias("kind"),
-            )
+    def is_sample(x: Column) -> Column:
+        plausible = ~x["line"].startswith("#")
+        if wanted is not None:
+            plausible = plausible & wanted(F.ltrim(x["line"]))
+        return plausible & x["line"].rlike(SAMPLE)
 
-        return _let(F.regexp_extract(x["line"], _NAME, 0), named)
+    def named(x: Column) -> Column:
+        name = F.regexp_extract(x["line"], _NAME, 0)
+        return F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), name.alias("name"))
 
-    def classified(lines: Column) -> Column:
-        return _let(
-            _types(lines),
-            lambda types: F.transform(
-                F.filter(lines, lambda x: ~x["line"].startswith("#") & x["line"].rlike(SAMPLE)),
-                lambda x: classify(types, x),
-            ),
+    def base(name: Column) -> Column:
+        return F.substring(name, F.lit(1), F.length(name) - len("_bucket"))
+
+    def classify(types: Column, x: Column) -> Column:
+        own = _kind_at(types, x["name"], x["line_no"]).alias("own")
+        of_base = F.when(x["name"].endswith("_bucket"), _kind_at(types, base(x["name"]), x["line_no"]))
+        return F.struct(*[x[c].alias(c) for c in ("line_no", "line", "name")], own, (of_base == HISTOGRAM).alias("part"))
+
+    def settle(x: Column) -> Column:
+        return F.struct(
+            *[x[c].alias(c) for c in ("line_no", "line", "name")],
+            F.when(x["part"], base(x["name"])).otherwise(x["name"]).alias("family"),
+            F.when(x["part"], F.lit(HISTOGRAM)).otherwise(x["own"]).alias("kind"),
         )
 
+    def classified(lines: Column) -> Column:
+        found = F.transform(F.filter(lines, is_sample), named)
+        return _let(_types(lines), lambda types: F.transform(F.transform(found, lambda x: classify(types, x)), settle))
+
     return _let(_lines(body), classified)
 
 

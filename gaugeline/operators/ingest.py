@@ -92,7 +92,11 @@ def staged(payloads: DataFrame, targets: DataFrame, config: IngestConfig = Inges
     """
     allow = targets.select(F.col("name").alias("target"), default_allow(F.col("allow"), config).alias("allow"))
     rows = classify_payloads(payloads, config.max_body_bytes).join(small_side(allow), "target", "inner")
-    found = parsed_samples(F.when(F.col("status") == "ok", F.col("body").cast("string")))
+    # An accepted family starts with a prefix, so its lines do too: the others are not looked at.
+    found = parsed_samples(
+        F.when(F.col("status") == "ok", F.col("body").cast("string")),
+        lambda line: F.exists("allow", lambda p: line.startswith(p)),
+    )
     accepted = F.filter(
         found,
         lambda s: ~denied(s["family"], config) & F.exists("allow", lambda p: s["family"].startswith(p)),
