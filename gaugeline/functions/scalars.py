@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from ..session import require_utc
 
@@ -87,7 +87,7 @@ def step_value(step: float | int | str) -> float:
     return seconds
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _shortest(values: pd.Series) -> pd.Series:
     text = [None if pd.isna(v) else np.format_float_positional(v, unique=True, trim="-") for v in values]
     return pd.Series(text, dtype=object)
