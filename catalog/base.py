@@ -254,6 +254,18 @@ class Inputs:
                 self.table(table).createOrReplaceTempView(table)
         return self.spark.sql(VIEWS[name])
 
+    @property
+    def payloads(self) -> DataFrame:
+        """Landed scrapes. The test table is one small file, which one task would read and parse alone.
+
+        With fewer files than cores its (narrow) rows are spread before the bodies are written out.
+        """
+        events, cores = self.table("events"), self.spark.sparkContext.defaultParallelism
+        if len(events.inputFiles()) < cores:
+            events = events.repartition(cores, "event_id")
+        events.createOrReplaceTempView("events")
+        return self.spark.sql(VIEWS["scrape_payloads"])
+
     @property
     def metrics(self) -> DataFrame:
         return self.view("metrics_all")

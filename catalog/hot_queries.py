@@ -7,11 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gaugeline.functions import predicates as P
+from gaugeline.functions.labels import label, series_key
 from gaugeline.functions.scalars import epoch_micros, micros
 from gaugeline.operators import rangequery as R, ring
 from gaugeline.operators.series import counter_diffs, first_last_delta
 from gaugeline.plans import hot
 from gaugeline.sources import sinks
+from gaugeline.sources.metrics import union_by_name
 
 from .base import Inputs, query, rounded
 
@@ -60,8 +62,6 @@ def _(c: Inputs):
 
 @query("series_group", "SELECT concat(name, labels) AS series_key, count(*) AS n FROM hot_samples GROUP BY 1")
 def _(c: Inputs):
-    from gaugeline.functions.labels import series_key
-
     return c.hot.groupBy(series_key(c.hot).alias("series_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -141,8 +141,6 @@ def _(c: Inputs):
     SELECT json_extract_string(labels, '$.scrape_target') AS target, seq // 8 AS seq, count(*) AS n FROM hot_samples GROUP BY 1, 2))
 GROUP BY 1 HAVING sum(greatest(s - 5000, 0) - greatest(s - n - 5000, 0)) > 0""")
 def _(c: Inputs):
-    from gaugeline.functions.labels import label
-
     pushes = c.hot.groupBy(label("scrape_target").alias("target"), F.expr("seq div 8").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
     return ring.eviction_counts(pushes, 5000)
 
@@ -235,16 +233,18 @@ def _(c: Inputs):
     return rounded(rounded(out, "avg_ms"), "peak_per_sec", "error_rate", digits=9)
 
 
-@query("hot_dashboard")
+@query("hot_dashboard", f"""SELECT 'throughput' AS report, count(*) AS n, sum(reqs) AS total FROM hot_throughput_rows
+UNION ALL SELECT 'errors', count(*), sum(c4xx + c5xx) FROM hot_error_rows
+UNION ALL SELECT 'names', count(DISTINCT name), NULL FROM hot_samples
+UNION ALL SELECT 'visitors', count(*), sum(visitors) FROM ({_VISITORS})
+UNION ALL SELECT 'summary', 1, total FROM ({_SUMMARY})""")
 def _(c: Inputs):
-    d = hot.dashboard(c.hot, "7d", c.as_of)
+    d = hot.dashboard(c.hot, "7d", c.as_of, max_points=10**9)
     totals = {"throughput": "reqs", "errors": "c4xx + c5xx", "names": "CAST(NULL AS DOUBLE)", "visitors": "visitors", "summary": "total"}
     parts = [
         d[k].agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(e)).cast("double").alias("total")).select(F.lit(k).alias("report"), "n", "total")
         for k, e in totals.items()
     ]
-    from gaugeline.sources.metrics import union_by_name
-
     return union_by_name(parts)
 
 

@@ -17,7 +17,7 @@ _SAMPLE_COLUMNS = ["scrape_id", "target", "ts", "name", "metric_type", "value",
 
 
 def _parsed(c: Inputs):
-    return X.parse_exposition(c.view("scrape_payloads"))
+    return X.parse_exposition(c.payloads)
 
 
 def _with_target(df):
@@ -25,12 +25,12 @@ def _with_target(df):
 
 
 def _stage(c: Inputs, config=_CONFIG):
-    return I.staged(c.view("scrape_payloads"), c.targets(), config)
+    return I.staged(c.payloads, c.targets(), config)
 
 
 @query("scrape_payload_source", "SELECT scrape_id, fetch_reason, CASE WHEN fetch_reason IS NULL THEN 'ok' ELSE 'fetch_error' END AS status FROM payload_status")
 def _(c: Inputs):
-    return classify_payloads(c.view("scrape_payloads"), 2000).select("scrape_id", "fetch_reason", "status")
+    return classify_payloads(c.payloads, 2000).select("scrape_id", "fetch_reason", "status")
 
 
 @query("exposition_parse", "SELECT scrape_id, line_no, name, value FROM expected_lines")
@@ -127,7 +127,7 @@ def _(c: Inputs):
 FROM ({_INGESTED.format(cap=5000)}) GROUP BY 1, 2, 3, 4""")
 def _(c: Inputs):
     config = I.IngestConfig(max_body_bytes=2000)
-    rows = I.ingest(c.view("scrape_payloads"), c.targets(), config)[0]
+    rows = I.ingest(c.payloads, c.targets(), config)[0]
     return rows.groupBy("path", "status", "scrape_target", "region").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ import time
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeline.functions import predicates as P
+from gaugeline.functions.scalars import finite_or_null
 from gaugeline.operators import ingest as I
 from gaugeline.plans import cold
 from gaugeline.session import work_dir
@@ -43,20 +44,33 @@ def _(c: Inputs):
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cold_manifest", "SELECT unnest(['metrics_cold_20240101.parquet', 'metrics_cold_20240201.parquet', 'metrics_cold_20240301.parquet']) AS name")
+def _with_rows(c: Inputs, exports: DataFrame) -> DataFrame:
+    """The listed exports and how many rows each holds."""
+    paths = [row["path"] for row in exports.select("path").collect()]
+    rows = M.read_metrics(c.spark, paths).select(F.regexp_extract("_metadata.file_path", "/(metrics_cold_[^/]*)/", 1).alias("name"))
+    return exports.select("name").join(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name")
+
+
+_MANIFEST = """SELECT CASE name WHEN 'http_requests_total' THEN 'metrics_cold_20240101.parquet'
+  WHEN 'http_request_duration_ms' THEN 'metrics_cold_20240201.parquet' ELSE 'metrics_cold_20240301.parquet' END AS name, count(*) AS n
+FROM metrics_all GROUP BY 1"""
+
+
+@query("cold_manifest", _MANIFEST)
 def _(c: Inputs):
-    return M.list_exports(c.spark, _exports(c)).select("name")
+    return _with_rows(c, M.list_exports(c.spark, _exports(c)))
 
 
-@query("newest_export", "SELECT 'metrics_cold_20240301.parquet' AS name")
+@query("newest_export", f"SELECT * FROM ({_MANIFEST}) ORDER BY name DESC LIMIT 1")
 def _(c: Inputs):
-    return M.newest_export(c.spark, _exports(c)).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    newest = M.newest_export(c.spark, _exports(c)).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return _with_rows(c, newest)
 
 
-@query("expired_exports", "SELECT unnest(['metrics_cold_20240101.parquet', 'metrics_cold_20240201.parquet', 'metrics_cold_20240301.parquet']) AS name")
+@query("expired_exports", _MANIFEST)
 def _(c: Inputs):
     later = dt.datetime.fromtimestamp(time.time(), dt.timezone.utc).replace(tzinfo=None, microsecond=0) + dt.timedelta(days=33)
-    return retention.expired_exports(c.spark, _exports(c), later).select("name")
+    return _with_rows(c, retention.expired_exports(c.spark, _exports(c), later))
 
 
 @query("unexpired_rows", "SELECT name, ts, value FROM metrics_all WHERE ts >= (SELECT t FROM as_of) - INTERVAL 20 DAY")
@@ -99,15 +113,11 @@ def _landed(c: Inputs, rows: DataFrame, label: str, replay: bool = False) -> tup
     return base, f"{base}/in/*"
 
 
-def _payloads(c: Inputs) -> DataFrame:
-    return c.view("scrape_payloads")
-
-
 @query("stream_ingest", """SELECT l.scrape_id, l.target, l.name, l.value, l.labels, l.line_no
 FROM accepted_lines l JOIN payload_status s USING (scrape_id) WHERE s.fetch_reason IS NULL AND rank <= 8""")
 def _(c: Inputs):
-    base, path = _landed(c, _payloads(c), "ingest")
-    source = S.read_files(c.spark, path, _payloads(c))
+    base, path = _landed(c, c.payloads, "ingest")
+    source = S.read_files(c.spark, path, c.payloads)
     S.stream_ingest(source, c.targets(), f"{base}/out", f"{base}/checkpoint", _CONFIG).awaitTermination()
     return c.spark.read.parquet(f"{base}/out/samples").select("scrape_id", "target", "name", "value", "labels", "line_no")
 
@@ -159,8 +169,6 @@ def _(c: Inputs):
 @query("stream_latest_series", """SELECT concat(name, labels) AS series_key, CASE WHEN isfinite(value) THEN value END AS value, ts_us FROM (
   SELECT name, labels, arg_max(value, seq) AS value, max(epoch_us(ts)) AS ts_us FROM hot_samples GROUP BY 1, 2)""")
 def _(c: Inputs):
-    from gaugeline.functions.scalars import finite_or_null
-
     base, path = _landed(c, c.keyed, "latest")
     S.stream_latest_series(S.read_files(c.spark, path, c.keyed), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return S.latest_series(c.spark, f"{base}/out").withColumn("value", finite_or_null("value"))
@@ -168,7 +176,7 @@ def _(c: Inputs):
 
 @query("stream_dedupe_payloads", "SELECT scrape_id, target FROM scrape_payloads")
 def _(c: Inputs):
-    base, path = _landed(c, _payloads(c), "dedupe", replay=True)
-    unique = S.dedupe_payloads(S.read_files(c.spark, path, _payloads(c)), "20 days")
+    base, path = _landed(c, c.payloads, "dedupe", replay=True)
+    unique = S.dedupe_payloads(S.read_files(c.spark, path, c.payloads), "20 days")
     S.write_stream(unique, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return c.spark.read.parquet(f"{base}/out").select("scrape_id", "target")

@@ -15,25 +15,46 @@ from ..functions.scalars import clamp_zero, finite_or_null
 from .latest import arrival_order
 
 DAY_US = 86_400_000_000
+# Rows one window task may see of a series.
+CHUNK_ROWS = 1_000_000
+MEASURED = "measured"
 
 
 def chunk_of(order: str, width: int) -> Column:
     return F.call_function("div", F.col(order) - F.pmod(F.col(order), F.lit(width)), F.lit(width).cast("bigint"))
 
 
+def chunk_width(points: DataFrame, keys: Sequence[str], limit: int = CHUNK_ROWS) -> int:
+    """Widest chunk, a day at most, that holds no more than ``limit`` rows of any series.
+
+    Counts rows per series and chunk with partial aggregation and narrows the chunk until the
+    fullest fits; usually one pass. Only rows of one microsecond cannot be parted.
+    """
+    width = DAY_US
+    while True:
+        counts = points.groupBy(*keys, chunk_of("ts_us", width)).agg(F.count(F.lit(1)).alias("c"))
+        fullest = counts.agg(F.max("c")).first()[0] or 0
+        if fullest <= limit or width == 1:
+            return width
+        width = max(1, min(width // 2, width * limit // fullest))
+
+
 def counter_diffs(
     points: DataFrame,
     keys: Sequence[str] = ("series_key",),
     value: str = "value",
     seq: str | None = None,
-    chunk_us: int | None = DAY_US,
+    chunk_us: int | str | None = MEASURED,
 ) -> DataFrame:
     """Consecutive difference per series at the later point; a fall counts as 0.
 
     No row is emitted where either neighbour is missing or not finite. ``points`` needs ``ts_us``
-    and, if timestamps repeat within a series, an arrival number ``seq``. ``chunk_us=None`` uses
-    one window per series, for input already bounded by a validated range query.
+    and, if timestamps repeat within a series, an arrival number ``seq``. Chunks are measured
+    unless a width is given; ``chunk_us=None`` uses one window per series, for input already
+    bounded by a validated range query.
     """
+    if chunk_us == MEASURED:
+        chunk_us = chunk_width(points, keys)
     order = ["ts_us", *([seq] if seq else [])]
     rows = points.withColumn("_v", finite_or_null(value)).withColumn("_own", F.lit(1))
     parts = list(keys)

@@ -192,10 +192,10 @@ def dashboard_points(
 
 
 def dashboard(
-    samples: DataFrame, range_key: str, as_of: dt.datetime, target: str | None = ""
+    samples: DataFrame, range_key: str, as_of: dt.datetime, target: str | None = "", max_points: int = MAX_POINTS
 ) -> dict[str, DataFrame]:
     """All reports of one refresh over a single scan of the window."""
-    points, plan = dashboard_points(samples, plan_window(samples, range_key, as_of), target)
+    points, plan = dashboard_points(samples, plan_window(samples, range_key, as_of), target, max_points)
     rows, errors = throughput(points), error_distribution(points)
     return {
         "throughput": rows,

@@ -19,7 +19,7 @@ from ..operators.health import STATUSES, failure_streak, outcome_rollup
 from ..operators.ingest import IngestConfig, outcomes_from, samples_from, staged
 from ..operators.latest import arrival_order, latest
 from ..operators.ring import keep_newest
-from ..operators.series import DAY_US, counter_diffs
+from ..operators.series import MEASURED, counter_diffs
 from ..session import checkpointed, small_side
 
 
@@ -83,7 +83,7 @@ def stream_throughput(metrics: DataFrame, out: str, checkpoint: str, width: str
 
 
 def stream_counter_diffs(
-    samples: DataFrame, out: str, state: str, checkpoint: str, chunk_us: int | None = DAY_US
+    samples: DataFrame, out: str, state: str, checkpoint: str, chunk_us: int | str | None = MEASURED
 ) -> StreamingQuery:
     """Counter differences across batches.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import epoch_micros
 from gaugeline.operators import quantiles, rangequery as R, ring
-from gaugeline.operators.series import counter_diffs, first_last_delta, running_total
+from gaugeline.operators.series import DAY_US, MEASURED, chunk_width, counter_diffs, first_last_delta, running_total
 
 BASE = dt.datetime(2024, 1, 1)
 BASE_US = epoch_micros(BASE)
@@ -33,7 +33,7 @@ def plain_diffs(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [None, 1000, 7, 10**9])
+@pytest.mark.parametrize("chunk", [None, 1000, 7, 10**9, MEASURED])
 def test_diffs_do_not_depend_on_chunks(spark, chunk):
     rng = random.Random(5)
     # One hot series, gaps longer than a chunk, repeated timestamps, resets and missing values.
@@ -52,6 +52,15 @@ def test_a_gap_is_not_bridged_and_a_restart_counts_zero(spark):
     assert [(r["ts_us"], r["diff"]) for r in out] == [(1, 4.0), (4, 0.0), (5, 2.0)]
 
 
+def test_chunks_narrow_until_the_fullest_fits(spark):
+    # Half of the day's rows lie in its first second.
+    rows = [("a", i, i, 1.0) for i in range(500)] + [("a", 1_000_000 + i * 10**8, i, 1.0) for i in range(500)]
+    df = points(spark, rows)
+    width = chunk_width(df, ["series_key"], limit=100)
+    assert width <= 100 and chunk_width(df, ["series_key"]) == DAY_US
+    assert chunk_width(points(spark, [("a", 5, i, 1.0) for i in range(9)]), ["series_key"], limit=3) == 1
+
+
 @pytest.mark.parametrize("width", [1, 3, 1000])
 def test_running_total(spark, width):
     rng = random.Random(1)
