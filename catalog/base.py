@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeline.functions.labels import labels_json, labels_map
 from gaugeline.session import prepare
 
 TABLES = ("events", "orders", "customer", "supplier", "nation", "region")
@@ -276,8 +275,8 @@ class Inputs:
 
     @property
     def keyed(self) -> DataFrame:
-        """Recent samples the way ingest stores them, with their identity as a column."""
-        return self.hot.withColumn("labels", labels_json(labels_map())).withColumn("series_key", F.concat("name", "labels"))
+        """Recent samples the way ingest stores them: labels in order, and their identity as a column."""
+        return self.hot.withColumn("series_key", F.concat("name", "labels"))
 
     def targets(self, name: str = "config_targets") -> DataFrame:
         return self.view(name).withColumn("allow", F.split("allow_csv", ",")).drop("allow_csv")

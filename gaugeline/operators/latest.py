@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.labels import labels_json, labels_map
 
 # Above twice the BIGINT range, so that the timestamp always decides before the arrival number.
 _SPAN = 20_000_000_000_000_000_000
@@ -27,3 +31,26 @@ def latest(value: str | Column, order: Column, skip_null: bool = False) -> Colum
 
 def earliest(value: str | Column, order: Column) -> Column:
     return F.min_by(value, order)
+
+
+def latest_by_labels(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Newest ``value`` and its ``ts_us`` per keys and canonical ``labels``.
+
+    Rows need ``labels, ts_us, seq, value``. Text that ingest did not write (no ``series_key``
+    column) may spell the same labels in several ways. It is first grouped as it stands, and only
+    the few rows left are brought into canonical form and grouped again: putting every sample's
+    JSON in order would cost far more than the second, small shuffle.
+    """
+    is_map = dict(rows.dtypes)["labels"].startswith("map")
+    text = F.coalesce(labels_json(F.col("labels")), F.lit("{}")) if is_map else F.col("labels")
+
+    def newest(of: DataFrame) -> DataFrame:
+        return of.groupBy(*keys, "labels").agg(
+            F.max_by("value", "_order").alias("value"), F.max("ts_us").alias("ts_us"), F.max("_order").alias("_order")
+        )
+
+    first = newest(rows.select(*keys, text.alias("labels"), "ts_us", "value", arrival_order().alias("_order")))
+    if is_map or "series_key" in rows.columns:
+        return first.drop("_order")
+    canonical = F.coalesce(labels_json(labels_map()), F.lit("{}"))
+    return newest(first.withColumn("labels", canonical)).drop("_order")

@@ -10,10 +10,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import predicates as P
-from ..functions.labels import labels_json, labels_map
 from ..functions.scalars import epoch_micros, micros, step_value
 from ..session import checkpointed
-from .latest import arrival_order, latest
+from .latest import latest_by_labels
 
 # Query limits.
 MAX_POINTS = 10_000
@@ -77,15 +76,6 @@ def step_bucket(us: Column, start_us: int, step_us: int | Column) -> Column:
     return F.call_function("div", us - F.lit(start_us).cast("bigint"), width.cast("bigint"))
 
 
-def _labels_text(samples: DataFrame) -> Column:
-    kind = dict(samples.dtypes)["labels"]
-    if kind.startswith("map"):
-        return F.coalesce(labels_json(F.col("labels")), F.lit("{}"))
-    if "series_key" in samples.columns:
-        return F.col("labels")
-    return F.coalesce(labels_json(labels_map()), F.lit("{}"))
-
-
 def within(samples: DataFrame, start_us: int, end_us: int) -> DataFrame:
     """Samples of a closed time range; the bounds reach the scan."""
     first, last = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=u) for u in (start_us, end_us))
@@ -98,14 +88,10 @@ def latest_per_bucket(samples: DataFrame, start_us: int, step_us: int | Column)
     A single shuffle on (series, bucket) after partial aggregation: a hot series sends one row
     per bucket and task, not its samples.
     """
-    rows = samples.select(
-        "name", _labels_text(samples).alias("labels"), micros("ts").alias("ts_us"), "seq", "value"
-    ).withColumn("bucket", step_bucket(F.col("ts_us"), start_us, step_us))
-    return (
-        rows.groupBy("name", "labels", "bucket")
-        .agg(latest("value", arrival_order()).alias("value"), F.max("ts_us").alias("ts_us"))
-        .select(F.concat("name", "labels").alias("series_key"), "name", "labels", "bucket", "ts_us", "value")
-    )
+    timed = samples.withColumn("ts_us", micros("ts"))
+    bucketed = timed.withColumn("bucket", step_bucket(F.col("ts_us"), start_us, step_us))
+    newest = latest_by_labels(bucketed, ["name", "bucket"])
+    return newest.select(F.concat("name", "labels").alias("series_key"), "name", "labels", "bucket", "ts_us", "value")
 
 
 def query_range(samples: DataFrame, query: RangeQuery, max_points: int | None = None) -> DataFrame:

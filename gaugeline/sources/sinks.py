@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.labels import labels_json, labels_map, series_key, sorted_pairs
+from ..functions.labels import labels_json, labels_map, sorted_pairs
 from ..functions.scalars import micros, prom_float
-from ..operators.latest import arrival_order, latest
+from ..operators.latest import latest_by_labels
 
 # Fixed value: the warning a partial answer carries.
 CLAMPED = "start predates the in-memory buffer; answer covers buffered data only"
@@ -56,13 +56,7 @@ def response_json(points: DataFrame, clamped: bool = False, max_series: int = 10
 
 def prom_text(samples: DataFrame) -> DataFrame:
     """Latest value of every series as one exposition line, ready for ``write.text``."""
-    kind = dict(samples.dtypes)["labels"]
-    labels = F.col("labels") if kind.startswith("map") else labels_map()
-    rows = samples.select(
-        "name", labels_json(labels).alias("labels"), series_key(samples).alias("series_key"), "value",
-        arrival_order(micros("ts")).alias("_order"),
-    )
-    newest = rows.groupBy("series_key", "name", "labels").agg(latest("value", F.col("_order")).alias("value"))
+    newest = latest_by_labels(samples.withColumn("ts_us", micros("ts")), ["name"])
 
     def escaped(text):
         for raw, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
