@@ -26,7 +26,8 @@ class IngestConfig:
 
     ``own_namespaces`` are prefixes of the metrics an instrumented app's own engine exports, such
     as ``engine`` for ``engine_*``: they are accepted by default, except ``<namespace>_dropped_total``,
-    which means nothing once added up over several apps.
+    which means nothing once added up over several apps. ``drop_counter_namespaces`` names the
+    namespaces whose drop counter is denied, if those are not all of them.
     """
 
     max_samples: int = MAX_SAMPLES
