@@ -1 +1,153 @@
-def judge(d): raise NotImplementedError
+"""Quality rules with robust multivariate outliers, in DataFrame functions alone.
+
+Five transformed statistics describe a text. Per language and source, a minimum-covariance-determinant estimate of
+their centre and scatter is found by concentration steps: from a robust start, the half (``SUPPORT``) of the group
+nearest to the present centre gives the next one. A text whose squared Mahalanobis distance from its group's final
+estimate exceeds a quantile of the chi-squared distribution is rejected.
+
+Ranks within a group are read off a histogram of distances, whose size has a bound, so no group is ever sorted or
+gathered; the nearest part is all rows up to the bin that reaches its rank. Sums are in whole numbers, so results do not
+depend on the order of rows.
+
+Defined cases: a null or blank text has no words and fails the base rules; rows that fail those take no part in the
+estimates; null languages and sources are groups of their own; groups of a handful of rows lean on the least deviations
+below and keep what is near; repeated rows are judged each; an empty table gives no rows. Other columns are not read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from gaugeline.llm.common import SPACE, stored
+from gaugeline.session import small_side
+
+LEAST_WORDS, REPEATED_PERCENT = 50, 50
+#: Share of a group that the estimate rests on, concentration steps, bins of a doubling of the distance.
+SUPPORT, STEPS, FINE = 0.75, 5, 32
+#: The 0.9999 quantile of chi-squared with five degrees of freedom, and the factor that makes up for the scatter of the
+#: nearest three quarters of a normal sample.
+CUTOFF, CONSISTENCY = 25.745, 1.412
+#: Least deviation of each statistic: log words, log word length, log symbols, log repeated lines, log repeated words.
+STATISTICS = {"x0": 0.5, "x1": 0.06, "x2": 0.5, "x3": 1.0, "x4": 1.0}
+NAMES, SIZE = list(STATISTICS), len(STATISTICS)
+PAIRS = [(i, j) for i in range(SIZE) for j in range(i + 1)]
+#: Parts of a least deviation that statistics are rounded to, and bins of one in the start's histograms.
+PARTS, COARSE = 1024, 8
+
+
+def let(value: Column, use) -> Column:
+    """Bind a value once and use it in an expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def repeated_words(words: str) -> Column:
+    """Words inside three-word windows that occur twice or more.
+
+    Windows are hashed and sorted with their places; equal neighbours repeat, and their places are put together.
+    """
+    w = F.col(words)
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+
+    def covered(s: Column) -> Column:
+        equal = lambda e, k: F.coalesce(F.get(s, k)["h"] == e["h"], F.lit(False))
+        twice = F.filter(s, lambda e, k: equal(e, k - 1) | equal(e, k + 1))
+        places = F.array_sort(F.transform(twice, lambda e: e["i"]))
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+        step = lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + 3 - F.greatest(F.lit(0), a["end"] - p)).alias("n"))
+        return F.aggregate(places, start, step, lambda a: a["n"])
+
+    return F.when(F.size(w) >= 3, let(F.array_sort(windows), covered)).otherwise(F.lit(0).cast("long"))
+
+
+def base_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = F.col("text")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
+    rows = rows.select(
+        "doc_id", "lang", "source", F.filter(F.split(t, SPACE, -1), lambda x: x != "").alias("words"),
+        F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+    )
+    rows = rows.select("doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words("words").alias("n_repeat_words"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
+    return rows.withColumn("base_failed", failed)
+
+
+def transformed() -> dict[str, Column]:
+    """The statistics of a row, in parts of their least deviation."""
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    share = lambda c: F.log1p(100 * F.col(c) / n)
+    values = (F.log1p("n_words"), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), share("n_symbols"), share("n_dup_lines"), share("n_repeat_words"))
+    return {k: F.round(v / d * PARTS).cast("long") for (k, d), v in zip(STATISTICS.items(), values, strict=True)}
+
+
+def start(rows: DataFrame) -> DataFrame:
+    """Per group: medians, and quartile distances as deviations, off histograms of whole bins."""
+    width = PARTS // COARSE
+    longer = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(x) / width) for x in NAMES])).alias("k", "bin"))
+    bins = longer.groupBy("g", "k", "bin").agg(F.count(F.lit(1)).alias("n"))
+    up = Window.partitionBy("g", "k").orderBy("bin")
+    ranked = bins.select("g", "k", "bin", F.sum("n").over(up).alias("to"), F.sum("n").over(Window.partitionBy("g", "k")).alias("all"))
+    at = lambda q: F.min(F.when(F.col("to") >= F.col("all") * q, F.col("bin")))
+    marks = ranked.groupBy("g", "k").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
+    middle, spread = (F.col("mid") + 0.5) / COARSE, (F.col("high") - F.col("low")) / COARSE / 1.349
+    pick = lambda k, value: F.max(F.when(F.col("k") == k, value))
+    wide = marks.groupBy("g").agg(*[pick(k, middle).alias(f"m{k}") for k in range(SIZE)], *[pick(k, spread * spread).alias(f"c{k}{k}") for k in range(SIZE)])
+    return factored(wide.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j}))
+
+
+def factored(estimates: DataFrame) -> DataFrame:
+    """Per group: the centre and the Cholesky factor of the scatter, to whose diagonal the least deviations are added."""
+    parts: dict[tuple[int, int], str] = {}
+    for i, j in PAIRS:
+        rest = F.col(f"c{i}{j}") + (1.0 if i == j else 0.0)
+        for k in range(j):
+            rest = rest - F.col(parts[i, k]) * F.col(parts[j, k])
+        parts[i, j] = f"l{i}{j}"
+        estimates = estimates.withColumn(parts[i, j], F.sqrt(rest) if i == j else rest / F.col(parts[j, j]))
+    return estimates.select("g", *[f"m{i}" for i in range(SIZE)], *parts.values())
+
+
+def distance(rows: DataFrame) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance, by forward substitution."""
+    for i in range(SIZE):
+        rest = F.col(NAMES[i]) / PARTS - F.col(f"m{i}")
+        for k in range(i):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
+        rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
+    return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(SIZE)), F.lit(0.0)))
+
+
+def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One step: the estimates from each group's nearest rows. Sums are kept by bin of the distance, so one pass does."""
+    near = distance(rows.join(small_side(estimates), "g"))
+    bin_of = F.floor(FINE * F.log2(F.greatest(F.least(F.col("d2"), F.lit(2.0**20)), F.lit(2.0**-20))))
+    whole = lambda c: F.sum(c.cast("decimal(20,0)")).cast("decimal(38,0)")
+    bins = near.withColumn("bin", bin_of).groupBy("g", "bin").agg(
+        F.count(F.lit(1)).alias("n"), *[whole(F.col(x)).alias(f"s{i}") for i, x in enumerate(NAMES)],
+        *[whole(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i, j in PAIRS],
+    )
+    group = Window.partitionBy("g")
+    ranked = bins.withColumn("before", F.sum("n").over(group.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(group))
+    held = ranked.where(F.col("before") < F.col("all") * SUPPORT).groupBy("g").agg(*[F.sum(c).cast("double").alias(c) for c in bins.columns[2:]])
+    held = held.select("g", "n", *[(F.col(f"s{i}") / F.col("n") / PARTS).alias(f"m{i}") for i in range(SIZE)], *[f"p{i}{j}" for i, j in PAIRS])
+    scatter = {f"c{i}{j}": (F.col(f"p{i}{j}") / F.col("n") / PARTS**2 - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY for i, j in PAIRS}
+    return factored(held.withColumns(scatter))
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row per document: the base statistics, base_failed, distance (squared; null if failed) and kept."""
+    group = F.to_json(F.struct("lang", "source"))
+    rows = stored(base_statistics(docs, doc_id, text, lang, source).withColumns(transformed()).withColumn("g", group), "rules")
+    sound = rows.where(~F.col("base_failed")).select("g", *NAMES)
+    estimates = start(sound)
+    for _ in range(STEPS):
+        estimates = concentrated(sound, estimates)
+    judged = distance(rows.join(small_side(estimates), "g", "left"))
+    far = F.when(~F.col("base_failed"), F.col("d2"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & (F.col("d2") <= CUTOFF)).alias("kept"), far.alias("distance"),
+    )
