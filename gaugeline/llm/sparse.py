@@ -1 +1,149 @@
-def judge(d): raise NotImplementedError
+"""Repeated passages by a sparse suffix array.
+
+Of all suffixes of all texts, only those at content-selected positions are kept: the places of the least hash among
+every 25 runs of words. Any passage of 50 words holds such a place in its first half, the same one wherever the passage
+stands, so suffixes that start there agree in their head of 26 words. Kept suffixes are sorted by head and neighbours
+compared; heads of a single document go. What is left is sorted by its surroundings, 24 words to the left and 50 to the
+right: where neighbours agree in them, the whole stretch is repeated. Only where equal heads have different surroundings
+is the match extended word by word: all passages that this place selects are cut out, sorted and compared likewise.
+
+So the result is exact: a word is covered if it lies in 50 consecutive words that another document has too (equal
+64-bit hashes count as equal words).
+
+Defined cases: words are what lies between ASCII white space, as written; null and shorter texts hold no passage; rows
+of equal doc_id and text are one document, so they are no repetition of each other, and give one result; null ids are
+carried; documents that merely share an id are different documents; an empty table gives no rows. Other columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from gaugeline.llm.common import raw, row_key, stored
+from gaugeline.llm.runs import shared_runs
+
+BASE = 0x9E37_79B9_7F4A_7C15
+MIX = 0xBF58_476D_1CE4_E5B9
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), base, np.uint64)]).cumprod(dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed scramble of 64-bit numbers."""
+    x = (x ^ x >> np.uint64(31)) * np.uint64(MIX)
+    return x ^ x >> np.uint64(29)
+
+
+class Words:
+    """Hashes of any run of words of a text, modulo 2^64."""
+
+    def __init__(self, text: bytes):
+        digest = xxhash.xxh64_intdigest
+        hashes = np.array([digest(w) for w in text.split()], np.uint64)
+        self.n = len(hashes)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), (hashes * powers(BASE, self.n)).cumsum(dtype=np.uint64)])
+        self.back = powers(pow(BASE, -1, 1 << 64), self.n + 1)
+
+    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.back[start])
+
+
+def selected(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that passages of ``least`` words select, and the heads that stand there."""
+    spread = least // 2
+    head = least - spread + 1
+    if words.n < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(words.n - head + 1)
+    heads = words.runs(at, at + head)
+    views = np.lib.stride_tricks.sliding_window_view(heads, spread)
+    chosen = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    return chosen, heads[chosen]
+
+
+def suffixes(docs: DataFrame, least: int) -> DataFrame:
+    """(head, around, owner, doc_id, place, start, end) of the kept suffixes; start and end bound their surroundings."""
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for owner, doc, text in zip(batch["owner"], batch["doc_id"], batch["text"], strict=True):
+                words = Words(text)
+                place, heads = selected(words, least)
+                if not len(place):
+                    continue
+                start, end = np.maximum(0, place - least // 2 + 1), np.minimum(words.n, place + least)
+                shape = mixed(((place - start) * 1024 + (end - place)).astype(np.uint64) + np.uint64(1))
+                around = mixed(words.runs(start, end) ^ shape)
+                parts.append(pd.DataFrame({
+                    "head": heads.view(np.int64), "around": around.view(np.int64), "owner": owner, "doc_id": pd.array([doc] * len(place), "Int64"),
+                    "place": place.astype(np.int32), "start": start.astype(np.int32), "end": end.astype(np.int32),
+                }))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    return docs.mapInPandas(kept, "head long, around long, owner long, doc_id long, place int, start int, end int")
+
+
+def passages(docs: DataFrame, least: int) -> DataFrame:
+    """(passage, owner, doc_id, start): the passages that the given places of each document select."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for owner, doc, text, places in zip(batch["owner"], batch["doc_id"], batch["text"], batch["places"], strict=True):
+                words = Words(text)
+                start = np.unique((np.array(places, np.int64)[:, None] - np.arange(least // 2)).ravel())
+                start = start[(start >= 0) & (start <= words.n - least)]
+                parts.append(pd.DataFrame({
+                    "passage": words.runs(start, start + least).view(np.int64), "owner": owner,
+                    "doc_id": pd.array([doc] * len(start), "Int64"), "start": start.astype(np.int32),
+                }))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    return docs.mapInPandas(cut, "passage long, owner long, doc_id long, start int")
+
+
+def merged_spans(spans):
+    """Spans (start, end) joined where they touch or overlap.
+
+    Starts and ends are sorted on their own; a stretch ends where the next start lies beyond the end of the same rank.
+    """
+    def joined(pair):
+        starts, ends = pair["starts"], pair["ends"]
+        breaks = F.filter(F.sequence(F.lit(0), F.size(starts) - 1), lambda i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) > F.get(ends, i)))
+        return F.transform(breaks, lambda i, k: F.struct(
+            F.get(starts, F.when(k == 0, F.lit(0)).otherwise(F.get(breaks, k - 1) + 1)).alias("start"), F.get(ends, i).alias("end"),
+        ))
+
+    both = F.struct(F.array_sort(F.transform(spans, lambda s: s["start"])).alias("starts"), F.array_sort(F.transform(spans, lambda s: s["end"])).alias("ends"))
+    return F.element_at(F.transform(F.array(both), joined), 1)
+
+
+def repeated_passages(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, start, end, n_words: stretches of words that lie in passages of ``least`` words other documents have too.
+
+    Documents without such a stretch have no row.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw(text).alias("text")).withColumn("owner", row_key("doc_id", "text"))
+    kept = stored(suffixes(rows, least), "suffixes")
+    candidates = stored(shared_runs(kept, "head", "owner"), "candidates")
+    around = shared_runs(candidates, "around", "owner", alone=True)
+    whole, differing = around.where(F.col("shared") & (F.col("end") - F.col("start") >= least)), around.where("NOT shared")
+    # One of each kind of repeated surroundings stands for all, where others of its head differ.
+    unlike = differing.select("head").distinct()
+    first = whole.join(unlike, "head", "left_semi").groupBy("around").agg(F.min(F.struct("owner", "place")).alias("f")).select("f.owner", "f.place")
+    places = differing.select("owner", "place").unionByName(first).groupBy("owner").agg(F.collect_set("place").alias("places"))
+    extended = stored(passages(rows.join(places, "owner"), least), "passages")
+    found = shared_runs(extended, "passage", "owner").select("owner", "doc_id", "start", (F.col("start") + least).alias("end"))
+    spans = whole.select("owner", "doc_id", "start", "end").unionByName(found)
+    joined = spans.groupBy("owner", "doc_id").agg(merged_spans(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return joined.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", (F.col("s.end") - F.col("s.start")).cast("long").alias("n_words"))
