@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeline.llm.common import raw
+from gaugeline.llm.common import raw, stored
 
 #: Bytes of benchmark text that are searched for at once.
 BLOCK_BYTES = 8 << 20
+#: Blocks that are searched for before the rows are written out.
+CHAINED = 8
 #: 0-9, a-z and everything beyond ASCII make words; A-Z become a-z; the rest separates.
 _FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -79,7 +81,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYT
     """The benchmark's items in blocks of about the given size."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), raw(text).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = -(-size // limit)
+    number = max(1, -(-size // limit))
     for k in range(number):
         part = items if number == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(number)) == k)
         yield [(r["item"], bytes(r["text"])) for r in part.collect()]
@@ -107,13 +109,15 @@ def scan(sent: Broadcast, window: int):
     return search
 
 
-def found(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = 13, limit: int = BLOCK_BYTES) -> Column:
-    """A column of ``docs``: n_words, spans of hit words (start, end, start, end ...) and the items that occur."""
-    context = docs.sparkSession.sparkContext
-    out = F.lit(None).cast("struct<n_words:long, spans:array<long>, items:array<string>>")
-    for block in [*blocks(benchmark, item_id, "text", limit)] or [[]]:
-        out = scan(context.broadcast(block), window)(raw(text), out)
-    return out
+def searched(rows: DataFrame, benchmark: DataFrame, item_id: str = "item_id", window: int = 13, limit: int = BLOCK_BYTES) -> DataFrame:
+    """Rows with a column ``text``, plus ``found``: n_words, spans of hit words (start, end, start, end ...) and the items that occur."""
+    context = rows.sparkSession.sparkContext
+    rows = rows.withColumn("found", F.lit(None).cast("struct<n_words:long, spans:array<long>, items:array<string>>"))
+    for k, block in enumerate(blocks(benchmark, item_id, "text", limit)):
+        if k and k % CHAINED == 0:
+            rows = stored(rows, "decontamination")
+        rows = rows.withColumn("found", scan(context.broadcast(block), window)(raw("text"), F.col("found")))
+    return rows
 
 
 def hit_words(spans: Column) -> Column:
@@ -129,17 +133,16 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = 13) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if text != "text":
-        benchmark = benchmark.select(F.col(item_id), F.col(text).alias("text"))
-    rows = rows.select("doc_id", found(rows, benchmark, item_id=item_id, window=window).alias("f"))
-    rows = rows.select("doc_id", "f.n_words", hit_words(F.col("f.spans")).alias("n_hit"), F.size("f.items").cast("long").alias("n_items"), "f.items", "f.spans")
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    f = F.col("found")
+    rows = searched(rows, items, window=window).select(
+        "doc_id", f["n_words"].alias("n_words"), hit_words(f["spans"]).alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), f["items"].alias("items"), f["spans"].alias("spans"),
+    )
     return rows.withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = 13) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs[text].alias("text"))
-    rows = rows.select("doc", found(rows, benchmark.select(item_id, benchmark[text].alias("text")), item_id=item_id, window=window).alias("f"))
-    rows = rows.select("doc", hit_words(F.col("f.spans")).alias("n_hit"), F.col("f.n_words").alias("n_words"))
-    return rows.where(~is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text"))
+    rows = searched(rows, benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].alias("text")), window=window)
+    return rows.where(~is_contaminated(hit_words(F.col("found.spans")), F.col("found.n_words"))).select("doc.*")

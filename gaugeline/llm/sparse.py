@@ -138,10 +138,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, doc_id: str = "doc_id",
     candidates = stored(shared_runs(kept, "head", "owner"), "candidates")
     around = shared_runs(candidates, "around", "owner", alone=True)
     whole, differing = around.where(F.col("shared") & (F.col("end") - F.col("start") >= least)), around.where("NOT shared")
-    # One of each kind of repeated surroundings stands for all, where others of its head differ.
+    # Two owners of each kind of repeated surroundings stand for all, where others of its head differ.
     unlike = differing.select("head").distinct()
-    first = whole.join(unlike, "head", "left_semi").groupBy("around").agg(F.min(F.struct("owner", "place")).alias("f")).select("f.owner", "f.place")
-    places = differing.select("owner", "place").unionByName(first).groupBy("owner").agg(F.collect_set("place").alias("places"))
+    one = F.struct("owner", "place")
+    stands = whole.join(unlike, "head", "left_semi").groupBy("around").agg(F.array(F.min(one), F.max(one)).alias("two")).select(F.inline("two"))
+    places = differing.select("owner", "place").unionByName(stands).groupBy("owner").agg(F.collect_set("place").alias("places"))
     extended = stored(passages(rows.join(places, "owner"), least), "passages")
     found = shared_runs(extended, "passage", "owner").select("owner", "doc_id", "start", (F.col("start") + least).alias("end"))
     spans = whole.select("owner", "doc_id", "start", "end").unionByName(found)
