@@ -130,8 +130,8 @@ ORACLE_VIEWS = {
     "as_of": "SELECT date_trunc('second', max(ts)) + INTERVAL 1 SECOND AS t FROM events",
     "hot_plan": """
 SELECT start_us, end_us, CAST(greatest(15, ceil((end_us - start_us) / 240000000.0)) AS BIGINT) AS step FROM (
-  SELECT greatest(epoch_us((SELECT t FROM as_of)) - 604800000000, epoch_us(arg_min(ts, seq)) // 1000000 * 1000000) AS start_us,
-    epoch_us(arg_max(ts, seq)) // 1000000 * 1000000 AS end_us FROM hot_samples)""",
+  SELECT greatest(epoch_us((SELECT t FROM as_of)) - 604800000000, epoch_us(arg_min(ts, seq))) AS start_us,
+    epoch_us(arg_max(ts, seq)) AS end_us FROM hot_samples)""",
     "hot_points": _HOT_POINTS,
     "hot_diffs": """
 SELECT name, labels, ts_us, greatest(0, v - pv) AS diff FROM (
@@ -145,14 +145,15 @@ SELECT ts_us AS bucket_us, reqs, CASE WHEN c > 0 THEN s / c END AS avg_ms FROM (
     coalesce(sum(diff) FILTER (WHERE name = 'http_request_duration_ms_count'), 0) AS c
   FROM hot_diffs WHERE name IN ('http_requests_total', 'http_request_duration_ms_sum', 'http_request_duration_ms_count')
   GROUP BY 1)""",
-    "hot_error_rows": """
+    "hot_error_rows": "SELECT * FROM hot_error_all ORDER BY c4xx + c5xx DESC, path LIMIT 20",
+    "hot_error_all": """
 SELECT path, c4xx, c5xx, total FROM (
   SELECT path, sum(CASE WHEN status LIKE '4%' THEN d ELSE 0 END) AS c4xx,
     sum(CASE WHEN status LIKE '5%' THEN d ELSE 0 END) AS c5xx, sum(d) AS total FROM (
     SELECT coalesce(nullif(json_extract_string(labels, '$.path'), ''), '(unknown)') AS path,
       json_extract_string(labels, '$.status') AS status, greatest(0, arg_max(value, ts_us) - arg_min(value, ts_us)) AS d
     FROM hot_points WHERE name = 'http_requests_total' AND isfinite(value) GROUP BY labels) GROUP BY 1)
-WHERE c4xx + c5xx > 0 ORDER BY c4xx + c5xx DESC, path LIMIT 20""",
+WHERE c4xx + c5xx > 0""",
     # What ingest must produce, written from the numbers and not by parsing.
     "expected_lines": """
 SELECT scrape_id, target, scrape_ts, seq, http_status, body, line_no, family, kind, name,
@@ -192,13 +193,22 @@ SELECT id, arg_max(op = 'enable', seq) FILTER (WHERE op <> 'remove') AS enabled,
   coalesce(max(seq) FILTER (WHERE op = 'remove'), -1) > coalesce(max(seq) FILTER (WHERE op <> 'remove'), -1) AS removed
 FROM override_log GROUP BY 1""",
     "registry": """
+SELECT id, name, url, allow_csv, mode, origin, enabled FROM (
+  SELECT *, row_number() OVER (PARTITION BY origin, trim(url) ORDER BY id) AS nth_url FROM (
+    SELECT *, row_number() OVER (PARTITION BY origin, trim(name) ORDER BY id) AS nth_name FROM listed
+    WHERE origin = 'config' OR trim(name) NOT IN (SELECT trim(name) FROM listed WHERE origin = 'config')
+      AND trim(url) NOT IN (SELECT trim(url) FROM listed WHERE origin = 'config'))
+  WHERE origin = 'config' OR nth_name = 1)
+WHERE origin = 'config' OR nth_url = 1""",
+    "listed": """
 SELECT c.id, c.name, c.url, c.allow_csv, c.mode, 'config' AS origin, coalesce(o.enabled, c.enabled) AS enabled
 FROM config_targets c LEFT JOIN overrides o USING (id) WHERE NOT coalesce(o.removed, false)
 UNION ALL SELECT id, name, url, allow_csv, mode, 'dynamic', enabled FROM dynamic_targets""",
     "status_rows": """
 SELECT t.name AS target, t.mode, t.enabled, a.last_status, a.last_ts, coalesce(a.last_samples, 0) AS last_samples,
   coalesce(a.last_duration_ms, 0) AS last_duration_ms, coalesce(a.streak, 0) AS consecutive_failures,
-  coalesce(a.ok, 0) AS ok, coalesce(a.fetch_error, 0) AS fetch_error, coalesce(a.parse_error, 0) AS parse_error
+  coalesce(a.ok, 0) AS ok, coalesce(a.fetch_error, 0) AS fetch_error, coalesce(a.parse_error, 0) AS parse_error,
+  CAST(0 AS BIGINT) AS other
 FROM config_targets t LEFT JOIN (
   SELECT o.target, arg_max(status, attempt_seq) AS last_status, arg_max(ts, attempt_seq) AS last_ts,
     arg_max(samples, attempt_seq) AS last_samples, arg_max(duration_ms, attempt_seq) AS last_duration_ms,

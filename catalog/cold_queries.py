@@ -39,7 +39,7 @@ _SUMMARY = f"""SELECT total, round(weighted / weight, 6) AS avg_ms, peak / 86400
   round(CASE WHEN total > 0 THEN errs / total ELSE 0 END, 9) AS error_rate, errs AS error_count FROM (
   SELECT CAST(sum(reqs) AS DOUBLE) AS total, sum(avg_ms * reqs) AS weighted,
     sum(CASE WHEN avg_ms IS NOT NULL THEN reqs END) AS weight, CAST(max(reqs) AS DOUBLE) AS peak,
-    (SELECT CAST(sum(c4xx + c5xx) AS DOUBLE) FROM ({_TOP})) AS errs
+    (SELECT CAST(sum(c4xx + c5xx) AS DOUBLE) FROM ({_ERRORS})) AS errs
   FROM ({_THROUGHPUT}))"""
 
 
@@ -140,7 +140,7 @@ def _(c: Inputs):
 @query("cold_summary", _SUMMARY)
 def _(c: Inputs):
     t = cold.throughput_latency(c.metrics, "all", c.as_of)
-    out = cold.summary(t, cold.error_distribution(c.metrics, "all", c.as_of), P.range_bucket_seconds("all"))
+    out = cold.summary(t, cold.error_counts(c.metrics, "all", c.as_of), P.range_bucket_seconds("all"))
     return out.withColumns({"avg_ms": F.round("avg_ms", 6), "error_rate": F.round("error_rate", 9)})
 
 
@@ -384,19 +384,19 @@ def _(c: Inputs):
 
 
 @query("math", """SELECT event_id, CAST(floor(value) AS BIGINT) AS fl, CAST(ceil(value) AS BIGINT) AS ce, round(value, 1) AS ro,
-  round(sin(extract(epoch FROM date_trunc('hour', ts)) / 86400.0 * 6.283), 6) AS si FROM events""")
+  round(cos(extract(epoch FROM date_trunc('minute', ts)) / 7000.0), 6) AS co, round(ln(value + 1), 6) AS lo FROM events""")
 def _(c: Inputs):
-    hour = F.unix_seconds(F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    minute = F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp")))
     return c.table("events").select(
         "event_id", F.floor("value").alias("fl"), F.ceil("value").alias("ce"), F.round("value", 1).alias("ro"),
-        F.round(F.sin(hour / 86400.0 * 6.283), 6).alias("si"),
+        F.round(F.cos(minute / 7000.0), 6).alias("co"), F.round(F.ln(F.col("value") + 1), 6).alias("lo"),
     )
 
 
-@query("array_index", "SELECT event_id, (['/', '/orders', '/users', '/search'])[1 + event_id % 4] AS path FROM events")
+@query("array_index", "SELECT event_id, (['north', 'east', 'south', 'west', 'centre'])[1 + event_id % 5] AS side FROM events")
 def _(c: Inputs):
-    paths = F.array(*[F.lit(p) for p in ("/", "/orders", "/users", "/search")])
-    return c.table("events").select("event_id", F.element_at(paths, (F.col("event_id") % 4 + 1).cast("int")).alias("path"))
+    sides = F.array(*[F.lit(p) for p in ("north", "east", "south", "west", "centre")])
+    return c.table("events").select("event_id", F.element_at(sides, (F.col("event_id") % 5 + 1).cast("int")).alias("side"))
 
 
 # Chart shapes.

@@ -34,7 +34,7 @@ def _args(c: Inputs, name: str, step="15m", matchers=None) -> R.RangeQuery:
 
 
 def _points(c: Inputs):
-    return hot.dashboard_points(c.hot, hot.plan_window(c.hot, "7d", c.as_of), max_points=10**9)[0]
+    return hot.dashboard_points(c.hot, hot.plan_window(c.hot, "7d", c.as_of))
 
 
 @query("query_range", _bucketed("h.name = 'http_requests_total'",
@@ -91,7 +91,10 @@ def _(c: Inputs):
         refused, points = False, None
     except R.TooManyPoints as over:
         refused, points = True, over.points
-    return c.table("events").limit(1).select(F.lit(refused).alias("refused"), F.lit(points).cast("bigint").alias("points"))
+    n = F.count(F.lit(1))
+    counted = R.query_range(c.hot, _args(c, "http_requests_total")).agg(n.alias("all"))
+    told = F.lit(points).cast("bigint")
+    return counted.select((F.lit(refused) & (F.col("all") > 100)).alias("refused"), F.when(F.col("all") == told, told).alias("points"))
 
 
 @query("coverage_warning", "SELECT (SELECT epoch_us(arg_min(ts, seq)) FROM hot_samples) > epoch_us(t) - 3456000000000 AS clamped FROM as_of")
@@ -99,7 +102,23 @@ def _(c: Inputs):
     return R.coverage_warning(c.hot, epoch_micros(c.as_of) - 40 * 86_400_000_000)
 
 
-@query("query_range_adaptive")
+# The step is widened while the answer is too large: what each attempt counts decides the next one.
+_ADAPTIVE = f"""SELECT series_key, bucket, ts_us, value, step_us FROM (
+  SELECT concat(h.name, h.labels) AS series_key, (epoch_us(h.ts) - r.start_us) // t.step_us AS bucket, epoch_us(h.ts) AS ts_us, h.value, t.step_us,
+    row_number() OVER (PARTITION BY h.name, h.labels, (epoch_us(h.ts) - r.start_us) // t.step_us ORDER BY h.ts DESC, h.seq DESC) AS rn
+  FROM hot_samples h, ({_RANGE}) r, (
+    WITH RECURSIVE held AS (
+      SELECT concat(name, labels) AS k, epoch_us(ts) - start_us AS d FROM hot_samples, ({_RANGE})
+      WHERE name = 'http_requests_total' AND epoch_us(ts) BETWEEN start_us AND end_us),
+    tries(step, attempt, n) AS (
+      SELECT CAST(60 AS BIGINT), 0, (SELECT count(*) FROM (SELECT DISTINCT k, d // 60000000 FROM held))
+      UNION ALL SELECT wider, attempt + 1, (SELECT count(*) FROM (SELECT DISTINCT k, d // (wider * 1000000) FROM held)) FROM (
+        SELECT greatest(step + 1, CAST(ceil(step * n * CAST(1.05 AS DOUBLE) / 1500) AS BIGINT)) AS wider, attempt FROM tries WHERE n > 1500 AND attempt < 8))
+    SELECT step * 1000000 AS step_us FROM tries WHERE n <= 1500) t
+  WHERE h.name = 'http_requests_total' AND epoch_us(h.ts) BETWEEN r.start_us AND r.end_us) WHERE rn = 1"""
+
+
+@query("query_range_adaptive", _ADAPTIVE)
 def _(c: Inputs):
     points, used = R.query_range_adaptive(c.hot, _args(c, "http_requests_total", 60), max_points=1500, retries=8)
     return points.select("series_key", "bucket", "ts_us", "value", F.lit(used.step_us).alias("step_us"))
@@ -159,8 +178,8 @@ def _(c: Inputs):
 @query("first_last_delta", """SELECT concat(name, labels) AS series_key, greatest(0, arg_max(value, seq) - arg_min(value, seq)) AS delta
 FROM hot_samples WHERE isfinite(value) GROUP BY 1""")
 def _(c: Inputs):
-    rows = c.keyed.select("series_key", micros("ts").alias("ts_us"), "value")
-    return first_last_delta(rows).select("series_key", "delta")
+    rows = c.keyed.select("series_key", micros("ts").alias("ts_us"), "seq", "value")
+    return first_last_delta(rows, seq="seq").select("series_key", "delta")
 
 
 @query("companion_merge", """SELECT ts_us AS bucket_us, coalesce(sum(diff) FILTER (WHERE name = 'http_requests_total'), 0) AS reqs,
@@ -223,13 +242,14 @@ def _(c: Inputs):
 _SUMMARY = """SELECT total, round(weighted / weight, 6) AS avg_ms, peak / step AS peak_per_sec,
   CASE WHEN total > 0 THEN errs / total ELSE 0 END AS error_rate, errs AS error_count FROM (
   SELECT sum(reqs) AS total, sum(avg_ms * reqs) AS weighted, sum(CASE WHEN avg_ms IS NOT NULL THEN reqs END) AS weight,
-    max(reqs) AS peak, (SELECT sum(c4xx + c5xx) FROM hot_error_rows) AS errs FROM hot_throughput_rows), hot_plan"""
+    max(reqs) AS peak, (SELECT sum(c4xx + c5xx) FROM hot_error_all) AS errs FROM hot_throughput_rows), hot_plan"""
 
 
 @query("hot_summary", f"SELECT total, avg_ms, round(peak_per_sec, 9) AS peak_per_sec, round(error_rate, 9) AS error_rate, error_count FROM ({_SUMMARY})")
 def _(c: Inputs):
-    points, plan = hot.dashboard_points(c.hot, hot.plan_window(c.hot, "7d", c.as_of), max_points=10**9)
-    out = hot.summary(hot.throughput(points), hot.error_distribution(points), plan.step)
+    plan = hot.plan_window(c.hot, "7d", c.as_of)
+    points = hot.dashboard_points(c.hot, plan)
+    out = hot.summary(hot.throughput(points), hot.error_counts(points), plan.step)
     return rounded(rounded(out, "avg_ms"), "peak_per_sec", "error_rate", digits=9)
 
 
@@ -239,7 +259,7 @@ UNION ALL SELECT 'names', count(DISTINCT name), NULL FROM hot_samples
 UNION ALL SELECT 'visitors', count(*), sum(visitors) FROM ({_VISITORS})
 UNION ALL SELECT 'summary', 1, total FROM ({_SUMMARY})""")
 def _(c: Inputs):
-    d = hot.dashboard(c.hot, "7d", c.as_of, max_points=10**9)
+    d = hot.dashboard(c.hot, "7d", c.as_of)
     totals = {"throughput": "reqs", "errors": "c4xx + c5xx", "names": "CAST(NULL AS DOUBLE)", "visitors": "visitors", "summary": "total"}
     parts = [
         d[k].agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(e)).cast("double").alias("total")).select(F.lit(k).alias("report"), "n", "total")
@@ -248,6 +268,41 @@ def _(c: Inputs):
     return union_by_name(parts)
 
 
+def _span_plan(seconds: int) -> str:
+    return f"""SELECT greatest(epoch_us((SELECT t FROM as_of)) - {seconds}000000, epoch_us(arg_min(ts, seq))) AS start_us, epoch_us(arg_max(ts, seq)) AS end_us
+  FROM hot_samples"""
+
+
+def _span_points(seconds: int, where: str) -> str:
+    """Points of a shorter window, optionally narrowed by a label."""
+    return f"""SELECT name, labels, ts_us, value FROM (
+  SELECT h.*, epoch_us(h.ts) AS ts_us, row_number() OVER (PARTITION BY h.name, h.labels, (epoch_us(h.ts) - p.start_us) // (p.step * 1000000)
+    ORDER BY h.ts DESC, h.seq DESC) AS rn
+  FROM hot_samples h, (SELECT *, CAST(greatest(15, ceil(greatest(0, end_us - start_us) / 240000000.0)) AS BIGINT) AS step FROM ({_span_plan(seconds)})) p
+  WHERE epoch_us(h.ts) BETWEEN p.start_us AND p.end_us AND {where}) WHERE rn = 1"""
+
+
+def _window_report(name: str, key: str, seconds: int, target: str, where: str) -> None:
+    @query(name, f"""SELECT ts_us AS bucket_us, coalesce(sum(diff) FILTER (WHERE name = 'http_requests_total'), 0) AS reqs FROM (
+  SELECT name, ts_us, greatest(0, v - lag(v) OVER (PARTITION BY name, labels ORDER BY ts_us)) AS diff FROM (
+    SELECT *, CASE WHEN isfinite(value) THEN value END AS v FROM ({_span_points(seconds, where)})
+    WHERE name LIKE 'http%') QUALIFY v IS NOT NULL AND lag(v) OVER (PARTITION BY name, labels ORDER BY ts_us) IS NOT NULL) GROUP BY 1""")
+    def _(c: Inputs):
+        points = hot.dashboard_points(c.hot, hot.plan_window(c.hot, key, c.as_of), target)
+        return hot.throughput(points).select("bucket_us", "reqs")
+
+
+_window_report("hot_throughput_1h", "1h", 3600, "", "true")
+_window_report("hot_throughput_24h_target", "24h", 86_400, "app3", "json_extract_string(h.labels, '$.scrape_target') = 'app3'")
+
+
+@query("hot_custom_matched", f"""SELECT ts_us AS bucket_us, round(avg(value), 6) AS v, count(*) AS n FROM (
+  {_span_points(86_400, "h.name = 'http_requests_total' AND json_extract_string(h.labels, '$.status') = '500'")})
+WHERE isfinite(value) GROUP BY 1""")
+def _(c: Inputs):
+    return rounded(hot.run_custom(c.hot, hot.REQUESTS, "24h", c.as_of, {"status": "500"}), "v")
+
+
 # Rendering.
 
 @query("matrix_json", """SELECT series_key, concat('{"metric":{"__name__":"visitors_total",', substr(labels, 2), ',"values":[',

@@ -56,9 +56,10 @@ def _(c: Inputs):
     return _with_target(out).select("scrape_id", "line_no", "name", "labels", "value")
 
 
-@query("label_inject", "SELECT scrape_id, line_no, labels FROM expected_lines WHERE line_no IN (3, 4, 9, 15)")
+@query("label_inject", "SELECT scrape_id, line_no, labels FROM expected_lines")
 def _(c: Inputs):
-    return _with_target(_parsed(c).filter(F.col("line_no").isin(3, 4, 9, 15))).select("scrape_id", "line_no", "labels")
+    whole = X.decompose_summaries(X.decompose_histograms(_parsed(c)))
+    return _with_target(whole).select("scrape_id", "line_no", "labels")
 
 
 @query("deny_filter", "SELECT scrape_id, line_no, family FROM expected_lines WHERE family <> 'something_else' AND NOT starts_with(family, 'collector_')")
@@ -90,16 +91,17 @@ def _(c: Inputs):
     return I.cap_rank(_parsed(c)).select("scrape_id", "line_no", "rank")
 
 
-_OUTCOMES = """SELECT s.scrape_id, s.target, CASE WHEN fetch_reason IS NULL THEN 'ok' ELSE 'fetch_error' END AS status,
-  CASE WHEN fetch_reason IS NULL THEN least(coalesce(n, 0), 8) ELSE 0 END AS samples,
-  CASE WHEN fetch_reason IS NULL THEN greatest(coalesce(n, 0) - 8, 0) ELSE 0 END AS dropped
-FROM payload_status s JOIN config_targets t ON t.name = s.target
+_OUTCOMES = """SELECT s.scrape_id, s.target, CASE WHEN reason IS NULL THEN 'ok' ELSE 'fetch_error' END AS status, reason AS fetch_reason,
+  CASE WHEN reason IS NULL THEN least(coalesce(n, 0), 8) ELSE 0 END AS samples,
+  CASE WHEN reason IS NULL THEN greatest(coalesce(n, 0) - 8, 0) ELSE 0 END AS dropped
+FROM (SELECT *, coalesce(fetch_reason, CASE WHEN target NOT IN (SELECT name FROM config_targets) THEN 'unknown_target' END) AS reason
+  FROM payload_status) s
 LEFT JOIN (SELECT scrape_id, count(*) AS n FROM accepted_lines GROUP BY 1) a ON a.scrape_id = s.scrape_id"""
 
 
 @query("outcome_classify", _OUTCOMES)
 def _(c: Inputs):
-    return I.outcomes_from(_stage(c), _CONFIG).select("scrape_id", "target", "status", "samples", "dropped")
+    return I.outcomes_from(_stage(c), _CONFIG).select("scrape_id", "target", "status", "fetch_reason", "samples", "dropped")
 
 
 @query("self_metrics", f"""SELECT t AS ts, name, value, 'counter' AS metric_type, labels FROM as_of, (
@@ -131,6 +133,18 @@ def _(c: Inputs):
     return rows.groupBy("path", "status", "scrape_target", "region").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ingest_registry", f"""SELECT scrape_id, target, name, value, labels, line_no FROM (
+  SELECT l.*, row_number() OVER (PARTITION BY l.scrape_id ORDER BY l.line_no) AS place FROM expected_lines l
+  JOIN payload_status s USING (scrape_id) WHERE s.fetch_reason IS NULL AND l.family NOT LIKE 'collector\\_%' ESCAPE '\\'
+    AND EXISTS (SELECT 1 FROM registry r, (SELECT unnest(CASE WHEN r.allow_csv = '' THEN ['http_', 'visitors_', 'unique_']
+      ELSE string_split(r.allow_csv, ',') END) AS prefix) WHERE r.name = l.target AND starts_with(l.family, prefix))) WHERE place <= 8""")
+def _(c: Inputs):
+    """Ingest over declared and added targets together, with each row of the registry given twice."""
+    known = _registry(c)
+    stage = I.staged(c.payloads, known.unionByName(known), _CONFIG)
+    return I.samples_from(stage, _CONFIG).select("scrape_id", "target", "name", "value", "labels", "line_no")
+
+
 # Targets.
 
 _COLUMNS = ["id", "name", "url", "mode", "origin", "enabled"]
@@ -198,7 +212,7 @@ def _(c: Inputs):
     status = health.target_status(c.view("scrape_outcomes"), c.targets())
     return status.select(
         "target", "mode", "enabled", "last_status", "last_ts", "last_samples", "last_duration_ms", "consecutive_failures",
-        "ok", "fetch_error", "parse_error",
+        "ok", "fetch_error", "parse_error", "other",
     )
 
 

@@ -35,12 +35,12 @@ def _exports(c: Inputs) -> str:
 @query("scan_metrics_union", """SELECT ts, name, value, CASE WHEN name = 'http_requests_total' THEN NULL ELSE metric_type END AS metric_type, labels,
   CASE WHEN name IN ('visitors_total', 'unique_visitors_estimate') THEN 'extra' END AS note FROM metrics_all""")
 def _(c: Inputs):
-    return M.read_metrics(c.spark, M.resolve_paths(c.spark, _exports(c)))
+    return M.read_metrics(c.spark, M.resolve_paths(c.spark, _exports(c)), extra=True)
 
 
 @query("resolve_source", "SELECT name, count(*) AS n FROM metrics_all GROUP BY 1")
 def _(c: Inputs):
-    rows = M.read_metrics(c.spark, M.resolve_paths(c.spark, f" {_exports(c)}/ "), extra=False)
+    rows = M.read_metrics(c.spark, M.resolve_paths(c.spark, f" {_exports(c)}/ "))
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -82,12 +82,30 @@ def _(c: Inputs):
 FROM metrics_all""")
 def _(c: Inputs):
     base = work_dir(c.spark, "compact")
-    retention.compact(c.metrics, c.as_of - dt.timedelta(days=10), f"{base}/cold", f"{base}/hot")
+    export = retention.compact(c.metrics, c.as_of - dt.timedelta(days=10), base, "20240131", f"{base}/hot")
     columns = ["name", "ts", "labels", "metric_type"]
-    old = c.spark.read.parquet(f"{base}/cold").select(F.lit("cold").alias("part"), *columns)
+    old = M.read_metrics(c.spark, export).select(F.lit("cold").alias("part"), *columns)
     return old.unionByName(c.spark.read.parquet(f"{base}/hot").select(F.lit("hot").alias("part"), *columns))
 
 
+@query("cold_loop", """SELECT 'metrics_cold_20240131.parquet' AS name, count(*) AS n, sum(CASE WHEN name = 'http_requests_total' THEN 1 ELSE 0 END)::BIGINT AS requests,
+  2 AS expired, 1 AS newest, 0 AS purged FROM metrics_all WHERE ts < (SELECT t FROM as_of) - INTERVAL 10 DAY""")
+def _(c: Inputs):
+    """History that was compacted is listed, resolved, read back, found expired and counted for purging."""
+    base = work_dir(c.spark, "loop")
+    retention.compact(c.metrics, c.as_of - dt.timedelta(days=10), base, "20240131", f"{base}/hot")
+    retention.write_export(c.metrics.limit(0), base, "20230101")
+    later = dt.datetime.fromtimestamp(time.time(), dt.timezone.utc).replace(tzinfo=None, microsecond=0) + dt.timedelta(days=33)
+    rows = M.read_metrics(c.spark, M.resolve_paths(c.spark, base))
+    newest = M.newest_export(c.spark, base).select(F.col("path").endswith("20240131.parquet").cast("int").alias("newest"))
+    now = later - dt.timedelta(days=33)
+    counted = rows.groupBy(F.regexp_extract("_metadata.file_path", "/(metrics_cold_[^/]*)/", 1).alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("name") == cold.REQUESTS).alias("requests"))
+    expired = retention.purge(c.spark, base, later)
+    purged = retention.purge(c.spark, base, now, dry_run=False)
+    return counted.select("*", F.lit(expired).alias("expired"), newest.scalar().alias("newest"), F.lit(purged).alias("purged"))
+
+
 @query("hot_append", """SELECT 'history' AS side, name, count(*) AS n FROM hot_samples GROUP BY 2
 UNION ALL SELECT 'recent', name, count(*) FROM hot_samples GROUP BY 2""")
 def _(c: Inputs):
@@ -101,7 +119,10 @@ def _(c: Inputs):
     return sides[0].unionByName(sides[1])
 
 
-# Streams. The input is landed in three parts by arrival, and read one part per batch.
+# Streams. The input is landed in three parts by arrival, each of as many files as there are cores here, and read one part per batch.
+
+FILES = 8
+
 
 def _landed(c: Inputs, rows: DataFrame, label: str, replay: bool = False) -> tuple[str, str]:
     base = work_dir(c.spark, label)
@@ -109,15 +130,19 @@ def _landed(c: Inputs, rows: DataFrame, label: str, replay: bool = False) -> tup
     for part in range(3):
         piece = rows.filter((F.col("seq") >= top * part // 3) & (F.col("seq") < top * (part + 1) // 3))
         for copy in range(2 if replay else 1):
-            piece.coalesce(1).write.parquet(f"{base}/in/p{part}{copy}")
+            piece.repartition(FILES).write.parquet(f"{base}/in/p{part}{copy}")
     return base, f"{base}/in/*"
 
 
+def _stream(c: Inputs, path: str, like: DataFrame) -> DataFrame:
+    return S.read_files(c.spark, path, like, FILES)
+
+
 @query("stream_ingest", """SELECT l.scrape_id, l.target, l.name, l.value, l.labels, l.line_no
 FROM accepted_lines l JOIN payload_status s USING (scrape_id) WHERE s.fetch_reason IS NULL AND rank <= 8""")
 def _(c: Inputs):
     base, path = _landed(c, c.payloads, "ingest")
-    source = S.read_files(c.spark, path, c.payloads)
+    source = _stream(c, path, c.payloads)
     S.stream_ingest(source, c.targets(), f"{base}/out", f"{base}/checkpoint", _CONFIG).awaitTermination()
     return c.spark.read.parquet(f"{base}/out/samples").select("scrape_id", "target", "name", "value", "labels", "line_no")
 
@@ -130,7 +155,7 @@ def _(c: Inputs):
     first = m.agg(F.min("seq")).first()[0]
     m = m.withColumn("seq", F.col("seq") - first)
     base, path = _landed(c, m, "throughput")
-    S.stream_throughput(S.read_files(c.spark, path, m), f"{base}/out", f"{base}/checkpoint", "1 day", "1 hour").awaitTermination()
+    S.stream_throughput(_stream(c, path, m), f"{base}/out", f"{base}/checkpoint", "1 day", "1 hour").awaitTermination()
     return rounded(c.spark.read.parquet(f"{base}/out"), "avg_ms")
 
 
@@ -140,14 +165,14 @@ def _(c: Inputs):
 WHERE v IS NOT NULL AND pv IS NOT NULL""")
 def _(c: Inputs):
     base, path = _landed(c, c.keyed, "diffs")
-    S.stream_counter_diffs(S.read_files(c.spark, path, c.keyed), f"{base}/out", f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    S.stream_counter_diffs(_stream(c, path, c.keyed), f"{base}/out", f"{base}/state", f"{base}/checkpoint").awaitTermination()
     return c.spark.read.parquet(f"{base}/out/diffs").select("series_key", "ts_us", "diff")
 
 
 @query("stream_recent_keep", "SELECT seq, ts, name, value FROM hot_samples ORDER BY seq DESC LIMIT 2000")
 def _(c: Inputs):
     base, path = _landed(c, c.hot, "recent")
-    S.stream_recent(S.read_files(c.spark, path, c.hot), f"{base}/state", f"{base}/checkpoint", 2000).awaitTermination()
+    S.stream_recent(_stream(c, path, c.hot), f"{base}/state", f"{base}/checkpoint", 2000).awaitTermination()
     return S.current_state(c.spark, f"{base}/state").select("seq", "ts", "name", "value")
 
 
@@ -162,21 +187,22 @@ FROM (SELECT o.target, arg_max(status, attempt_seq) AS last_status, arg_max(ts,
 def _(c: Inputs):
     rows = c.view("scrape_outcomes").withColumn("seq", F.col("attempt_seq"))
     base, path = _landed(c, rows, "status")
-    S.stream_target_status(S.read_files(c.spark, path, rows), f"{base}/state", f"{base}/checkpoint").awaitTermination()
-    return S.current_state(c.spark, f"{base}/state")
+    S.stream_target_status(_stream(c, path, rows), f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    columns = ("target", "last_status", "last_ts", "last_samples", "last_duration_ms", "consecutive_failures", "ok", "fetch_error", "parse_error")
+    return S.current_state(c.spark, f"{base}/state").select(*columns)
 
 
 @query("stream_latest_series", """SELECT concat(name, labels) AS series_key, CASE WHEN isfinite(value) THEN value END AS value, ts_us FROM (
   SELECT name, labels, arg_max(value, seq) AS value, max(epoch_us(ts)) AS ts_us FROM hot_samples GROUP BY 1, 2)""")
 def _(c: Inputs):
     base, path = _landed(c, c.keyed, "latest")
-    S.stream_latest_series(S.read_files(c.spark, path, c.keyed), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    S.stream_latest_series(_stream(c, path, c.keyed), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return S.latest_series(c.spark, f"{base}/out").withColumn("value", finite_or_null("value"))
 
 
 @query("stream_dedupe_payloads", "SELECT scrape_id, target FROM scrape_payloads")
 def _(c: Inputs):
     base, path = _landed(c, c.payloads, "dedupe", replay=True)
-    unique = S.dedupe_payloads(S.read_files(c.spark, path, c.payloads), "20 days")
+    unique = S.dedupe_payloads(_stream(c, path, c.payloads), "20 days")
     S.write_stream(unique, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return c.spark.read.parquet(f"{base}/out").select("scrape_id", "target")

@@ -44,10 +44,22 @@ def labels_json(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(sorted_pairs(labels)))
 
 
+def canonical(labels: str | Column = "labels") -> Column:
+    """Canonical JSON of label text. Text that is no JSON object stays as it is, so that it remains a series of its own."""
+    text = F.col(labels) if isinstance(labels, str) else labels
+    return F.coalesce(labels_json(labels_map(text)), F.nullif(F.trim(text), F.lit("")), F.lit("{}"))
+
+
+def is_malformed(labels: str | Column = "labels") -> Column:
+    """Whether label text is there but no JSON object; for counting such rows."""
+    text = F.col(labels) if isinstance(labels, str) else labels
+    return (F.coalesce(F.trim(text), F.lit("")) != "") & labels_map(text).isNull()
+
+
 def series_key(df: DataFrame) -> Column:
     """Series identity: the name followed by the canonical labels."""
     if "series_key" in df.columns:
         return F.col("series_key")
-    kind = dict(df.dtypes)["labels"]
-    labels = F.col("labels") if kind.startswith("map") else labels_map()
-    return F.concat(F.col("name"), F.coalesce(labels_json(labels), F.lit("{}")))
+    if dict(df.dtypes)["labels"].startswith("map"):
+        return F.concat(F.col("name"), F.coalesce(labels_json(F.col("labels")), F.lit("{}")))
+    return F.concat(F.col("name"), canonical())

@@ -33,14 +33,18 @@ def _newest(column: str) -> Column:
 
 
 def outcome_rollup(outcomes: DataFrame) -> DataFrame:
-    """Last attempt and lifetime counts per target. Samples are those of the last attempt, failed or not."""
+    """Last attempt and lifetime counts per target. Samples are those of the last attempt, failed or not.
+
+    A state that is not listed counts as ``other``, and as a last status it is null.
+    """
     # The state travels as a number: a text buffer would make Spark sort all attempts.
     known = F.array(*[F.lit(s) for s in STATUSES])
-    coded = outcomes.withColumn("_state", F.array_position(known, F.col("status")))
+    coded = outcomes.withColumn("_state", F.nullif(F.array_position(known, F.col("status")), F.lit(0).cast("bigint")))
     rollup = coded.groupBy("target").agg(
         F.max_by("_state", "attempt_seq").alias("_state"),
         _newest("ts"), _newest("samples"), _newest("duration_ms"),
         *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
+        F.count_if(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))).alias("other"),
     )
     return rollup.withColumn("last_status", F.try_element_at(known, F.col("_state").cast("int"))).drop("_state")
 
@@ -54,7 +58,7 @@ def target_status(outcomes: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.withColumnRenamed("name", "target").join(rollup, "target", "left").select(
         "target", *[c for c in targets.columns if c != "name"],
         "last_status", "last_ts",
-        *[F.coalesce(c, zero).alias(c) for c in ("last_samples", "last_duration_ms", "consecutive_failures", *STATUSES)],
+        *[F.coalesce(c, zero).alias(c) for c in ("last_samples", "last_duration_ms", "consecutive_failures", *STATUSES, "other")],
     )
 
 

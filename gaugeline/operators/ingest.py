@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import PROMOTED, labels_json
-from ..session import small_side
+from ..session import checkpointed, small_side
 from ..sources.payloads import MAX_BODY_BYTES, classify_payloads
 from .exposition import (
     decompose_histograms, decompose_summaries, inject_target, metric_type, parsed_samples, value_of, with_labels,
@@ -89,10 +89,15 @@ def cap_samples(samples: DataFrame, cap: int = MAX_SAMPLES) -> tuple[DataFrame,
 def staged(payloads: DataFrame, targets: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
     """Payload rows with status and the array of their accepted sample lines; no shuffle.
 
-    The target table joins the payload rows, of which there are far fewer than samples.
+    The target table joins the payload rows, of which there are far fewer than samples. A name that is
+    registered twice is one target with the prefixes of both. An attempt at a target that is not
+    registered stays, as ``fetch_error`` for the reason ``unknown_target``.
     """
-    allow = targets.select(F.col("name").alias("target"), default_allow(F.col("allow"), config).alias("allow"))
-    rows = classify_payloads(payloads, config.max_body_bytes).join(small_side(allow), "target", "inner")
+    rows = targets.select(F.col("name").alias("target"), default_allow(F.col("allow"), config).alias("allow"))
+    allow = rows.groupBy("target").agg(F.array_distinct(F.flatten(F.collect_list("allow"))).alias("allow"))
+    rows = classify_payloads(payloads, config.max_body_bytes).join(small_side(allow), "target", "left")
+    rows = rows.withColumn("fetch_reason", F.coalesce("fetch_reason", F.when(F.col("allow").isNull(), "unknown_target")))
+    rows = rows.withColumn("status", F.when(F.col("fetch_reason").isNull(), "ok").otherwise("fetch_error"))
     # An accepted family starts with a prefix, so its lines do too: the others are not looked at.
     found = parsed_samples(
         F.when(F.col("status") == "ok", F.col("body").cast("string")),
@@ -128,7 +133,7 @@ def outcomes_from(stage: DataFrame, config: IngestConfig = IngestConfig()) -> Da
     """One row per attempt. Text always parses (bad lines are skipped), so there is no parse error here."""
     n = F.when(F.col("status") == "ok", F.size("accepted")).otherwise(0)
     return stage.select(
-        "scrape_id", "target", F.col("scrape_ts").alias("ts"), "seq", "status",
+        "scrape_id", "target", F.col("scrape_ts").alias("ts"), "seq", "status", "fetch_reason",
         F.least(n, F.lit(config.max_samples)).cast("bigint").alias("samples"),
         F.greatest(n - config.max_samples, F.lit(0)).cast("bigint").alias("dropped"),
         *[c for c in ("duration_ms",) if c in stage.columns],
@@ -138,25 +143,27 @@ def outcomes_from(stage: DataFrame, config: IngestConfig = IngestConfig()) -> Da
 def ingest(
     payloads: DataFrame, targets: DataFrame, config: IngestConfig = IngestConfig()
 ) -> tuple[DataFrame, DataFrame]:
-    """Samples and outcomes of a payload table."""
-    stage = staged(payloads, targets, config)
+    """Samples and outcomes of a payload table. The bodies are parsed once; what they gave is kept in the shared folder."""
+    stage = checkpointed(staged(payloads, targets, config))
     return samples_from(stage, config), outcomes_from(stage, config)
 
 
 def self_metrics(outcomes: DataFrame, as_of: Column) -> DataFrame:
     """The collector's own counters in the history schema, stamped ``as_of``."""
-    scrapes = outcomes.groupBy("target", "status").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        F.lit("collector_scrape_total").alias("name"), "value", F.create_map(F.lit("target"), "target", F.lit("status"), "status").alias("l")
+    totals = outcomes.groupBy("target", "status").agg(
+        F.count(F.lit(1)).cast("double").alias("scrapes"), F.sum("samples").cast("double").alias("stored"), F.sum("dropped").cast("double").alias("dropped"),
     )
-    ok = outcomes.filter(F.col("status") == "ok")
-    stored = ok.groupBy("target").agg(F.sum("samples").cast("double").alias("value")).select(
-        F.lit("collector_samples_stored_total").alias("name"), "value", F.create_map(F.lit("target"), "target").alias("l")
-    )
-    dropped = ok.filter("dropped > 0").groupBy("target").agg(F.sum("dropped").cast("double").alias("value")).select(
-        F.lit("collector_samples_dropped_total").alias("name"), "value",
-        F.create_map(F.lit("target"), "target", F.lit("reason"), F.lit("over_cap")).alias("l"),
+    ok, of = F.col("status") == "ok", (F.lit("target"), F.col("target"))
+
+    def counter(kind: str, value: str, *labels: Column, when: Column | None = None) -> Column:
+        made = F.struct(F.lit(f"collector_{kind}_total").alias("name"), F.col(value).alias("value"), F.create_map(*of, *labels).alias("l"))
+        return made if when is None else F.when(when, made)
+
+    counters = F.array(
+        counter("scrape", "scrapes", F.lit("status"), F.col("status")), counter("samples_stored", "stored", when=ok),
+        counter("samples_dropped", "dropped", F.lit("reason"), F.lit("over_cap"), when=ok & (F.col("dropped") > 0)),
     )
-    rows = scrapes.unionByName(stored).unionByName(dropped)
+    rows = totals.select(F.inline(F.array_compact(counters)))
     return rows.select(
         as_of.alias("ts"), "name", "value", F.lit("counter").alias("metric_type"), labels_json(F.col("l")).alias("labels")
     )

@@ -6,20 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.labels import labels_json, labels_map
+from ..functions.labels import canonical, labels_json
 
 # Above twice the BIGINT range, so that the timestamp always decides before the arrival number.
 _SPAN = 20_000_000_000_000_000_000
 
 
 def arrival_order(ts_us: str | Column = "ts_us", seq: str | Column = "seq") -> Column:
-    """One number that sorts by (timestamp, arrival).
+    """One number that sorts by (timestamp, arrival); a row without arrival number counts as the first of its time.
 
     A decimal instead of a struct keeps max_by inside hash aggregation: Spark can update a
     fixed-width buffer in place, while a struct buffer makes it sort every input row first.
     """
     ts, arrival = (F.col(c) if isinstance(c, str) else c for c in (ts_us, seq))
-    wide = ts.cast("decimal(19,0)") * F.lit(str(_SPAN)).cast("decimal(20,0)") + arrival.cast("decimal(19,0)")
+    earliest_of_all = F.lit(-(2**63))
+    wide = ts.cast("decimal(19,0)") * F.lit(str(_SPAN)).cast("decimal(20,0)") + F.coalesce(arrival, earliest_of_all).cast("decimal(19,0)")
     return wide.cast("decimal(38,0)")
 
 
@@ -52,5 +53,4 @@ def latest_by_labels(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     first = newest(rows.select(*keys, text.alias("labels"), "ts_us", "value", arrival_order().alias("_order")))
     if is_map or "series_key" in rows.columns:
         return first.drop("_order")
-    canonical = F.coalesce(labels_json(labels_map()), F.lit("{}"))
-    return newest(first.withColumn("labels", canonical)).drop("_order")
+    return newest(first.withColumn("labels", canonical())).drop("_order")

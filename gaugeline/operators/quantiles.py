@@ -53,6 +53,15 @@ def _holding(counts: DataFrame, keys: Sequence[str], by: str, probabilities: Seq
     return ranked.filter(wanted)
 
 
+def _in_bins(rows: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the chosen bins; a null key is a group like any other."""
+    right = bins.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_part").alias("_bin_part"), "_n", "_below")
+    same = F.col("_part") == F.col("_bin_part")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return rows.join(right, same).drop("_bin_part", *[f"_key_{i}" for i in range(len(keys))])
+
+
 def _held(bins: DataFrame) -> tuple[DataFrame, int]:
     """The chosen bins, computed and ready to join, and the count of the fullest."""
     held = checkpointed(bins)
@@ -87,7 +96,7 @@ def exact_quantiles(
 
     inner = coarse
     if fullest > direct_rows:
-        near = coarse.join(bins, [*keys, "_part"])
+        near = _in_bins(coarse, bins, keys)
         finer = near.groupBy(*keys, "_part", "_n", "_below", "_fine").agg(F.count(F.lit(1)).alias("_c"))
         bins, _ = _held(
             _holding(finer, keys, "_fine", wanted).select(
@@ -97,7 +106,7 @@ def exact_quantiles(
         inner = base.withColumnRenamed("_fine", "_part")
 
     values = (
-        inner.join(bins, [*keys, "_part"])
+        _in_bins(inner, bins, keys)
         .groupBy(*keys, "_part", "_n", "_below", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )

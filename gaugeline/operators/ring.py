@@ -37,19 +37,20 @@ def keep_newest(samples: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
 
     A plain top-n would send ``cap`` rows from every task to one. So the distance to the newest
     arrival is first counted in about sixty logarithmic bins, and only rows above the bin in
-    which the cap is reached take part in the top-n.
+    which the cap is reached take part in the top-n. Rows without an arrival number count as the oldest.
     """
-    newest = samples.agg(F.max("seq")).scalar()
-    distance = newest - F.col("seq")
+    samples = samples.withColumn("_seq", F.coalesce("seq", F.lit(-(2**61))))
+    newest = samples.agg(F.max("_seq")).scalar()
+    distance = newest - F.col("_seq")
     bins = (
-        samples.select("seq", F.floor(F.log2(distance + 1)).alias("bin"))
+        samples.select("_seq", F.floor(F.log2(distance + 1)).alias("bin"))
         .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("seq").alias("from_seq"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("_seq").alias("from_seq"))
     )
     nearer = F.sum("c").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     cutoff = bins.withColumn("nearer", F.coalesce(nearer, F.lit(0))).filter(F.col("nearer") < cap)
     since = cutoff.agg(F.min("from_seq")).scalar()
-    return samples.filter(F.col("seq") >= since).orderBy(F.desc("seq")).limit(cap)
+    return samples.filter(F.col("_seq") >= since).orderBy(F.desc("_seq")).limit(cap).drop("_seq")
 
 
 def eviction_counts(pushes: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:

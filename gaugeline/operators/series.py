@@ -89,10 +89,12 @@ def running_total(
     return both.withColumn(out, F.sum("_x").over(inside)).filter("_own = 1").drop("_x", "_own", "_chunk")
 
 
-def first_last_delta(points: DataFrame, keys: Sequence[str] = ("series_key",), value: str = "value") -> DataFrame:
-    """Last minus first finite value per series, not below 0."""
+def first_last_delta(
+    points: DataFrame, keys: Sequence[str] = ("series_key",), value: str = "value", seq: str | None = None
+) -> DataFrame:
+    """Last minus first finite value per series, not below 0; the arrival number ``seq`` settles equal times."""
     v = finite_or_null(value)
-    at = F.when(v.isNotNull(), F.col("ts_us"))
+    at = F.when(v.isNotNull(), arrival_order("ts_us", seq) if seq else F.col("ts_us"))
     return (
         points.groupBy(*keys)
         .agg(F.min_by(v, at).alias("first_value"), F.max_by(v, at).alias("last_value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import small_side
+from ..session import checkpointed, small_side
 from .ingest import IngestConfig, default_allow
 
 # Fixed value: targets that may be added at run time.
@@ -44,10 +44,37 @@ def drop_removed(targets: DataFrame, overrides: DataFrame) -> DataFrame:
     return targets.join(small_side(overrides.filter("removed").select("id")), "id", "left_anti")
 
 
+def resolve_conflicts(targets: DataFrame) -> DataFrame:
+    """Declared targets, and the added ones whose name and address no accepted target before them has.
+
+    Declared ones come first, then ids in order. A refused target takes no name, so it refuses no other. In each round
+    the first of every name and address among what is left is accepted, and what clashes with it is refused.
+    """
+    declared, left = targets.filter("origin = 'config'"), targets.filter("origin <> 'config'")
+    taken = {k: declared.select(F.trim(k).alias("_taken")).distinct() for k in ("name", "url")}
+    accepted = []
+    while True:
+        for key, rows in taken.items():
+            left = left.join(small_side(rows), F.trim(key).eqNullSafe(F.col("_taken")), "left_anti")
+        left = checkpointed(left)
+        if left.isEmpty():
+            break
+        place = F.struct("ord", "id")
+        firsts = [left.groupBy(F.trim(k).alias(f"_{k}")).agg(F.min(place).alias(f"_first_{k}")) for k in ("name", "url")]
+        ranked = left.join(firsts[0], F.trim("name").eqNullSafe(F.col("_name"))).join(firsts[1], F.trim("url").eqNullSafe(F.col("_url")))
+        first = (F.col("_first_name") == place) & (F.col("_first_url") == place)
+        won = checkpointed(ranked.filter(first).select(*left.columns))
+        accepted.append(won)
+        taken = {k: won.select(F.trim(k).alias("_taken")).distinct() for k in ("name", "url")}
+    for won in accepted:
+        declared = declared.unionByName(won)
+    return declared
+
+
 def effective_targets(config: DataFrame, dynamic: DataFrame, log: DataFrame) -> DataFrame:
-    """The registry as readers see it."""
+    """The registry as readers see it: removed targets take no name, conflicting additions are refused."""
     overrides = fold_overrides(log)
-    return drop_removed(apply_overrides(union_targets(config, dynamic), overrides), overrides)
+    return resolve_conflicts(drop_removed(apply_overrides(union_targets(config, dynamic), overrides), overrides))
 
 
 def recurring_enabled(targets: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.labels import UNKNOWN, label_of, or_unknown
 from ..functions.scalars import bucket_us, micros
 from ..operators.latest import arrival_order, latest
 from ..operators.quantiles import exact_quantiles
+from ..session import checkpointed
 
 # Metric names the reports read.
 REQUESTS = "http_requests_total"
@@ -54,7 +55,9 @@ def throughput_latency(
     )
     slow = _quantiles(rows.filter(P.named(DURATION)), ["bucket_us"], "value", {"p99_ms": 0.99}, approx)
     # One row per time bucket on either side.
-    return counted.join(slow, "bucket_us", "left").select("bucket_us", "reqs", "avg_ms", "p99_ms").orderBy("bucket_us")
+    slow = slow.withColumnRenamed("bucket_us", "_bucket_us")
+    joined = counted.join(slow, F.col("bucket_us").eqNullSafe(F.col("_bucket_us")), "left")
+    return joined.select("bucket_us", "reqs", "avg_ms", "p99_ms").orderBy("bucket_us")
 
 
 def error_counts(
@@ -141,7 +144,9 @@ def custom_series(
     n = F.count(F.lit(1)).alias("n")
     if agg in _RANKED:
         ranked = _quantiles(rows, ["bucket_us"], "value", {"v": _RANKED[agg]}, approx)
-        out = rows.groupBy("bucket_us").agg(n).join(ranked, "bucket_us", "left").select("bucket_us", "v", "n")
+        ranked = ranked.withColumnRenamed("bucket_us", "_bucket_us")
+        counted = rows.groupBy("bucket_us").agg(n)
+        out = counted.join(ranked, F.col("bucket_us").eqNullSafe(F.col("_bucket_us")), "left").select("bucket_us", "v", "n")
     else:
         v = F.count(F.lit(1)) if agg == "count" else _SIMPLE.get(agg, F.avg)("value")
         out = rows.groupBy("bucket_us").agg(v.alias("v"), n)
@@ -149,7 +154,7 @@ def custom_series(
 
 
 def summary(throughput: DataFrame, errors: DataFrame, bucket_seconds: float) -> DataFrame:
-    """Totals over a throughput report and an (already top-limited) error report."""
+    """Totals over a throughput report and the errors of all paths (not the top-limited report)."""
     usable: Column = F.col("avg_ms").isNotNull() & ~F.isnan("avg_ms") & (F.abs("avg_ms") < float("inf"))
     reqs = F.col("reqs").cast("double")
     parts = throughput.select(
@@ -193,13 +198,19 @@ def normalise(report: DataFrame) -> DataFrame:
 def dashboard(
     metrics: DataFrame, range_key: str, as_of: dt.datetime, target: str | None = ""
 ) -> dict[str, DataFrame]:
-    """All reports of one refresh. Each scan reads only the metrics and columns of its report."""
-    throughput = normalise(throughput_latency(metrics, range_key, as_of, target))
-    errors = normalise(error_distribution(metrics, range_key, as_of, target))
+    """All reports of one refresh. Each scan reads only the metrics and columns of its report.
+
+    The report per bucket and the errors per path are computed once; the summary adds up all paths,
+    the listed errors are the top of them. ``names_cut`` says whether more names exist than are listed.
+    """
+    throughput = normalise(checkpointed(throughput_latency(metrics, range_key, as_of, target)))
+    errors = normalise(checkpointed(error_counts(metrics, range_key, as_of, target)))
+    names = checkpointed(metric_names(metrics, NAME_LIMIT + 1))
     return {
         "throughput": throughput,
-        "errors": errors,
-        "names": metric_names(metrics),
+        "errors": top_errors(errors),
+        "names": names.orderBy("name").limit(NAME_LIMIT),
+        "names_cut": names.agg((F.count(F.lit(1)) > NAME_LIMIT).alias("names_cut")),
         "visitors": normalise(visitors_by_region(metrics, range_key, as_of, target)),
         "summary": summary(throughput, errors, P.range_bucket_seconds(range_key)),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,9 +13,7 @@ from ..functions import predicates as P
 from ..functions.labels import label, or_unknown
 from ..functions.scalars import epoch_micros, finite_or_null
 from ..operators import ring
-from ..operators.rangequery import (
-    MAX_POINTS, RETRIES, RangeQuery, TooManyPoints, latest_per_bucket, query_range_adaptive, widened, within,
-)
+from ..operators.rangequery import RangeQuery, TooManyPoints, latest_per_bucket, query_range, within
 from ..operators.series import counter_diffs, first_last_delta
 from ..session import checkpointed
 from .cold import REQUESTS, UNIQUES, VISITORS, summary, top_errors
@@ -53,11 +51,11 @@ def plan_from_span(oldest_us: int | None, newest_us: int | None, range_key: str,
     return Plan(start, end, step, covered)
 
 
-def plan_window(samples: DataFrame, range_key: str, as_of: dt.datetime, whole_seconds: bool = True) -> Plan:
+def plan_window(samples: DataFrame, range_key: str, as_of: dt.datetime, whole_seconds: bool = False) -> Plan:
     """Plan for what ``samples`` covers.
 
     ``whole_seconds`` floors both ends of the span, which leaves out a newest scrape that is
-    not on a whole second; ``False`` uses the exact span.
+    not on a whole second; by default the span is exact.
     """
     span = ring.buffer_span(samples).first()
     ends = [span["oldest_us"], span["newest_us"]]
@@ -67,12 +65,11 @@ def plan_window(samples: DataFrame, range_key: str, as_of: dt.datetime, whole_se
 
 
 def plan_table(samples: DataFrame, range_key: str, as_of: dt.datetime) -> DataFrame:
-    """The same plan as a one-row table (whole seconds)."""
-    million = F.lit(1_000_000).cast("bigint")
+    """The same plan as a one-row table."""
     low, now = epoch_micros(as_of) - window_seconds(range_key) * 1_000_000, epoch_micros(as_of)
     ends = ring.buffer_span(samples).select(
-        F.greatest(F.lit(low), F.col("oldest_s") * million).alias("start_us"),
-        F.coalesce(F.col("newest_s") * million, F.lit(now)).alias("end_us"),
+        F.greatest(F.lit(low), F.col("oldest_us")).alias("start_us"),
+        F.coalesce(F.col("newest_us"), F.lit(now)).alias("end_us"),
     )
     covered = F.greatest(F.lit(0), F.col("end_us") - F.col("start_us"))
     step = F.greatest(F.lit(CADENCE_SECONDS).cast("bigint"), F.ceil(covered / F.lit(TARGET_BUCKETS * 1_000_000)))
@@ -109,14 +106,19 @@ def merge_companions(diffs: DataFrame, names: tuple[str, str, str]) -> DataFrame
     ).orderBy("bucket_us")
 
 
-def error_distribution(points: DataFrame) -> DataFrame:
-    """Last minus first per series, added up by path; paths with errors only, top 20."""
+def error_counts(points: DataFrame) -> DataFrame:
+    """Last minus first per series, added up by path; all paths with errors."""
     deltas = first_last_delta(points.filter(P.named(REQUESTS)), ["name", "labels"])
     status = F.coalesce(_series_label("status"), F.lit(""))
     rows = deltas.select(or_unknown(_series_label("path")).alias("path"), status.alias("status"), "delta")
     c4, c5 = (F.sum(F.when(P.status_class(F.col("status"), d), F.col("delta")).otherwise(0.0)) for d in "45")
     by_path = rows.groupBy("path").agg(c4.alias("c4xx"), c5.alias("c5xx"), F.sum("delta").alias("total"))
-    return top_errors(by_path.filter(F.col("c4xx") + F.col("c5xx") > 0))
+    return by_path.filter(F.col("c4xx") + F.col("c5xx") > 0)
+
+
+def error_distribution(points: DataFrame) -> DataFrame:
+    """The paths with the most errors."""
+    return top_errors(error_counts(points))
 
 
 def visitors(points: DataFrame) -> DataFrame:
@@ -157,49 +159,37 @@ def run_custom(
 ) -> DataFrame:
     plan = plan_window(samples, range_key, as_of)
     query = RangeQuery(metric, plan.start_us, min(plan.end_us, epoch_micros(as_of)), plan.step * 1_000_000, matchers or {})
-    return custom(query_range_adaptive(samples, query)[0])
+    return custom(query_range(samples, query))
 
 
-def dashboard_points(
-    samples: DataFrame, plan: Plan, target: str | None = "", max_points: int = MAX_POINTS
-) -> tuple[DataFrame, Plan]:
-    """Bucketed points of the five report metrics from one scan per attempt.
+def dashboard_points(samples: DataFrame, plan: Plan, target: str | None = "", max_points: int | None = None) -> DataFrame:
+    """Bucketed points of the five report metrics from one scan.
 
-    The step is widened, at most twice per metric, while any metric exceeds the cap; the request
-    counter decides first, and all metrics share the final step. A metric that still exceeds the
-    cap fails, or is left out if it is one of the two visitor metrics.
+    Nothing is left out and no step is changed because of the size of the answer. Where the caller
+    gives a cap, a metric beyond it raises, whichever it is; widening is a matter of
+    :func:`query_range_adaptive`.
     """
     names = [REQUESTS, DURATION_SUM, DURATION_COUNT, VISITORS, UNIQUES]
-    optional = {VISITORS, UNIQUES}
     scoped = within(samples.filter(P.named_any(names)), plan.start_us, plan.end_us)
     scoped = scoped.filter(P.of_target(scoped, target))
-    tries = dict.fromkeys(names, RETRIES)
-    while True:
-        held = checkpointed(latest_per_bucket(scoped, plan.start_us, plan.step * 1_000_000))
-        counts = {r["name"]: r["c"] for r in held.groupBy("name").agg(F.count(F.lit(1)).alias("c")).collect()}
-        over = [n for n in names if counts.get(n, 0) > max_points]
-        if not over:
-            return held, plan
-        first = over[0]
-        if tries[first] == 0:
-            if first not in optional:
-                raise TooManyPoints(counts[first], max_points)
-            names.remove(first)
-            scoped = scoped.filter(~P.named(first))
-            continue
-        tries[first] -= 1
-        plan = replace(plan, step=widened(plan.step, counts[first], max_points))
+    held = checkpointed(latest_per_bucket(scoped, plan.start_us, plan.step * 1_000_000))
+    if max_points is not None:
+        over = held.groupBy("name").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > max_points).agg(F.max("c")).first()[0]
+        if over:
+            raise TooManyPoints(over, max_points)
+    return held
 
 
 def dashboard(
-    samples: DataFrame, range_key: str, as_of: dt.datetime, target: str | None = "", max_points: int = MAX_POINTS
+    samples: DataFrame, range_key: str, as_of: dt.datetime, target: str | None = "", max_points: int | None = None
 ) -> dict[str, DataFrame]:
     """All reports of one refresh over a single scan of the window."""
-    points, plan = dashboard_points(samples, plan_window(samples, range_key, as_of), target, max_points)
-    rows, errors = throughput(points), error_distribution(points)
+    plan = plan_window(samples, range_key, as_of)
+    points = dashboard_points(samples, plan, target, max_points)
+    rows, errors = checkpointed(throughput(points)), checkpointed(error_counts(points))
     return {
         "throughput": rows,
-        "errors": errors,
+        "errors": top_errors(errors),
         "names": ring.metric_names(samples),
         "visitors": visitors(points),
         "summary": summary(rows, errors, plan.step),

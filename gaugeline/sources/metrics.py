@@ -23,20 +23,22 @@ METRICS_SCHEMA = T.StructType(
 )
 
 
-def read_metrics(spark: SparkSession, paths: Sequence[str] | str, extra: bool = True) -> DataFrame:
+def read_metrics(spark: SparkSession, paths: Sequence[str] | str, extra: bool = False) -> DataFrame:
     """Many files as one table, columns matched by name and missing ones null.
 
-    ``extra=False`` keeps just the five contract columns. It gives Spark the schema up front, so
-    no file footer is read before the query runs; use it where there are very many files.
+    Just the five contract columns are read, by a schema Spark is given up front, so no file footer
+    is read before the query runs. ``extra=True`` adds further columns, and reads every footer for it.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
     if not listed:
         raise ValueError("no metric files to read")
+    # Part files at any depth; folder names such as dt=2024-01-01 add no columns, ts says it all.
+    reader = spark.read.option("recursiveFileLookup", True)
     if extra:
-        found = spark.read.option("mergeSchema", True).parquet(*listed)
+        found = reader.option("mergeSchema", True).parquet(*listed)
         missing = [f for f in METRICS_SCHEMA if f.name not in found.columns]
         return found.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else found
-    return spark.read.schema(METRICS_SCHEMA).parquet(*listed)
+    return reader.schema(METRICS_SCHEMA).parquet(*listed)
 
 
 def union_by_name(tables: Sequence[DataFrame]) -> DataFrame:
@@ -55,10 +57,10 @@ def is_export_name(name: str | Column) -> Column:
 def list_exports(spark: SparkSession, folder: str) -> DataFrame:
     """Exports in a folder, oldest name first: ``path, name, modified, bytes``. No content is read.
 
-    An export is one file, or a folder of part files as Spark writes it.
+    An export is one file, or a folder of part files as Spark writes it, with or without folders for days.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    export = F.regexp_extract("path", f"^(.*/({EXPORT_PREFIX}[^/]*\\{EXPORT_SUFFIX}))(?:/[^/]*)?$", 1)
+    export = F.regexp_extract("path", f"^(.*/({EXPORT_PREFIX}[^/]*\\{EXPORT_SUFFIX}))(?:/.*)?$", 1)
     return (
         files.select(export.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
         .withColumn("name", F.element_at(F.split("path", "/"), -1))

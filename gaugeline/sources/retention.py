@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import moment
+from ..session import file_system
 from .metrics import EXPORT_PREFIX, EXPORT_SUFFIX, METRICS_SCHEMA, list_exports
 
 # Default horizons in days.
@@ -20,15 +21,16 @@ def split_by_age(hot: DataFrame, cutoff: dt.datetime) -> tuple[DataFrame, DataFr
     return hot.filter(old), hot.filter(~old)
 
 
-def compact(hot: DataFrame, cutoff: dt.datetime, cold_path: str, hot_path: str) -> None:
-    """Write rows older than the cutoff as daily ZSTD partitions and the rest as a new recent table.
+def compact(hot: DataFrame, cutoff: dt.datetime, folder: str, stamp: str, hot_path: str) -> str:
+    """Write rows older than the cutoff as an export of daily ZSTD partitions and the rest as a new recent table.
 
-    Both paths must be new. The caller points readers at the new recent table only after this
+    Returns the path of the export, which listing, reading and purging find by its name. Both paths must be new. The caller points readers at the new recent table only after this
     returns, so a lost executor or a failed run never leaves a row in neither place.
     Rows are clustered by name within a day, which lets readers skip row groups by name; the
     day is cut into name and time ranges, so no task has to hold a whole day.
     """
     old, young = split_by_age(hot, cutoff)
+    cold_path = export_path(folder, stamp)
     (
         old.withColumn("dt", F.to_date("ts"))
         .repartitionByRange("dt", "name", "ts")
@@ -36,11 +38,16 @@ def compact(hot: DataFrame, cutoff: dt.datetime, cold_path: str, hot_path: str)
         .write.partitionBy("dt").option("compression", "zstd").parquet(cold_path)
     )
     young.write.option("compression", "zstd").parquet(hot_path)
+    return cold_path
+
+
+def export_path(folder: str, stamp: str) -> str:
+    return f"{folder.rstrip('/')}/{EXPORT_PREFIX}{stamp}{EXPORT_SUFFIX}"
 
 
 def write_export(metrics: DataFrame, folder: str, stamp: str) -> str:
     """Write one dated export (a folder of part files under the export name); returns its path."""
-    path = f"{folder.rstrip('/')}/{EXPORT_PREFIX}{stamp}{EXPORT_SUFFIX}"
+    path = export_path(folder, stamp)
     columns = [F.col(f.name).cast(f.dataType) for f in METRICS_SCHEMA]
     metrics.select(*columns).write.option("compression", "zstd").parquet(path)
     return path
@@ -69,19 +76,15 @@ def unexpired_rows(metrics: DataFrame, as_of: dt.datetime, purge_days: int = PUR
 def purge(
     spark: SparkSession, folder: str, as_of: dt.datetime, purge_days: int = PURGE_DAYS, dry_run: bool = True
 ) -> int:
-    """Delete expired exports and return how many; by default only counts them."""
+    """Delete expired exports and return how many; by default only counts them.
+
+    An export goes in one call to its own file system, whatever it holds; there are as many as the horizon leaves.
+    """
     doomed = expired_exports(spark, folder, as_of, purge_days)
     if dry_run:
         return doomed.count()
-
-    from pyarrow import fs
-
     removed = 0
     for row in doomed.toLocalIterator():
-        where, path = fs.FileSystem.from_uri(row["path"])
-        if where.get_file_info(path).type == fs.FileType.Directory:
-            where.delete_dir(path)
-        else:
-            where.delete_file(path)
-        removed += 1
+        system, path = file_system(spark, row["path"])
+        removed += bool(system.delete(path, True))
     return removed

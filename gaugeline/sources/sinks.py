@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.labels import labels_json, labels_map, sorted_pairs
+from ..functions.labels import is_malformed, labels_json, labels_map, sorted_pairs
 from ..functions.scalars import micros, prom_float
 from ..operators.latest import latest_by_labels
 
@@ -66,5 +66,10 @@ def prom_text(samples: DataFrame) -> DataFrame:
     pairs = F.transform(
         sorted_pairs(labels_map()), lambda p: F.concat(p["key"], F.lit('="'), escaped(p["value"]), F.lit('"'))
     )
-    braces = F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    # Labels that could not be read are shown as they are, under a name of their own.
+    unread = F.concat(F.lit('{__unread__="'), escaped(F.col("labels")), F.lit('"}'))
+    braces = (
+        F.when(is_malformed(), unread)
+        .when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    )
     return newest.select(F.concat("name", braces, F.lit(" "), prom_float("value")).alias("value"))

@@ -1,12 +1,14 @@
 """Continuous forms of the batch operators.
 
-Operators that carry state between batches keep it as a table with two slots. Batch ``n`` reads
-slot ``(n - 1) % 2`` and overwrites slot ``n % 2``, so a batch that is repeated after a failure
-finds its input untouched, and storage stays at two copies.
+Operators that carry state between batches write it as a table per batch. Batch ``n`` reads the
+table of batch ``n - 1`` and replaces its own, so a batch that is repeated after a failure finds its
+input untouched; once it is written, the table of batch ``n - 2`` goes. A reader takes the newest
+table that is complete, which stays until two more batches are done.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -20,7 +22,7 @@ from ..operators.ingest import IngestConfig, outcomes_from, samples_from, staged
 from ..operators.latest import arrival_order, latest
 from ..operators.ring import keep_newest
 from ..operators.series import MEASURED, counter_diffs
-from ..session import checkpointed, small_side
+from ..session import checkpointed, file_system, small_side
 
 
 def read_files(spark: SparkSession, path: str, like: DataFrame, per_trigger: int = 1) -> DataFrame:
@@ -40,18 +42,22 @@ def _put(df: DataFrame, path: str) -> None:
 
 
 def _previous(spark: SparkSession, state: str, batch_id: int) -> DataFrame | None:
-    return spark.read.parquet(f"{state}/slot={(batch_id - 1) % 2}") if batch_id > 0 else None
+    return spark.read.parquet(f"{state}/{batch_id - 1}") if batch_id > 0 else None
 
 
 def _keep(df: DataFrame, state: str, batch_id: int) -> None:
-    _put(df.withColumn("batch_id", F.lit(batch_id)), f"{state}/slot={batch_id % 2}")
+    _put(df, f"{state}/{batch_id}")
+    system, old = file_system(df.sparkSession, f"{state}/{batch_id - 2}")
+    system.delete(old, True)
 
 
 def current_state(spark: SparkSession, state: str) -> DataFrame:
-    """The slot written last."""
-    slots = spark.read.option("basePath", state).parquet(f"{state}/slot=*")
-    last = slots.agg(F.max("batch_id")).scalar()
-    return slots.filter(F.col("batch_id") == last).drop("batch_id", "slot")
+    """The newest complete table."""
+    system, path = file_system(spark, f"{state}/*/_SUCCESS")
+    done = [int(found.getPath().getParent().getName()) for found in system.globStatus(path) or ()]
+    if not done:
+        raise FileNotFoundError(f"no batch has finished in {state}")
+    return spark.read.parquet(f"{state}/{max(done)}")
 
 
 def stream_ingest(
@@ -71,14 +77,27 @@ def stream_ingest(
     return _each_batch(payloads, work, checkpoint)
 
 
-def stream_throughput(metrics: DataFrame, out: str, checkpoint: str, width: str = "1 hour", delay: str = "1 hour") -> StreamingQuery:
-    """Request rows and mean duration per tumbling window, each window written once it is closed."""
+def dropped_by_watermark(query: StreamingQuery) -> int:
+    """Rows that came too late for a watermark, over the progress Spark still holds of a query."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+
+def stream_throughput(
+    metrics: DataFrame, out: str, checkpoint: str, width: str = "1 hour", delay: str = "1 hour", approx_p99: bool = False
+) -> StreamingQuery:
+    """Request rows and mean duration per tumbling window, each window written once it is closed.
+
+    ``approx_p99`` adds a sketch of the 99th percentile. Rows later than ``delay`` are left out;
+    :func:`dropped_by_watermark` counts them.
+    """
+    duration = F.when(F.col("name") == "http_request_duration_ms", F.col("value"))
+    sketch = [F.percentile_approx(duration, 0.99).alias("p99_ms")] if approx_p99 else []
     rows = metrics.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     report = rows.groupBy(F.window("ts", width)).agg(
         F.count_if(F.col("name") == "http_requests_total").alias("reqs"),
-        F.avg(F.when(F.col("name") == "http_request_duration_ms", F.col("value"))).alias("avg_ms"),
+        F.avg(duration).alias("avg_ms"), *sketch,
     )
-    flat = report.select(F.unix_micros("window.start").alias("bucket_us"), "reqs", "avg_ms")
+    flat = report.select(F.unix_micros("window.start").alias("bucket_us"), *report.columns[1:])
     return write_stream(flat, out, checkpoint)
 
 
@@ -87,8 +106,9 @@ def stream_counter_diffs(
 ) -> StreamingQuery:
     """Counter differences across batches.
 
-    State is the last point of each series. A row not later than it is dropped, and counted in
-    ``late/batch=<id>``. Within a batch the chunked operator keeps a hot series apart.
+    State is the last point of each series by time and arrival, as in the batch form. A row not
+    later than it is dropped, and counted in ``late/batch=<id>``. Within a batch the chunked operator
+    keeps a hot series apart.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -98,12 +118,13 @@ def stream_counter_diffs(
         if before is None:
             points, late = rows, rows.limit(0).groupBy("series_key").count()
         else:
-            known = before.drop("batch_id")
-            last = small_side(known.select("series_key", F.col("ts_us").alias("last_us")))
+            known = before
+            last = small_side(known.select("series_key", F.col("ts_us").alias("last_us"), F.col("seq").alias("last_seq")))
             marked = rows.join(last, "series_key", "left")
-            fresh = F.col("last_us").isNull() | (F.col("ts_us") > F.col("last_us"))
+            same = (F.col("ts_us") == F.col("last_us")) & (F.col("seq") > F.col("last_seq"))
+            fresh = F.col("last_us").isNull() | (F.col("ts_us") > F.col("last_us")) | F.coalesce(same, F.lit(False))
             late = marked.filter(~fresh).groupBy("series_key").count()
-            points = known.unionByName(marked.filter(fresh).drop("last_us"))
+            points = known.unionByName(marked.filter(fresh).drop("last_us", "last_seq"))
         points = points.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             diffs = counter_diffs(points, seq="seq", chunk_us=chunk_us)
@@ -125,40 +146,47 @@ def stream_recent(samples: DataFrame, state: str, checkpoint: str, cap: int) ->
 
     def work(batch: DataFrame, batch_id: int) -> None:
         before = _previous(batch.sparkSession, state, batch_id)
-        rows = batch if before is None else before.drop("batch_id").unionByName(batch)
+        rows = batch if before is None else before.unionByName(batch)
         _keep(keep_newest(rows, cap), state, batch_id)
 
     return _each_batch(samples, work, checkpoint)
 
 
 def fold_status(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Target status after a batch of later attempts."""
-    streak = failure_streak(batch)
-    fresh = outcome_rollup(batch).join(streak, "target").select(
-        "target", "last_status", "last_ts", "last_samples", "last_duration_ms", "consecutive_failures", *STATUSES
-    )
+    """Target status after a batch.
+
+    An attempt not after the last one counted of its target came late: it changes nothing but ``late``.
+    """
+    if before is None:
+        fresh, late = batch, batch.limit(0).groupBy("target").agg(F.count(F.lit(1)).alias("late"))
+    else:
+        last = small_side(before.select("target", F.col("last_attempt").alias("_last")))
+        marked = batch.join(last, "target", "left")
+        after = F.col("_last").isNull() | (F.col("attempt_seq") > F.col("_last"))
+        fresh = marked.filter(after).drop("_last")
+        late = marked.filter(~after).groupBy("target").agg(F.count(F.lit(1)).alias("late"))
+    counts = (*STATUSES, "other")
+    picked = ("last_status", "last_ts", "last_samples", "last_duration_ms", "last_attempt")
+    attempts = fresh.groupBy("target").agg(F.max("attempt_seq").alias("last_attempt"))
+    now = outcome_rollup(fresh).join(failure_streak(fresh), "target").join(attempts, "target").join(late, "target", "full")
     if before is None:
-        return fresh
-    b, a = fresh.alias("b"), before.drop("batch_id").alias("a")
+        return now.select("target", *picked, "consecutive_failures", *counts, F.lit(0).cast("bigint").alias("late"))
+    b, a = now.alias("b"), before.alias("a")
     joined = a.join(b, "target", "full")
-
-    def pick(c: str):
-        return F.when(F.col("b.last_status").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+    newer = F.col("b.last_attempt").isNotNull()
 
     def count(c: str):
         return F.coalesce(F.col(f"a.{c}"), F.lit(0).cast("bigint")) + F.coalesce(F.col(f"b.{c}"), F.lit(0).cast("bigint"))
 
-    carried = F.when(F.coalesce(F.col("b.ok"), F.lit(0)) > 0, F.col("b.consecutive_failures")).otherwise(
-        count("consecutive_failures")
-    )
+    carried = F.when(F.coalesce(F.col("b.ok"), F.lit(0)) > 0, F.col("b.consecutive_failures")).otherwise(count("consecutive_failures"))
     return joined.select(
-        "target", *[pick(c) for c in ("last_status", "last_ts", "last_samples", "last_duration_ms")],
-        carried.alias("consecutive_failures"), *[count(s).alias(s) for s in STATUSES],
+        "target", *[F.when(newer, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in picked],
+        carried.alias("consecutive_failures"), *[count(c).alias(c) for c in (*counts, "late")],
     )
 
 
 def stream_target_status(outcomes: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Running status per target; attempts arrive in order."""
+    """Running status per target; attempts that come late are counted and left out."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         _keep(fold_status(_previous(batch.sparkSession, state, batch_id), batch), state, batch_id)
@@ -166,21 +194,24 @@ def stream_target_status(outcomes: DataFrame, state: str, checkpoint: str) -> St
     return _each_batch(outcomes, work, checkpoint)
 
 
-def stream_latest_series(samples: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Latest value per series; each batch writes the series that changed."""
-    rows = samples.select(
-        series_key(samples).alias("series_key"), micros("ts").alias("ts_us"), "seq", "value"
-    ).withColumn("_order", arrival_order())
-    newest = rows.groupBy("series_key").agg(
-        latest("value", F.col("_order")).alias("value"), F.max("ts_us").alias("ts_us"), F.max("_order").alias("ord")
-    )
-    return _each_batch(newest, lambda df, i: _put(df, f"{out}/batch={i}"), checkpoint, mode="update")
+def stream_latest_series(samples: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
+    """Latest value per series, as one table that each batch brings up to date."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(series_key(batch).alias("series_key"), micros("ts").alias("ts_us"), "seq", "value")
+        rows = rows.withColumn("ord", arrival_order()).drop("seq")
+        before = _previous(batch.sparkSession, state, batch_id)
+        both = rows if before is None else before.unionByName(rows)
+        _keep(both.groupBy("series_key").agg(
+            latest("value", F.col("ord")).alias("value"), F.max("ts_us").alias("ts_us"), F.max("ord").alias("ord"),
+        ), state, batch_id)
+
+    return _each_batch(samples, work, checkpoint)
 
 
-def latest_series(spark: SparkSession, out: str) -> DataFrame:
+def latest_series(spark: SparkSession, state: str) -> DataFrame:
     """Current table behind :func:`stream_latest_series`."""
-    rows = spark.read.parquet(out)
-    return rows.groupBy("series_key").agg(F.max_by("value", "ord").alias("value"), F.max("ts_us").alias("ts_us"))
+    return current_state(spark, state).drop("ord")
 
 
 def dedupe_payloads(payloads: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from gaugeline.functions.scalars import epoch_micros
 from gaugeline.operators import health, targets as T
+from gaugeline.operators.rangequery import TooManyPoints
 from gaugeline.plans import cold, hot, shaping
 
 NOW = dt.datetime(2024, 1, 10)
@@ -78,15 +79,21 @@ def ring_rows(spark, seconds):
 
 def test_whole_seconds_leave_out_a_newest_scrape_between_seconds(spark):
     rows = ring_rows(spark, [0, 15, 30.5])
-    kept = hot.dashboard_points(rows, hot.plan_window(rows, "1h", NOW))[0]
-    exact = hot.dashboard_points(rows, hot.plan_window(rows, "1h", NOW, whole_seconds=False))[0]
+    kept = hot.dashboard_points(rows, hot.plan_window(rows, "1h", NOW, whole_seconds=True))
+    exact = hot.dashboard_points(rows, hot.plan_window(rows, "1h", NOW))
     assert (kept.count(), exact.count()) == (2, 3)
 
 
-def test_dashboard_widens_a_shared_step(spark):
+def test_dashboard_raises_beyond_a_cap_and_drops_nothing(spark):
     rows = ring_rows(spark, range(0, 600, 5))
-    points, plan = hot.dashboard_points(rows, hot.plan_window(rows, "1h", NOW), max_points=10)
-    assert plan.step > 15 and points.count() <= 10
+    plan = hot.plan_window(rows, "1h", NOW)
+    with pytest.raises(TooManyPoints):
+        hot.dashboard_points(rows, plan, max_points=10)
+    many = [(1000 + i, NOW - dt.timedelta(seconds=300), "visitors_total", 1.0, f'{{"region":"r{i}"}}') for i in range(40)]
+    both = rows.unionByName(spark.createDataFrame(many, rows.schema))
+    with pytest.raises(TooManyPoints):
+        hot.dashboard_points(both, plan, max_points=39)
+    assert hot.visitors(hot.dashboard_points(both, plan)).count() == 40
     d = hot.dashboard(rows, "1h", NOW)
     assert d["summary"].first()["error_count"] > 0 and [r["name"] for r in d["names"].collect()] == ["http_requests_total"]
 
@@ -114,6 +121,17 @@ def test_unknown_aggregation_means_avg(spark):
     assert cold.custom_series(m, "m", "24h", NOW, "p50", approx=True).first()["v"] in (1.0, 3.0)
 
 
+def test_summary_counts_errors_of_all_paths(spark):
+    rows = [(1, "http_requests_total", 1.0, f'{{"path":"/{i:02d}","status":"500"}}') for i in range(30)]
+    d = cold.dashboard(cold_rows(spark, rows), "all", NOW)
+    assert d["errors"].count() == 20 and tuple(d["summary"].first())[-2:] == (1.0, 30.0) and not d["names_cut"].first()[0]
+    first = [(i, NOW - dt.timedelta(seconds=60), "http_requests_total", 0.0, f'{{"path":"/{i}","status":"500"}}') for i in range(30)]
+    last = [(100 + i, NOW - dt.timedelta(seconds=10), n, 1.0, labels) for i, _, n, _, labels in first]
+    hot_rows = spark.createDataFrame(first + last, "seq bigint, ts timestamp_ntz, name string, value double, labels string")
+    d = hot.dashboard(hot_rows, "1h", NOW)
+    assert d["errors"].count() == 20 and tuple(d["summary"].first())[-2:] == (1.0, 30.0)
+
+
 def test_top_errors_take_twenty_and_break_ties_by_path(spark):
     rows = [(1, "http_requests_total", 1.0, f'{{"path":"/{i:02d}","status":"500"}}') for i in range(25)]
     out = cold.error_distribution(cold_rows(spark, rows), "all", NOW).collect()

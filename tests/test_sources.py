@@ -29,7 +29,7 @@ def test_files_are_matched_by_name(spark):
     h.select("labels", "value", "name", "ts", "metric_type", F.lit(1).alias("extra")).write.parquet(f"{base}/metrics_cold_2.parquet")
     paths = M.resolve_paths(spark, base)
     assert [os.path.basename(p) for p in paths] == ["metrics_cold_1.parquet", "metrics_cold_2.parquet"]
-    df = M.read_metrics(spark, paths)
+    df = M.read_metrics(spark, paths, extra=True)
     assert df.count() == 4 and df.filter("metric_type IS NULL AND extra IS NULL").count() == 2
     assert M.read_metrics(spark, paths, extra=False).columns == [f.name for f in M.METRICS_SCHEMA]
     assert M.read_metrics(spark, paths[0]).columns[-1] == "metric_type"
@@ -86,7 +86,9 @@ def test_horizons():
 
 def test_compaction_splits_without_loss(spark):
     base = work_dir(spark, "compact")
-    retention.compact(history(spark, range(40)), NOW - dt.timedelta(days=30), f"{base}/cold", f"{base}/hot")
+    export = retention.compact(history(spark, range(40)), NOW - dt.timedelta(days=30), f"{base}/cold", "20240101", f"{base}/hot")
+    assert [r["path"] for r in M.list_exports(spark, f"{base}/cold").collect()] == M.resolve_paths(spark, f"{base}/cold")
+    assert M.read_metrics(spark, export).columns == [f.name for f in M.METRICS_SCHEMA]
     cold, hot = spark.read.parquet(f"{base}/cold"), spark.read.parquet(f"{base}/hot")
     assert sorted(r["value"] for r in cold.collect()) == list(range(31, 40))
     assert sorted(r["value"] for r in hot.collect()) == list(range(31))

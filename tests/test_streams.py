@@ -69,11 +69,31 @@ def test_target_status_folds_to_the_batch_result(spark):
     S.stream_target_status(S.read_files(spark, f"{base}/in/*", like), f"{base}/state", f"{base}/cp").awaitTermination()
     out = S.current_state(spark, f"{base}/state")
     whole = spark.createDataFrame([r for b in batches for r in b], OUTCOMES)
+    assert {(r["target"], r["last_attempt"], r["late"]) for r in out.collect()} == {("a", 7, 0), ("b", 4, 0), ("c", 5, 0)}
+    out = out.drop("last_attempt", "late")
     expected = health.outcome_rollup(whole).join(health.failure_streak(whole), "target").select(*out.columns)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, expected.collect()))
     assert {r["target"]: r["consecutive_failures"] for r in out.collect()} == {"a": 1, "b": 3, "c": 0}
 
 
+def test_a_late_attempt_changes_nothing_but_its_count(spark):
+    state = work_dir(spark, "late")
+    batches = [[outcome(5, "a", "ok")], [outcome(3, "a", "fetch_error"), outcome(4, "b", "fetch_error")], [outcome(6, "a", "timeout"), outcome(5, "a", "ok")]]
+    for i, rows in enumerate(batches):
+        S._keep(S.fold_status(S._previous(spark, state, i), spark.createDataFrame(rows, OUTCOMES)), state, i)
+    out = {r["target"]: r for r in S.current_state(spark, state).collect()}
+    assert (out["a"]["last_status"], out["a"]["last_attempt"], out["a"]["consecutive_failures"], out["a"]["ok"], out["a"]["other"], out["a"]["late"]) == (None, 6, 1, 1, 1, 2)
+    assert (out["b"]["last_status"], out["b"]["late"]) == ("fetch_error", 0)
+
+
+def test_equal_times_across_batches_follow_arrival(spark):
+    rows = [[sample(0, 0, 1.0), sample(1, 5, 4.0)], [sample(2, 5, 6.0), sample(3, 5, 7.0)], [sample(1, 5, 9.0)]]
+    base, like = land(spark, rows, SCHEMA)
+    S.stream_counter_diffs(S.read_files(spark, f"{base}/in/*", like), f"{base}/out", f"{base}/state", f"{base}/cp").awaitTermination()
+    assert sorted(r["diff"] for r in spark.read.parquet(f"{base}/out/diffs").collect()) == [1.0, 2.0, 3.0]
+    assert [r["count"] for r in spark.read.parquet(f"{base}/out/late").collect()] == [1]
+
+
 def test_a_repeated_state_batch_changes_nothing(spark):
     state = work_dir(spark, "slots")
     first, second = (spark.createDataFrame([outcome(i, "a", "fetch_error")], OUTCOMES) for i in (0, 1))
@@ -86,8 +106,10 @@ def test_windows_close_with_the_watermark(spark):
     schema = "ts timestamp_ntz, name string, value double"
     rows = [[(NOW + dt.timedelta(minutes=m), "http_requests_total", 1.0) for m in (0, 10, 70)], [(NOW + dt.timedelta(minutes=200), "http_request_duration_ms", 3.0)]]
     base, like = land(spark, rows, schema)
-    S.stream_throughput(S.read_files(spark, f"{base}/in/*", like), f"{base}/out", f"{base}/cp").awaitTermination()
+    query = S.stream_throughput(S.read_files(spark, f"{base}/in/*", like), f"{base}/out", f"{base}/cp", approx_p99=True)
+    query.awaitTermination()
     assert sorted(r["reqs"] for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2]
+    assert spark.read.parquet(f"{base}/out").columns == ["bucket_us", "reqs", "avg_ms", "p99_ms"] and S.dropped_by_watermark(query) == 0
 
 
 def test_replayed_payloads_are_dropped(spark):
