@@ -211,12 +211,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id:
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with one row left of each group: the smallest doc_id (null last), then the smallest text hash."""
-    names, order = docs.columns, F.struct(F.col("id").isNull(), F.col("id"), F.col("text_hash"))
-    marked = with_fingerprints(docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), F.col(text).alias("text"), F.col(doc_id).alias("id")), shingle)
-    marked = stored(marked.select("doc", "id", F.xxhash64("text").alias("text_hash"), "fingerprint"), "simhash-docs")
-    rooted = with_roots(marked.select("id", "text_hash", "fingerprint"), radius)
-    first = rooted.groupBy("root").agg(F.min(order).alias("first")).select(
-        F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), "root")
-    owner = rooted.select("fingerprint", "root").distinct().join(first, "root").select("fingerprint", "id", "text_hash", "root")
-    left = marked.alias("m").join(owner.alias("o"), (F.col("m.fingerprint") == F.col("o.fingerprint")) & F.col("m.id").eqNullSafe(F.col("o.id")) & (F.col("m.text_hash") == F.col("o.text_hash")))
-    return left.select("m.doc", "o.root").dropDuplicates(["root"]).select("doc.*")
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), F.col(text).alias("text"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
+    marked = with_fingerprints(rows, shingle).select("doc", "id", "row", F.xxhash64("text").alias("text_hash"), "fingerprint")
+    marked = stored(marked, "simhash-docs")  # from here on a row's number is what was written
+    rooted = with_roots(marked.select("id", "row", "text_hash", "fingerprint"), radius)
+    order = F.struct(F.col("id").isNull(), "id", "text_hash", "row")
+    first = rooted.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return marked.join(first, "row", "left_semi").select("doc.*")
