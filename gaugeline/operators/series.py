@@ -56,25 +56,42 @@ def counter_diffs(
     if chunk_us == MEASURED:
         chunk_us = chunk_width(points, keys)
     order = ["ts_us", *([seq] if seq else [])]
-    rows = points.withColumn("_v", finite_or_null(value)).withColumn("_own", F.lit(1))
-    parts = list(keys)
-    if chunk_us is not None:
-        rows = rows.withColumn("_chunk", chunk_of("ts_us", chunk_us))
-        tail = arrival_order("ts_us", seq if seq else F.lit(0))
-        edges = rows.groupBy(*keys, "_chunk").agg(F.max_by("_v", tail).alias("_v"))
-        following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
-        edges = edges.withColumn("_chunk", following).filter(F.col("_chunk").isNotNull()).withColumn("_own", F.lit(0))
-        rows = rows.unionByName(edges, allowMissingColumns=True)
-        parts.append("_chunk")
-    window = Window.partitionBy(*parts).orderBy("_own", *order)
+    if chunk_us is None:
+        rows = points.withColumn("_v", finite_or_null(value))
+        rows = rows.withColumn("_prev", F.lag("_v").over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        rows = _lagged_in_chunks(points, keys, finite_or_null(value), order, chunk_us, arrival_order("ts_us", seq if seq else F.lit(0)))
     return (
-        rows.withColumn("_prev", F.lag("_v").over(window))
-        .filter((F.col("_own") == 1) & F.col("_v").isNotNull() & F.col("_prev").isNotNull())
+        rows.filter(F.col("_v").isNotNull() & F.col("_prev").isNotNull())
         .withColumn("diff", clamp_zero(F.col("_v") - F.col("_prev")))
-        .drop("_v", "_prev", "_own", "_chunk")
+        .drop("_v", "_prev")
     )
 
 
+def _lagged_in_chunks(
+    rows: DataFrame, keys: Sequence[str], value: Column, order: Sequence[str], width: int, tail: Column
+) -> DataFrame:
+    """Adds the value of each row as ``_v`` and of the row before it as ``_prev``.
+
+    Rows are dealt out once, by 128 hashed bits of series and chunk. The window, the last value of
+    each chunk and the join that brings it to the first row of the next chunk all use that exchange;
+    only the last values, one row per chunk, move again.
+    """
+    cut = rows.withColumn("_chunk", chunk_of("ts_us", width))
+    of = [*keys, "_chunk"]
+    marks = {"_g": F.xxhash64(*of), "_h": F.xxhash64(F.lit("second"), *of)}
+    dealt = cut.withColumns(marks).repartition("_g", "_h").withColumn("_v", value)
+    inside = Window.partitionBy("_g", "_h", *of).orderBy(*order)
+    lagged = dealt.withColumn("_prev", F.lag("_v").over(inside)).withColumn("_place", F.row_number().over(inside))
+    edges = dealt.groupBy("_g", "_h", *of).agg(F.max_by("_v", tail).alias("_before"))
+    following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    carried = edges.select(*keys, "_before", following.alias("_chunk")).filter(F.col("_chunk").isNotNull())
+    carried = carried.select(*[m.alias(k) for k, m in marks.items()], "_before")
+    joined = lagged.join(carried, ["_g", "_h"], "left")
+    first = F.when(F.col("_place") == 1, F.col("_before")).otherwise(F.col("_prev"))
+    return joined.withColumn("_prev", first).drop("_g", "_h", "_chunk", "_place", "_before")
+
+
 def running_total(
     rows: DataFrame, keys: Sequence[str], order: str, value: str, width: int, out: str = "running"
 ) -> DataFrame:
