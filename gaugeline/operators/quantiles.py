@@ -75,17 +75,25 @@ def exact_quantiles(
     value: str,
     probabilities: Mapping[str, float],
     direct_rows: int = DIRECT_ROWS,
+    riding: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probabilities``; nulls are ignored.
 
     Runs the first counting pass at once, because the second depends on how full the bins are.
+    ``riding`` are further aggregates that add up, such as counts and sums: they are taken in the
+    counting pass over all rows, and then every group has a row, also one without values.
     """
     wanted = list(probabilities.values())
-    base = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    base = base.withColumn("_fine", _fine_bin(F.col("_v")))
+    binned = rows.withColumn("_v", F.col(value)).withColumn("_fine", _fine_bin(F.col("_v")))
+    binned = binned.withColumn("_part", F.when(F.col("_v").isNotNull(), F.shiftright("_fine", _COARSE_SHIFT)))
+    base = binned.filter(F.col("_v").isNotNull()).select(*keys, "_v", "_fine")
     coarse = base.withColumn("_part", F.shiftright("_fine", _COARSE_SHIFT))
 
-    counts = coarse.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    if riding:
+        all_counts = checkpointed(binned.groupBy(*keys, "_part").agg(F.count("_v").alias("_c"), *[c.alias(n) for n, c in riding.items()]))
+        counts = all_counts.filter(F.col("_part").isNotNull()).select(*keys, "_part", "_c")
+    else:
+        counts = coarse.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
     sized = counts.withColumnRenamed("_part", "_bin").withColumn(
         "_n", F.sum("_c").over(Window.partitionBy(*keys))
     ).withColumn("_below", F.lit(0).cast("bigint"))
@@ -120,4 +128,12 @@ def exact_quantiles(
         picks.append(F.max(at - low).alias(f"_{name}_at"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         result.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.col(f"_{name}_at")).alias(name))
-    return found.groupBy(*keys).agg(*picks).select(*result)
+    ranked = found.groupBy(*keys).agg(*picks).select(*result)
+    if not riding:
+        return ranked
+    totals = all_counts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in riding])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        ranked = ranked.withColumnRenamed(k, f"_key_{i}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return totals.join(ranked, same, "left").drop(*[f"_key_{i}" for i in range(len(keys))])

@@ -31,14 +31,6 @@ def _scope(metrics: DataFrame, range_key: str, target: str | None, as_of: dt.dat
     return metrics.filter(P.in_range(metrics, range_key, as_of) & P.of_target(metrics, target))
 
 
-def _quantiles(
-    rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], approx: bool
-) -> DataFrame:
-    if approx:
-        return rows.groupBy(*keys).agg(*[F.percentile_approx(value, p).alias(n) for n, p in wanted.items()])
-    return exact_quantiles(rows, keys, value, wanted)
-
-
 def throughput_latency(
     metrics: DataFrame, range_key: str, as_of: dt.datetime, target: str | None = "", approx: bool = False
 ) -> DataFrame:
@@ -47,17 +39,19 @@ def throughput_latency(
     Buckets come from rows of any metric. ``approx=True`` swaps the exact quantile for a sketch
     and gives different numbers.
     """
+    duration = F.when(P.named(DURATION), F.col("value"))
     rows = _scope(metrics, range_key, target, as_of).select(
-        bucket_us(P.range_bucket(range_key)).alias("bucket_us"), "name", "value"
-    )
-    counted = rows.groupBy("bucket_us").agg(
-        F.count_if(P.named(REQUESTS)).alias("reqs"), F.avg(F.when(P.named(DURATION), F.col("value"))).alias("avg_ms")
+        bucket_us(P.range_bucket(range_key)).alias("bucket_us"), "name", duration.alias("duration")
     )
-    slow = _quantiles(rows.filter(P.named(DURATION)), ["bucket_us"], "value", {"p99_ms": 0.99}, approx)
-    # One row per time bucket on either side.
-    slow = slow.withColumnRenamed("bucket_us", "_bucket_us")
-    joined = counted.join(slow, F.col("bucket_us").eqNullSafe(F.col("_bucket_us")), "left")
-    return joined.select("bucket_us", "reqs", "avg_ms", "p99_ms").orderBy("bucket_us")
+    reqs = F.count_if(P.named(REQUESTS))
+    if approx:
+        sketch = F.percentile_approx("duration", 0.99).alias("p99_ms")
+        return rows.groupBy("bucket_us").agg(reqs.alias("reqs"), F.avg("duration").alias("avg_ms"), sketch).orderBy("bucket_us")
+    # Counts and sums ride in the counting pass of the quantiles: two scans in all.
+    riding = {"reqs": reqs, "_sum": F.sum("duration"), "_n": F.count("duration")}
+    out = exact_quantiles(rows, ["bucket_us"], "duration", {"p99_ms": 0.99}, riding=riding)
+    mean = F.col("_sum") / F.nullif("_n", F.lit(0).cast("bigint"))
+    return out.select("bucket_us", "reqs", mean.alias("avg_ms"), "p99_ms").orderBy("bucket_us")
 
 
 def error_counts(
@@ -143,10 +137,11 @@ def custom_series(
     rows = rows.select(bucket_us(P.range_bucket(range_key)).alias("bucket_us"), "value")
     n = F.count(F.lit(1)).alias("n")
     if agg in _RANKED:
-        ranked = _quantiles(rows, ["bucket_us"], "value", {"v": _RANKED[agg]}, approx)
-        ranked = ranked.withColumnRenamed("bucket_us", "_bucket_us")
-        counted = rows.groupBy("bucket_us").agg(n)
-        out = counted.join(ranked, F.col("bucket_us").eqNullSafe(F.col("_bucket_us")), "left").select("bucket_us", "v", "n")
+        if approx:
+            out = rows.groupBy("bucket_us").agg(F.percentile_approx("value", _RANKED[agg]).alias("v"), n)
+        else:
+            out = exact_quantiles(rows, ["bucket_us"], "value", {"v": _RANKED[agg]}, riding={"n": F.count(F.lit(1))})
+        out = out.select("bucket_us", "v", "n")
     else:
         v = F.count(F.lit(1)) if agg == "count" else _SIMPLE.get(agg, F.avg)("value")
         out = rows.groupBy("bucket_us").agg(v.alias("v"), n)
