@@ -365,6 +365,12 @@ def _(c: Inputs):
     return c.hot.select("seq", S.prom_float("value").alias("v"))
 
 
+@query("prom_float_fractions", r"SELECT o_orderkey, regexp_replace(CAST(o_totalprice / 8 AS VARCHAR), '\.0$', '') AS v, regexp_replace(CAST(o_totalprice / 3 AS VARCHAR), '\.0$', '') AS w FROM orders")
+def _(c: Inputs):
+    price = F.col("o_totalprice")
+    return c.table("orders").select("o_orderkey", S.prom_float(price / 8).alias("v"), S.prom_float(price / 3).alias("w"))
+
+
 @query("round2", "SELECT o_orderkey, round(o_totalprice / 3, 2) AS v FROM orders")
 def _(c: Inputs):
     return c.table("orders").select("o_orderkey", S.round2(F.col("o_totalprice") / 3).alias("v"))

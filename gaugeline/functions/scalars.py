@@ -93,10 +93,32 @@ def _shortest(values: pd.Series) -> pd.Series:
     return pd.Series(text, dtype=object)
 
 
+def _parts(text: Column) -> tuple[Column, Column, Column]:
+    """Digits before and after the point of the JVM's text for a number, and its power of ten."""
+    fraction = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]*)", 1), r"0+$", "")
+    power = F.coalesce(F.nullif(F.regexp_extract(text, r"E[+]?(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.regexp_extract(text, r"^-?([0-9]+)", 1), fraction, power
+
+
+def plain_digits(text: Column) -> Column:
+    """The JVM's text for a finite number without power of ten and without a bare fraction of zeros."""
+    whole, fraction, power = _parts(text)
+    digits = F.concat(whole, fraction)
+    point = F.length(whole) + power
+    size = F.length(digits)
+    spread = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
+    )
+    return F.concat(F.when(text.startswith("-"), "-").otherwise(""), spread)
+
+
 def prom_float(value: str | Column) -> Column:
     """Shortest plain decimal; ``NaN``, ``+Inf`` and ``-Inf`` for the special values.
 
-    Whole numbers, the common case, stay in the JVM; only fractions reach the Python worker.
+    Stays in the JVM where its text has at most 15 digits: no two such decimals are one double, so
+    that text is the shortest. Only longer ones reach the Python worker.
     """
     v = _col(value)
     special = (
@@ -107,9 +129,13 @@ def prom_float(value: str | Column) -> Column:
         .when(v.cast("string") == "-0.0", "-0")
     )
     whole = (F.abs(v) <= 9007199254740992) & (v == F.floor(v))
-    ordinary = ~F.isnan(v) & (F.abs(v) < F.lit(_INF)) & ~whole
-    return special.when(whole, F.when(whole, v).cast("bigint").cast("string")).otherwise(
-        _shortest(F.when(ordinary, v))
+    text = v.cast("string")
+    before, after, _ = _parts(text)
+    short = (F.length(before) + F.length(after) <= 15) & (F.abs(v) > 1e-300)
+    rest = ~F.isnan(v) & (F.abs(v) < F.lit(_INF)) & ~whole & ~short
+    return (
+        special.when(whole, F.when(whole, v).cast("bigint").cast("string"))
+        .when(short, plain_digits(text)).otherwise(_shortest(F.when(rest, v)))
     )
 
 
@@ -134,7 +160,6 @@ def float_text(text: Column) -> Column:
         .when(number == F.lit(_INF), "+Inf")
         .when(number == F.lit(-_INF), "-Inf")
         .when((digits <= 15) & exact.isNotNull() & (exact.cast("double") == number), plain)
-        .otherwise(
-            F.when(F.abs(number) < 1e18, F.regexp_replace(number.cast("string"), r"\.0$", "")).otherwise(text)
-        )
+        .when((digits <= 15) & text.rlike(r"^-?[1-9][0-9]*(\.[0-9]+)?[eE][+-]?[0-9]{1,3}$"), plain_digits(F.upper(text)))
+        .otherwise(plain_digits(number.cast("string")))
     )

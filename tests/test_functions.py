@@ -27,9 +27,9 @@ def test_prom_float_spellings(spark):
 
 
 def test_float_text(spark):
-    texts = ["5.0", "5", "0.50", "1e3", "1e-05", "+Inf", "NaN", "abc", "100", "10.0", "0.0", "-0.50", "2.5"]
+    texts = ["5.0", "5", "0.50", "1e3", "1e-05", "+Inf", "NaN", "abc", "100", "10.0", "0.0", "-0.50", "2.5", "1e22", "2E+23", "1.25e9", "-1.5E-9"]
     assert column(spark, texts, "string", S.float_text) == [
-        "5", "5", "0.5", "1000", "0.00001", "+Inf", "NaN", "abc", "100", "10", "0", "-0.5", "2.5",
+        "5", "5", "0.5", "1000", "0.00001", "+Inf", "NaN", "abc", "100", "10", "0", "-0.5", "2.5", "1" + "0" * 22, "2" + "0" * 23, "1250000000", "-0.0000000015",
     ]
 
 
