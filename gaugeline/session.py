@@ -41,9 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder path below the application's part of the shared folder; nothing is created yet."""
+    return f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application wrote below :func:`work_dir`, once no result that reads it is needed any more."""
+    system, path = file_system(spark, _run_dir(spark))
+    system.delete(path, True)
 
 
 def file_system(spark: SparkSession, path: str):

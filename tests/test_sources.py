@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.operators import grid
-from gaugeline.session import broadcast_if, small_side, work_dir
+from gaugeline.session import broadcast_if, clear_work, small_side, work_dir
 from gaugeline.sources import metrics as M, retention, sinks
 
 NOW = dt.datetime(2024, 3, 1)
@@ -32,7 +32,7 @@ def test_files_are_matched_by_name(spark):
     df = M.read_metrics(spark, paths, extra=True)
     assert df.count() == 4 and df.filter("metric_type IS NULL AND extra IS NULL").count() == 2
     assert M.read_metrics(spark, paths, extra=False).columns == [f.name for f in M.METRICS_SCHEMA]
-    assert M.read_metrics(spark, paths[0]).columns[-1] == "metric_type"
+    assert M.read_metrics(spark, paths[0], extra=True).columns[-1] == "metric_type"
 
 
 def test_resolving_sources(spark):
@@ -84,6 +84,14 @@ def test_horizons():
             retention.check_horizons(*bad)
 
 
+def test_work_folders_go_at_once(spark):
+    path = work_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path)
+    clear_work(spark)
+    assert not os.path.exists(path)
+
+
 def test_compaction_splits_without_loss(spark):
     base = work_dir(spark, "compact")
     export = retention.compact(history(spark, range(40)), NOW - dt.timedelta(days=30), f"{base}/cold", "20240101", f"{base}/hot")
