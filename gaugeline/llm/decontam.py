@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeline.llm.common import raw, stored
 
-#: Bytes of benchmark text that are searched for at once.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that are searched for at once; their tables take some fifty times as much in a worker.
+BLOCK_BYTES = 2 << 20
 #: Blocks that are searched for before the rows are written out.
 CHAINED = 8
 #: 0-9, a-z and everything beyond ASCII make words; A-Z become a-z; the rest separates.
@@ -77,6 +77,20 @@ class Search:
         return items
 
 
+_built: list[tuple[list, int, Search]] = []
+
+
+def search_for(block: list, window: int) -> Search:
+    """The tables of a block; a worker builds them once and keeps those of one chain of blocks."""
+    for known, size, search in _built:
+        if known is block and size == window:
+            return search
+    search = Search(block, window)
+    _built.append((block, window, search))
+    del _built[:-CHAINED]
+    return search
+
+
 def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark's items in blocks of about the given size."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), raw(text).alias("text")).distinct()
@@ -92,7 +106,7 @@ def scan(sent: Broadcast, window: int):
 
     @F.pandas_udf("n_words long, spans array<long>, items array<string>")
     def search(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        table = Search(sent.value, window)
+        table = search_for(sent.value, window)
         for texts, before in batches:
             rows = []
             for content, spans, items in zip(texts, before["spans"], before["items"], strict=True):
