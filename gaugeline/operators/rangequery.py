@@ -18,6 +18,8 @@ from .latest import latest_by_labels
 MAX_POINTS = 10_000
 MAX_RANGE_SECONDS = 7 * 24 * 3600
 RETRIES = 2
+# Fixed value: how much wider than needed a widened step is made.
+MARGIN = 1.05
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ class RangeQuery:
 
 class TooManyPoints(ValueError):
     def __init__(self, points: int, limit: int):
-        super().__init__(f"query would return {points} points (limit {limit}); increase step")
+        super().__init__(f"the answer has {points} points, {limit} are allowed; take a wider step")
         self.points = points
 
 
@@ -64,9 +66,9 @@ def range_args(
     width = step_value(step)
     finish = min(finish, _seconds(as_of, "as_of"))
     if finish <= begin:
-        raise ValueError("end must be after start")
+        raise ValueError("the range is empty: it ends no later than it starts")
     if finish - begin > MAX_RANGE_SECONDS:
-        raise ValueError(f"range exceeds {MAX_RANGE_SECONDS // 86400} days")
+        raise ValueError(f"the range is longer than {MAX_RANGE_SECONDS // 86400} days")
     return RangeQuery(name.strip(), int(begin * 1e6), int(finish * 1e6), int(width * 1e6), dict(matchers or {}))
 
 
@@ -113,7 +115,7 @@ def query_range(samples: DataFrame, query: RangeQuery, max_points: int | None =
 
 
 def widened(step: float, points: int, limit: int = MAX_POINTS) -> int:
-    return max(math.floor(step) + 1, math.ceil(step * points * 1.05 / limit))
+    return max(math.floor(step) + 1, math.ceil(step * points * MARGIN / limit))
 
 
 def query_range_adaptive(
