@@ -228,6 +228,16 @@ def _(c: Inputs):
     return health.collector_health(health.target_status(c.view("scrape_outcomes"), c.targets()))
 
 
+@query("health_snapshot", """SELECT h.*, s.*, j.* FROM (SELECT CASE WHEN bool_or(consecutive_failures > 0) THEN 'degraded'
+  WHEN bool_or(enabled AND mode = 'recurring' AND last_ts IS NULL) THEN 'starting' ELSE 'ok' END AS status, count(*) AS targets FROM status_rows) h,
+  (SELECT epoch_us(arg_min(ts, seq)) AS oldest_us, epoch_us(arg_max(ts, seq)) AS newest_us, count(*) AS samples, CAST(20000 AS BIGINT) AS capacity FROM hot_samples) s,
+  (SELECT count(*) FILTER (WHERE state = 'pending') AS depth, count(*) FILTER (WHERE state = 'running') AS running,
+    count(*) FILTER (WHERE state = 'done') AS done, count(*) FILTER (WHERE state = 'failed') AS failed FROM scrape_jobs) j""")
+def _(c: Inputs):
+    status = health.target_status(c.view("scrape_outcomes"), c.targets())
+    return health.snapshot(status, c.hot, c.view("scrape_jobs"))
+
+
 @query("failure_streak", """SELECT o.target, count(*) FILTER (WHERE attempt_seq > coalesce(k.last_ok, -1)) AS consecutive_failures
 FROM scrape_outcomes o LEFT JOIN (SELECT target, max(attempt_seq) AS last_ok FROM scrape_outcomes WHERE status = 'ok' GROUP BY 1) k USING (target)
 GROUP BY 1""")

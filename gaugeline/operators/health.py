@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import small_side
+from .ring import buffer_occupancy, buffer_span
 
 # Outcome states and the number of finished jobs shown.
 STATUSES = ("ok", "fetch_error", "parse_error")
@@ -71,6 +72,16 @@ def collector_health(status: DataFrame) -> DataFrame:
     return status.agg(state.alias("status"), F.count(F.lit(1)).alias("targets"))
 
 
+def snapshot(status: DataFrame, samples: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row for a dashboard: state and targets, what the recent window covers and holds, and the queue."""
+    window, held, queue = (F.struct("oldest_us", "newest_us"), F.struct("samples", "capacity"), F.struct("depth", "running", "done", "failed"))
+    row = collector_health(status).select(
+        "*", buffer_span(samples).select(window).scalar().alias("window"), buffer_occupancy(samples).select(held).scalar().alias("held"),
+        job_summary(jobs).select(queue).scalar().alias("queue"),
+    )
+    return row.select("status", "targets", "window.*", "held.*", "queue.*")
+
+
 def job_summary(jobs: DataFrame, cap: int = 256, paused: bool = False, frozen: bool = False) -> DataFrame:
     """Queue depth, running jobs and lifetime results."""
     def of(state: str) -> Column:
