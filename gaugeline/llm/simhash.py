@@ -194,19 +194,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
-def with_roots(marked: DataFrame, radius: int) -> DataFrame:
-    """Rows with a fingerprint get the root fingerprint of their group."""
-    prints = stored(marked.select("fingerprint").distinct(), "simhash-prints")
-    roots = components(linked(prints, radius)).withColumnRenamed("u", "fingerprint")
-    return marked.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+def rooted_prints(prints: DataFrame, radius: int) -> DataFrame:
+    """Different fingerprints, with further columns, get the root fingerprint of their group."""
+    held = stored(prints, "simhash-prints")
+    roots = components(linked(held.select("fingerprint"), radius)).withColumnRenamed("u", "fingerprint")
+    return held.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its group)."""
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its group).
+
+    Copies are one fingerprint from the first grouping on, so a heap of them meets only in the last join, which has
+    one row for a fingerprint on its other side and can be split.
+    """
     marked = stored(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle).select("doc_id", "fingerprint"), "simhash")
-    rooted = with_roots(marked, radius)
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    prints = rooted_prints(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), radius)
+    smallest = prints.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(prints.join(smallest, "root").select("fingerprint", "component_id"), "simhash-components")
+    return marked.join(named, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,7 +220,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id: str = "
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), F.col(text).alias("text"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
     marked = with_fingerprints(rows, shingle).select("doc", "id", "row", F.xxhash64("text").alias("text_hash"), "fingerprint")
     marked = stored(marked, "simhash-docs")  # from here on a row's number is what was written
-    rooted = with_roots(marked.select("id", "row", "text_hash", "fingerprint"), radius)
     order = F.struct(F.col("id").isNull(), "id", "text_hash", "row")
-    first = rooted.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    prints = rooted_prints(marked.groupBy("fingerprint").agg(F.min(order).alias("first")), radius)
+    first = prints.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return marked.join(first, "row", "left_semi").select("doc.*")
