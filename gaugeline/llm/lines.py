@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeline.session import small_side
+
 RATIO, PAGES = 0.1, 3
 _ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -50,7 +52,7 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, le
 def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least: int = PAGES, counts: bool = False) -> DataFrame:
     """All rows and columns with the text's boilerplate lines left out; with ``counts``, a struct of lines and dropped lines too."""
     names = pages.columns
-    listed = boilerplate(pages, site, text, ratio, least)
+    listed = small_side(boilerplate(pages, site, text, ratio, least))  # measured: where it is small, no text is shuffled
     rows = pages.select(F.struct(*[pages[c] for c in names]).alias("page"), pages[site].alias("site"), pages[text].alias("text"))
     rows = rows.alias("p").join(listed.alias("b"), F.col("p.site").eqNullSafe(F.col("b.site")), "left").select("page", "text", "lines")
     split = rows.withColumn("parts", F.split("text", "\n", -1)).withColumn("hashes", F.when(F.col("lines").isNotNull(), bare(F.col("text"))))
