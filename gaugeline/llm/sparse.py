@@ -140,8 +140,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, doc_id: str = "doc_id",
     whole, differing = around.where(F.col("shared") & (F.col("end") - F.col("start") >= least)), around.where("NOT shared")
     # Two owners of each kind of repeated surroundings stand for all, where others of its head differ.
     unlike = differing.select("head").distinct()
-    one = F.struct("owner", "place")
-    stands = whole.join(unlike, "head", "left_semi").groupBy("around").agg(F.array(F.min(one), F.max(one)).alias("two")).select(F.inline("two"))
+    kinds = whole.groupBy("around", "head").agg(
+        F.min("owner").alias("a"), F.min_by("place", "owner").alias("at_a"), F.max("owner").alias("b"), F.max_by("place", "owner").alias("at_b"),
+    )
+    both = F.array(*[F.struct(F.col(o).alias("owner"), F.col(p).alias("place")) for o, p in (("a", "at_a"), ("b", "at_b"))])
+    stands = kinds.join(unlike, "head", "left_semi").select(F.inline(both))
     places = differing.select("owner", "place").unionByName(stands).groupBy("owner").agg(F.collect_set("place").alias("places"))
     extended = stored(passages(rows.join(places, "owner"), least), "passages")
     found = shared_runs(extended, "passage", "owner").select("owner", "doc_id", "start", (F.col("start") + least).alias("end"))
