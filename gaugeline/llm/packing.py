@@ -26,6 +26,8 @@ from gaugeline.llm.tokens import vocabulary
 DIMENSIONS, BITS, BUCKETS = 3, 10, 1 << 10
 #: Bytes of a text that are hashed at once.
 SLICE = 1 << 20
+#: Pieces that leave a task at once.
+ROWS = 1024
 
 
 def projection() -> np.ndarray:
@@ -138,7 +140,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, doc_id:
 
         for row in pieces(documents(), size, TaskContext.get().partitionId() << 32):
             rows.append(row)
-            if len(rows) == 4096:
+            if len(rows) == ROWS:
                 yield frame()
                 rows.clear()
         if rows:

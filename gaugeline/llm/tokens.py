@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: The pre-tokenizer's pattern, the contractions of three characters that it keeps whole though their
 #: prefixes of two characters are two pieces, and control characters that Python alone takes for white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
