@@ -23,8 +23,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; n_chars says what is left."""
-    kept = lines.drop_boilerplate(docs, "source")
+    """All documents, without the boilerplate lines of their source; n_chars says what is left.
+
+    Copies are one page of their source here: they are left to the next stage, which keeps one of them.
+    """
+    kept = lines.drop_boilerplate(docs, "source", once=True)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -7,7 +7,9 @@ site and the lines are dropped within the row.
 
 Defined cases: lines are what lies between line feeds, compared without white space at their ends; lines of white space
 alone are kept and never counted; a null text stays null and counts as a page; a null site is a site of its own; a line
-counts once per page; repeated rows are pages each; a page all of whose lines go keeps an empty text.
+counts once per page; repeated rows are pages each; a page all of whose lines go keeps an empty text. With ``once``, equal
+texts of a site are one page together, in what holds a line and in the total, so copies of a text make no line of it
+boilerplate; all copies lose the same lines.
 """
 
 from __future__ import annotations
@@ -36,12 +38,16 @@ def bare(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), identity)
 
 
-def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least: int = PAGES, once: bool = False) -> DataFrame:
     """(site, lines): the hashes of each site's boilerplate lines."""
     named = pages.select(F.col(site).alias("site"), F.col(text).alias("text"))
+    each = F.array_distinct(bare(F.col("text")))
+    if once:  # a task sends one row of hashes for all copies it has
+        named = named.select("site", each.alias("each"), F.xxhash64("text").alias("text_hash")).dropDuplicates(["site", "text_hash"])
+        each = F.col("each")
     totals = named.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     counted = (
-        named.select("site", F.explode(F.array_distinct(bare(F.col("text")))).alias("line")).where("line IS NOT NULL")
+        named.select("site", F.explode(each).alias("line")).where("line IS NOT NULL")
         .groupBy("site", "line").agg(F.count(F.lit(1)).alias("holding")).where(F.col("holding") >= least)
     )
     joined = counted.alias("c").join(totals.alias("t"), F.col("c.site").eqNullSafe(F.col("t.site")))
@@ -49,10 +55,10 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, le
     return frequent.groupBy(F.col("c.site").alias("site")).agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least: int = PAGES, counts: bool = False) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = RATIO, least: int = PAGES, counts: bool = False, once: bool = False) -> DataFrame:
     """All rows and columns with the text's boilerplate lines left out; with ``counts``, a struct of lines and dropped lines too."""
     names = pages.columns
-    listed = small_side(boilerplate(pages, site, text, ratio, least))  # measured: where it is small, no text is shuffled
+    listed = small_side(boilerplate(pages, site, text, ratio, least, once))  # measured: where it is small, no text is shuffled
     rows = pages.select(F.struct(*[pages[c] for c in names]).alias("page"), pages[site].alias("site"), pages[text].alias("text"))
     rows = rows.alias("p").join(listed.alias("b"), F.col("p.site").eqNullSafe(F.col("b.site")), "left").select("page", "text", "lines")
     split = rows.withColumn("parts", F.split("text", "\n", -1)).withColumn("hashes", F.when(F.col("lines").isNotNull(), bare(F.col("text"))))

@@ -48,3 +48,14 @@ def test_stages_take_odd_and_empty_documents(spark, k):
         if k < len(pipeline.STAGES) - 1:
             assert out.schema.simpleString() == docs.schema.simpleString(), name
         Counter(tuple(map(str, r)) for r in out.collect())
+
+
+def test_copies_that_fill_a_source_keep_their_article(spark):
+    article = lambda k: "\n".join(f"line {i} of article {k} says {k * 31 + i}" for i in range(6))
+    rows = [(i, f"menu\n{article(i)}", "big") for i in range(40)] + [(100 + i, article(500), "big") for i in range(20)]
+    rows += [(200 + i, article(600), "small") for i in range(3)] + [(210 + i, article(600 + i), "small") for i in range(1, 6)]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], table(spark, SF, "documents").schema)
+    kept = {r["doc_id"]: r["text"] for r in pipeline.line_dedup(spark, docs, SF).collect()}
+    assert kept == {d: t.removeprefix("menu\n") for d, t, _ in rows}
+    left = {r["text"] for r in pipeline.simhash_near_dedup(spark, pipeline.line_dedup(spark, docs, SF), SF).collect()}
+    assert article(500) in left and article(600) in left and "" not in left
