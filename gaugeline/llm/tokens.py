@@ -31,6 +31,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units a worker remembers, and the longest one it does.
 REMEMBERED, LONGEST = 250_000, 64
+#: Characters of a unit up to which the second library splits it: its pattern's stack ends at about a million blanks.
+WHOLE = 1 << 16
 #: The pre-tokenizer's pattern, the contractions of three characters that it keeps whole though their
 #: prefixes of two characters are two pieces, and control characters that Python alone takes for white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -237,6 +239,8 @@ class Vocabulary:
     def encoded(self, unit: str) -> bytes:
         """Ids of a unit, four bytes each."""
         if unit.isascii() or max(unit, default="") < SETTLED:
+            if len(unit) > WHOLE:
+                return b"".join(array("I", self.merge.encode_single_piece(x.encode())).tobytes() for x in self.split(unit))
             return array("I", self.merge.encode_ordinary(unit)).tobytes()
         return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
 

@@ -291,6 +291,11 @@ def test_packing_odd_rows_and_empty_table(spark, library):
     assert packing.pack(df.limit(0), VOCABULARY).count() == 0
 
 
+def test_packing_takes_millions_of_blanks(spark, library):
+    rows = [(1, " " * 2_000_000), (2, "a" + "\n" * 2_000_000 + "b"), (3, "short one"), (4, "x" + " \n\t" * 700_000 + "\x1c y"), (5, "é" + " " * 1_200_000)]
+    check_packing(packing.pack(frame(spark, rows), VOCABULARY).collect(), rows, library)
+
+
 def test_hilbert_curve_steps_to_neighbours():
     grid = np.stack(np.meshgrid(*[range(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     place = packing.hilbert(grid, 3)

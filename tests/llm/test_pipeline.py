@@ -59,3 +59,13 @@ def test_copies_that_fill_a_source_keep_their_article(spark):
     assert kept == {d: t.removeprefix("menu\n") for d, t, _ in rows}
     left = {r["text"] for r in pipeline.simhash_near_dedup(spark, pipeline.line_dedup(spark, docs, SF), SF).collect()}
     assert article(500) in left and article(600) in left and "" not in left
+
+
+def test_packing_stage_takes_millions_of_blanks(spark):
+    docs = table(spark, SF, "documents")
+    rows = spark.createDataFrame([(7, " " * 2_000_000, "en", "s", 2_000_000), (8, "a b", "en", "s", 3)], docs.schema)
+    pieces = pipeline.packed_sequences(spark, rows, SF).collect()
+    library = tokens.Vocabulary(pipeline.vocabulary_file()).tokenizer
+    for doc, text in ((7, " " * 2_000_000), (8, "a b")):
+        found = [x for p in sorted((p for p in pieces if p["doc_id"] == doc), key=lambda p: p["start"]) for x in p["ids"]]
+        assert found == [*library.encode(text, add_special_tokens=False).ids, 0]
