@@ -237,6 +237,21 @@ def test_page_blocks(page, expected):
     assert webtext.blocks(page) == expected
 
 
+@pytest.mark.parametrize(("page", "expected"), [
+    ("<article><p>one<p class=ad>buy<p>two<p>three</article>", (2, ["one", "two", "three"])),
+    ("<article><ul><li>a<li class=ad>x<ul><li>y</ul><li>b</ul><p>c</article>", (2, ["a", "b", "c"])),
+    ("<article><table><tr><td>a<td class=ad>x<table><tr><td>y</table><td>b<tr class=ad><td>q<td>r<tr><td>c</table><p>end</article>", (2, ["a b", "c", "end"])),
+    ("<article><table><tr><td><p class=ad>buy<td>b</table><dl><dt>t<dd><p class=ad>x<dt>u</dl></article>", (2, ["b", "t", "u"])),
+    ("<article><div><p class=ad>buy <b>now</b></div>rest</article>", (2, ["rest"])), ("<article><p class=ad>x</b> y</p>kept</article>", (2, ["kept"])),
+    ("<main><p>the long story of the day is here<article><p>card</article><p>goes on</main><p>f", (1, ["the long story of the day is here", "card", "goes on"])),
+    ("<div><p>the long story of the day is here</div><article>card</article>", (0, ["the long story of the day is here", "card"])),
+    ("<main>the long story of the day</main><article>card</article>", (1, ["the long story of the day"])),
+    ("<main>short</main><article>a far longer story</article>", (1, ["short", "a far longer story"])),
+])
+def test_omitted_end_tags_and_small_articles_lose_no_story(page, expected):
+    assert webtext.blocks(page) == expected
+
+
 def test_shared_strings_of_a_host_go(spark):
     shared = "Subscribe to our weekly letter and never miss a single story again"
     story = lambda i: " ".join(f"word{i * 20 + k}" for k in range(15))
