@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from gaugeline.llm.common import stored
 
 
-def shared_runs(rows: DataFrame, key: str, owner: str, least: int = 2, alone: bool = False) -> DataFrame:
+def shared_runs(rows: DataFrame, key: str, owner: str, least: int | str = 2, alone: bool = False) -> DataFrame:
     """The rows whose key at least ``least`` owners have; with ``alone``, all rows and a column ``shared``.
 
+    ``least`` may name a column of numbers, one for each key.
+
     Rows are sorted by key and owner over range partitions, whose bounds include the owner, so that a frequent key is
     spread over many of them. Within a partition equal neighbours make runs. Only the first and last run can go on in
     another partition: what is open there is settled by the owners that each partition counts for them, two keys for
@@ -32,7 +34,7 @@ def shared_runs(rows: DataFrame, key: str, owner: str, least: int = 2, alone: bo
         turn = np.concatenate([[True], k[1:] != k[:-1]])
         run = np.cumsum(turn) - 1
         owners = np.add.reduceat(turn | np.concatenate([[True], o[1:] != o[:-1]]), np.flatnonzero(turn))
-        shared = owners[run] >= least
+        shared = owners[run] >= (part[least].to_numpy() if isinstance(least, str) else least)
         edge = (run == 0) | (run == run[-1])
         at_edge = turn & edge
         part = part.assign(shared=shared, open=edge & ~shared, owners=np.where(at_edge, owners[run], 0).astype(np.int64))
@@ -41,7 +43,9 @@ def shared_runs(rows: DataFrame, key: str, owner: str, least: int = 2, alone: bo
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     ordered = rows.repartitionByRange(key, owner).sortWithinPartitions(key, owner)
     marked = stored(ordered.mapInPandas(neighbours, schema + ", shared boolean, open boolean, owners long"), "runs")
-    edges = marked.where("owners > 0").groupBy(key).agg(F.sum("owners").alias("total")).where(F.col("total") >= least).select(key, F.lit(True).alias("goes_on"))
+    bound = F.col(least) if isinstance(least, str) else F.lit(least)
+    totals = marked.where("owners > 0").groupBy(key).agg(F.sum("owners").alias("total"), F.max(bound).alias("bound"))
+    edges = totals.where("total >= bound").select(key, F.lit(True).alias("goes_on"))
     settled = marked.where("NOT open").select(*names, "shared")
     opened = marked.where("open").join(F.broadcast(edges), key, "left").select(*names, F.coalesce("goes_on", F.lit(False)).alias("shared"))
     every = settled.unionByName(opened)

@@ -264,6 +264,21 @@ def test_shared_strings_of_a_host_go(spark):
     assert webtext.extract(df.limit(0)).count() == 0
 
 
+def test_phrases_and_copies_on_large_hosts_stay(spark):
+    say = lambda tag, n: " ".join(f"{tag}w{k}" for k in range(n))
+    menu, phrase, story = say("menu", 20), say("phrase", 10), say("story", 60)
+    pages = [(i, "https://big.example/", f"<p>{menu}</p><p>{say(i, 30)}</p>") for i in range(60)]
+    pages += [(100 + i, "https://big.example/", f"<p>{menu}</p><p>{say(100 + i, 30)} {phrase}</p>") for i in range(5)]
+    pages += [(200 + i, "https://big.example/", f"<p>{story}</p><p>on day {i}</p>") for i in range(3)]
+    pages += [(300 + i, "https://big.example/", f"<p>{say(300, 40)}</p>") for i in range(30)]
+    pages += [(400 + i, "https://small.example/", f"<p>{story}</p><p>on day {i}</p>") for i in range(3)]
+    pages += [(500 + i, "https://little.example/", f"<p>{menu}</p><p>{say(500 + i, 15)} {phrase}</p>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in webtext.extract(frame(spark, pages, "page_id long, url string, html string")).collect()}
+    expected = {i: say(i, 30) for i in range(60)} | {100 + i: f"{say(100 + i, 30)} {phrase}" for i in range(5)} | {300 + i: say(300, 40) for i in range(30)}
+    expected |= {k + i: f"{story}\non day {i}" for k in (200, 400) for i in range(3)} | {500 + i: f"{say(500 + i, 15)} {phrase}" for i in range(4)}
+    assert got == expected
+
+
 def test_articles_of_the_given_pages(spark):
     df = webtext.extract(spark.read.parquet(f"{SF}/pages.parquet"))
     assert df.where("n_chars <> length(text) OR text RLIKE '  |^\\\\s|track\\\\('").count() == 0 and df.where("n_chars > 0").count() == 50
