@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeline.llm import chat, decontam, lines, packing, quality, rules, sparse, simhash, tokens, webtext
+from gaugeline.llm import centroids, chat, decontam, lines, packing, quality, rules, sparse, simhash, spelling, tokens, warc, webtext
 from gaugeline.llm.common import table
-from gaugeline.llm.sql import CHAT, DECONTAMINATION, LINES
+from gaugeline.llm.sql import ARCHIVES, CENTROIDS, CHAT, DECONTAMINATION, LINES, SPELLING
+from gaugeline.session import work_dir
 
 #: Parameters of the contracts.
 SHINGLE, RADIUS = 4, 4
@@ -17,6 +18,9 @@ WINDOW = 13
 TOKEN_LIMIT = SEQUENCE = 1024
 THRESHOLD = 0.3
 REPEATED_WORDS = 50
+DIMENSIONS, SCALE, CENTROID_COUNT, ROUNDS, SEED = 64, 64, 16, 3, "1:"
+SHORTEST, OCCURRENCES, FORM_RATIO = 6, 5, 5
+REVISITED_BYTES = 1000
 
 
 def vocabulary_file() -> str:
@@ -71,12 +75,31 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(rows))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), dimensions=DIMENSIONS, scale=SCALE, k=CENTROID_COUNT, rounds=ROUNDS, seed=SEED)
+    digest = F.sha2(F.array_join("centroid", ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), SHORTEST, OCCURRENCES, FORM_RATIO)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path, REVISITED_BYTES)
+    records = warc.read(spark, path, payloads=False).where("reason IS NULL")
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_benchmark_decontamination, op3_token_counts, op4_suffix_array_dedup, op5_html_extraction,
         op6_packing, op7_quality_rules, op8_line_dedup, op9_quality_classifier, op10_chat_formatting,
+        op11_centroid_clustering, op12_spelling_variants, op13_warc,
     )
 }
 ORACLES = {
     "op2_benchmark_decontamination": DECONTAMINATION, "op8_line_dedup": LINES, "op10_chat_formatting": CHAT,
+    "op11_centroid_clustering": CENTROIDS, "op12_spelling_variants": SPELLING, "op13_warc": ARCHIVES,
 }
