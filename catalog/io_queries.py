@@ -11,8 +11,8 @@ from gaugeline.functions import predicates as P
 from gaugeline.functions.scalars import finite_or_null
 from gaugeline.operators import ingest as I
 from gaugeline.plans import cold
-from gaugeline.session import work_dir
-from gaugeline.sources import metrics as M, retention, sinks
+from gaugeline.session import checkpointed, work_dir
+from gaugeline.sources import history as H, metrics as M, retention, sinks
 from gaugeline.streaming import streams as S
 
 from .base import Inputs, query, rounded
@@ -106,6 +106,66 @@ def _(c: Inputs):
     return counted.select("*", F.lit(expired).alias("expired"), newest.scalar().alias("newest"), F.lit(purged).alias("purged"))
 
 
+_DAY = "date_trunc('day', (SELECT t FROM as_of)) - INTERVAL 15 DAY"
+
+
+def _compacted(c: Inputs, label: str) -> str:
+    base = work_dir(c.spark, label)
+    retention.compact(c.metrics, c.as_of - dt.timedelta(days=10), base, "20240131", f"{base}/hot")
+    return base
+
+
+@query("history_one_day", f"""SELECT ts, name, value, labels FROM metrics_all
+WHERE ts >= {_DAY} AND ts <= {_DAY} + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND""")
+def _(c: Inputs):
+    """One day of compacted history: the files of its folder are opened and no others."""
+    day = c.as_of.replace(hour=0, minute=0, second=0, microsecond=0) - dt.timedelta(days=15)
+    last = day + dt.timedelta(days=1) - dt.timedelta(microseconds=1)
+    return H.read_history(c.spark, _compacted(c, "day"), day, last).select("ts", "name", "value", "labels")
+
+
+@query("history_hours_of_metric", f"""SELECT date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM metrics_all
+WHERE name = 'http_requests_total' AND ts BETWEEN {_DAY} AND {_DAY} + INTERVAL 3 DAY GROUP BY 1""")
+def _(c: Inputs):
+    """Three days of one metric, over an export with day folders and one without."""
+    base = _compacted(c, "hours")
+    first = c.as_of.replace(hour=0, minute=0, second=0, microsecond=0) - dt.timedelta(days=15)
+    retention.write_export(c.metrics.filter(~F.col("ts").between(F.lit(first - dt.timedelta(days=400)), F.lit(first + dt.timedelta(days=400)))), base, "20240201")
+    rows = H.read_history(c.spark, base, first, first + dt.timedelta(days=3), [cold.REQUESTS])
+    return rows.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("compact_and_switch", """SELECT step, part, count(*) AS n FROM (
+  SELECT unnest(['begun', 'died']) AS step, 'recent' AS part FROM metrics_all
+  UNION ALL SELECT 'switched', CASE WHEN ts < (SELECT t FROM as_of) - INTERVAL 10 DAY THEN 'history' ELSE 'recent' END FROM metrics_all
+  UNION ALL SELECT 'again', CASE WHEN ts < (SELECT t FROM as_of) - INTERVAL 5 DAY THEN 'history' ELSE 'recent' END FROM metrics_all
+  UNION ALL SELECT 'back', 'recent' FROM metrics_all) GROUP BY ALL""")
+def _(c: Inputs):
+    """Readers see every row once: before a compaction, after one that died between its two tables, after two that did not, and rolled back."""
+    root = work_dir(c.spark, "switch")
+    c.metrics.write.parquet(f"{root}/recent-0")
+    first = H.commit(c.spark, root, f"{root}/recent-0", [], -1)
+    seen = []
+
+    def look(step: str) -> None:
+        recent, history = H.read_committed(c.spark, root)
+        for part, rows in (("recent", recent), ("history", history)):
+            if rows is not None:
+                seen.append(checkpointed(rows.groupBy(F.lit(step).alias("step"), F.lit(part).alias("part")).agg(F.count(F.lit(1)).alias("n"))))
+
+    look("begun")
+    old, _ = retention.split_by_age(c.metrics, c.as_of - dt.timedelta(days=12))
+    retention.write_export(old, root, "20240131")  # all that a run left that died before its recent table
+    look("died")
+    retention.compact_and_switch(c.spark, root, c.as_of - dt.timedelta(days=10), "20240131")
+    look("switched")
+    retention.compact_and_switch(c.spark, root, c.as_of - dt.timedelta(days=5), "20240205")
+    look("again")
+    H.roll_back(c.spark, root, first)
+    look("back")
+    return M.union_by_name(seen)
+
+
 @query("hot_append", """SELECT 'history' AS side, name, count(*) AS n FROM hot_samples GROUP BY 2
 UNION ALL SELECT 'recent', name, count(*) FROM hot_samples GROUP BY 2""")
 def _(c: Inputs):

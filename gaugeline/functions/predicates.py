@@ -37,20 +37,27 @@ def named_any(metrics: Iterable[str]) -> Column:
     return F.col("name").isin(*metrics)
 
 
+def not_before(df: DataFrame, start: dt.datetime, kind: str) -> Column:
+    keep = F.col("ts") >= moment(start, kind)
+    return keep & (F.col("dt") >= _day(start)) if "dt" in df.columns else keep
+
+
+def not_after(df: DataFrame, end: dt.datetime, kind: str) -> Column:
+    keep = F.col("ts") <= moment(end, kind)
+    return keep & (F.col("dt") <= _day(end)) if "dt" in df.columns else keep
+
+
 def between_closed(df: DataFrame, start: dt.datetime, end: dt.datetime) -> Column:
     """Both ends inclusive; a ``dt`` partition column is bounded as well, so that files are pruned."""
     kind = dict(df.dtypes)["ts"]
-    keep = (F.col("ts") >= moment(start, kind)) & (F.col("ts") <= moment(end, kind))
-    return keep & F.col("dt").between(_day(start), _day(end)) if "dt" in df.columns else keep
+    return not_before(df, start, kind) & not_after(df, end, kind)
 
 
 def in_range(df: DataFrame, range_key: str, as_of: dt.datetime) -> Column:
     """Lower bound of a named range below ``as_of``; no upper bound."""
     if range_key not in RANGE_HOURS:
         return F.lit(True)
-    low = as_of - dt.timedelta(hours=RANGE_HOURS[range_key])
-    keep = F.col("ts") >= moment(low, dict(df.dtypes)["ts"])
-    return keep & (F.col("dt") >= _day(low)) if "dt" in df.columns else keep
+    return not_before(df, as_of - dt.timedelta(hours=RANGE_HOURS[range_key]), dict(df.dtypes)["ts"])
 
 
 def of_target(df: DataFrame, target: str | None) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import moment
 from ..session import file_system
+from .history import commit, current, write_ranges
 from .metrics import EXPORT_PREFIX, EXPORT_SUFFIX, METRICS_SCHEMA, list_exports
 
 # Default horizons in days.
@@ -16,17 +17,17 @@ PURGE_DAYS = 32
 
 
 def split_by_age(hot: DataFrame, cutoff: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """Rows to move out (before the cutoff) and rows to keep."""
-    old = F.col("ts") < moment(cutoff, dict(hot.dtypes)["ts"])
+    """Rows to move out (before the cutoff) and rows to keep; a row without a time is kept."""
+    old = F.coalesce(F.col("ts") < moment(cutoff, dict(hot.dtypes)["ts"]), F.lit(False))
     return hot.filter(old), hot.filter(~old)
 
 
 def compact(hot: DataFrame, cutoff: dt.datetime, folder: str, stamp: str, hot_path: str) -> str:
     """Write rows older than the cutoff as an export of daily ZSTD partitions and the rest as a new recent table.
 
-    Returns the path of the export, which listing, reading and purging find by its name. Both paths must be new. The caller points readers at the new recent table only after this
-    returns, so a lost executor or a failed run never leaves a row in neither place.
-    Rows are clustered by name within a day, which lets readers skip row groups by name; the
+    Returns the path of the export, which listing, reading and purging find by its name. What an earlier run that died
+    left at the two paths is replaced; readers go on with the old tables until :func:`compact_and_switch` commits.
+    Rows are clustered by name within a day, which lets readers skip files and row groups by name; the
     day is cut into name and time ranges, so no task has to hold a whole day.
     """
     old, young = split_by_age(hot, cutoff)
@@ -35,12 +36,28 @@ def compact(hot: DataFrame, cutoff: dt.datetime, folder: str, stamp: str, hot_pa
         old.withColumn("dt", F.to_date("ts"))
         .repartitionByRange("dt", "name", "ts")
         .sortWithinPartitions("dt", "name", "ts")
-        .write.partitionBy("dt").option("compression", "zstd").parquet(cold_path)
+        .write.mode("overwrite").partitionBy("dt").option("compression", "zstd").parquet(cold_path)
     )
-    young.write.option("compression", "zstd").parquet(hot_path)
+    write_ranges(hot.sparkSession, cold_path)
+    young.write.mode("overwrite").option("compression", "zstd").parquet(hot_path)
     return cold_path
 
 
+def compact_and_switch(spark: SparkSession, root: str, cutoff: dt.datetime, stamp: str) -> int:
+    """Compact the committed recent table of a root folder and switch its readers; returns the number of the new state.
+
+    Readers of :func:`gaugeline.sources.history.read_committed` see the old state until the new one is committed by one
+    rename, so a run that dies in between leaves every row readable once, and its successor writes over what it left. The
+    old recent table stays for readers that still use it and for :func:`~gaugeline.sources.history.roll_back`.
+    """
+    before, recent, exports = current(spark, root)
+    if export_path(root, stamp) in exports:
+        raise FileExistsError(f"export {stamp} is committed already")
+    hot_path = f"{root.rstrip('/')}/recent-{before + 1:012d}"
+    export = compact(spark.read.parquet(recent), cutoff, root, stamp, hot_path)
+    return commit(spark, root, hot_path, [*exports, export], before)
+
+
 def export_path(folder: str, stamp: str) -> str:
     return f"{folder.rstrip('/')}/{EXPORT_PREFIX}{stamp}{EXPORT_SUFFIX}"
 
@@ -87,4 +104,7 @@ def purge(
     for row in doomed.toLocalIterator():
         system, path = file_system(spark, row["path"])
         removed += bool(system.delete(path, True))
+        folder, name = row["path"].rsplit("/", 1)
+        system, path = file_system(spark, f"{folder}/_ranges/{name}")
+        system.delete(path, True)
     return removed
