@@ -245,7 +245,10 @@ def oracle(sql: str) -> str:
     for name in needed:
         place(name)
     ctes = ",\n".join(f"{name} AS ({ORACLE_VIEWS[name].strip()})" for name in order)
-    return f"WITH {ctes}\n{sql.strip()}" if ctes else sql.strip()
+    own = sql.strip()
+    if not ctes:
+        return own
+    return f"WITH {ctes},\n{own.removeprefix('WITH')}" if own.startswith("WITH ") else f"WITH {ctes}\n{own}"
 
 
 class Inputs:

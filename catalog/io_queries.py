@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeline.functions import predicates as P
 from gaugeline.functions.scalars import finite_or_null
-from gaugeline.operators import ingest as I
+from gaugeline.operators import ingest as I, sketches as K
 from gaugeline.plans import cold
 from gaugeline.session import checkpointed, work_dir
 from gaugeline.sources import history as H, metrics as M, retention, sinks
@@ -184,11 +184,11 @@ def _(c: Inputs):
 FILES = 8
 
 
-def _landed(c: Inputs, rows: DataFrame, label: str, replay: bool = False) -> tuple[str, str]:
+def _landed(c: Inputs, rows: DataFrame, label: str, replay: bool = False, part_of: Column | None = None) -> tuple[str, str]:
     base = work_dir(c.spark, label)
-    top = rows.agg(F.max("seq")).first()[0] + 1
+    top = rows.agg(F.max("seq")).first()[0] + 1 if part_of is None else 0
     for part in range(3):
-        piece = rows.filter((F.col("seq") >= top * part // 3) & (F.col("seq") < top * (part + 1) // 3))
+        piece = rows.filter((F.col("seq") >= top * part // 3) & (F.col("seq") < top * (part + 1) // 3) if part_of is None else part_of == part)
         for copy in range(2 if replay else 1):
             piece.repartition(FILES).write.parquet(f"{base}/in/p{part}{copy}")
     return base, f"{base}/in/*"
@@ -229,6 +229,88 @@ def _(c: Inputs):
     return c.spark.read.parquet(f"{base}/out/diffs").select("series_key", "ts_us", "diff")
 
 
+_HOLD_US = 6 * 3_600_000_000
+
+
+@query("stream_counter_diff_shuffled", """SELECT series_key, ts_us, greatest(0, v - pv) AS diff FROM (
+  SELECT concat(name, labels) AS series_key, epoch_us(ts) AS ts_us, v, lag(v) OVER (PARTITION BY name, labels ORDER BY ts, seq) AS pv
+  FROM (SELECT *, CASE WHEN isfinite(value) THEN value END AS v FROM hot_samples))
+WHERE v IS NOT NULL AND pv IS NOT NULL""")
+def _(c: Inputs):
+    """Samples that arrive up to six hours out of order give the differences of those in order."""
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("seq"), F.lit(_HOLD_US))
+    low, high = c.keyed.agg(F.min(arrival), F.max(arrival)).first()
+    part = F.least(F.floor((arrival - low) * 3 / (high - low)), F.lit(2))
+    base, path = _landed(c, c.keyed, "shuffled", part_of=part)
+    S.stream_counter_diffs(_stream(c, path, c.keyed), f"{base}/out", f"{base}/state", f"{base}/checkpoint", delay_us=_HOLD_US).awaitTermination()
+    S.finish_counter_diffs(c.keyed, f"{base}/out", f"{base}/state")
+    return c.spark.read.parquet(f"{base}/out/diffs").select("series_key", "ts_us", "diff")
+
+
+@query("stream_split", """WITH parts AS (SELECT ts, minute(ts) % 3 AS part FROM metrics_all),
+tops AS (SELECT p.part, max(q.ts) AS top FROM (SELECT DISTINCT part FROM parts) p LEFT JOIN parts q ON q.part < p.part GROUP BY 1)
+SELECT date_trunc('day', ts) AS day, CASE WHEN date_trunc('day', ts) + INTERVAL 1 DAY <= top - INTERVAL 1 HOUR THEN 'late' ELSE 'ontime' END AS place, count(*) AS n
+FROM parts JOIN tops USING (part) GROUP BY 1, 2""")
+def _(c: Inputs):
+    """Rows whose day was closed when they came are set aside; all others are in time."""
+    base, path = _landed(c, c.metrics, "split", part_of=F.minute("ts") % 3)
+    S.stream_split(_stream(c, path, c.metrics), f"{base}/out", f"{base}/checkpoint", width_us=86_400_000_000).awaitTermination()
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    places = [
+        c.spark.read.parquet(f"{base}/out/{place}").groupBy(day).agg(F.count(F.lit(1)).alias("n")).select("day", F.lit(place).alias("place"), "n")
+        for place in ("ontime", "late")
+    ]
+    return places[0].unionByName(places[1])
+
+
+@query("stream_append", """SELECT 'history' AS side, name, count(*) AS n FROM hot_samples GROUP BY 2
+UNION ALL SELECT 'recent', name, count(*) FROM hot_samples GROUP BY 2""")
+def _(c: Inputs):
+    """One stream into history and the recent table; its second batch comes twice."""
+    base, path = _landed(c, c.hot, "both")
+    sides = [f"{base}/history", f"{base}/recent"]
+    S.stream_append(_stream(c, path, c.hot), *sides, f"{base}/checkpoint").awaitTermination()
+    again = checkpointed(c.spark.read.parquet(f"{sides[0]}/batch=1"))
+    S.append_batch(*sides)(again, 1)
+    counts = [c.spark.read.parquet(side).groupBy("name").agg(F.count(F.lit(1)).alias("n")) for side in sides]
+    return M.union_by_name([n.select(F.lit(side).alias("side"), "name", "n") for n, side in zip(counts, ("history", "recent"), strict=True)])
+
+
+@query("sketch_day_p99", """SELECT date_trunc('day', ts) AS day, count(*) AS n, true AS within FROM metrics_all
+WHERE name = 'http_request_duration_ms' AND isfinite(value) GROUP BY 1""")
+def _(c: Inputs):
+    """The 99th percentile of each day from stored sketches of its hours; whether its rank lies within the error of a sketch."""
+    base = work_dir(c.spark, "sketches")
+    rows = c.metrics.filter(P.named(cold.DURATION)).select("ts", "value")
+    K.sketch_buckets(rows, [F.date_trunc("hour", "ts").alias("hour")]).write.parquet(base)
+    days = K.widen(c.spark.read.parquet(base), [F.date_trunc("day", "hour").alias("day")]).select("day", "n", K.quantile_of("sketch", 0.99).alias("p99"))
+    ranked = rows.join(F.broadcast(days), F.date_trunc("day", "ts") == F.col("day")).groupBy("day", "n").agg(  # a row for each day
+        F.count_if(F.col("value") < F.col("p99")).alias("below"), F.count_if(F.col("value") <= F.col("p99")).alias("upto"))
+    error = F.lit(2 * K.rank_error()) * F.col("n") + 1
+    within = (F.col("below") <= F.col("n") * 0.99 + error) & (F.col("upto") >= F.col("n") * 0.99 - error)
+    return ranked.select(F.col("day").cast("timestamp_ntz").alias("day"), "n", within.alias("within"))
+
+
+@query("stream_status_places", """WITH log AS (
+  SELECT target, attempt_seq % 3 AS part, CASE WHEN attempt_seq % 11 <> 5 THEN attempt_seq END AS n FROM scrape_outcomes),
+tops AS (SELECT DISTINCT l.target, p.part, (SELECT max(n) FROM log e WHERE e.target = l.target AND e.part < p.part) AS top FROM log l, (VALUES (0), (1), (2)) p(part))
+SELECT target, count(*) FILTER (WHERE n IS NOT NULL AND (top IS NULL OR n > top)) AS used,
+  count(*) FILTER (WHERE n <= top) AS late, count(*) FILTER (WHERE n IS NULL) AS unordered, count(*) FILTER (WHERE n IS NULL OR n <= top) AS left_out
+FROM log JOIN tops USING (target, part) GROUP BY 1""")
+def _(c: Inputs):
+    """A log out of order and partly without numbers: each attempt is counted, late or unordered, and what is not counted is kept."""
+    rows = c.view("scrape_outcomes").withColumn("part", F.col("attempt_seq") % 3)
+    rows = rows.withColumn("attempt_seq", F.when(F.col("attempt_seq") % 11 != 5, F.col("attempt_seq")))
+    base, path = _landed(c, rows, "places", part_of=F.col("part"))
+    S.stream_target_status(_stream(c, path, rows), f"{base}/state", f"{base}/checkpoint", f"{base}/aside").awaitTermination()
+    aside = c.spark.read.parquet(f"{base}/aside").groupBy("target").agg(
+        F.count_if(F.col("reason") == "late").alias("_late"), F.count_if(F.col("reason") == "unordered").alias("_unordered"))
+    state = S.current_state(c.spark, f"{base}/state").join(aside, "target", "left")
+    used = F.col("ok") + F.col("fetch_error") + F.col("parse_error") + F.col("other")
+    none = F.lit(0)
+    return state.select("target", used.alias("used"), F.coalesce("_late", none).alias("late"), F.coalesce("_unordered", none).alias("unordered"), F.col("late").alias("left_out"))
+
+
 @query("stream_recent_keep", "SELECT seq, ts, name, value FROM hot_samples ORDER BY seq DESC LIMIT 2000")
 def _(c: Inputs):
     base, path = _landed(c, c.hot, "recent")
