@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gaugeline.functions.labels import labels_json
@@ -104,6 +106,24 @@ def _(c: Inputs):
     return I.outcomes_from(_stage(c), _CONFIG).select("scrape_id", "target", "status", "fetch_reason", "samples", "dropped")
 
 
+_BAD_LINES = ("c{garbage} 7", 'x_bucket{le="1"} 5 # {trace_id="a"} 0.6', 'http_requests_total{path="/a" abc', "http_requests_total abc", " \t")
+
+
+@query("outcome_lines", """SELECT scrape_id, status, lines, blank, comments, 12 * ok AS samples, 5 * ok AS unread, ok AS unread_exemplar, 2 * ok AS unread_labels, ok AS unread_value,
+  ok AS unread_line FROM (
+  SELECT scrape_id, CASE WHEN fetch_reason IS NULL THEN 'ok' ELSE 'fetch_error' END AS status, CASE WHEN fetch_reason IS NULL THEN 1 END AS ok,
+    CASE WHEN fetch_reason IS NULL THEN len(string_split(body, chr(10))) + 5 END AS lines,
+    CASE WHEN fetch_reason IS NULL THEN len(list_filter(string_split(body, chr(10)), lambda x: x = '')) + 1 END AS blank,
+    CASE WHEN fetch_reason IS NULL THEN len(list_filter(string_split(body, chr(10)), lambda x: starts_with(x, '#'))) END AS comments
+  FROM payload_status JOIN scrape_payloads USING (scrape_id))""")
+def _(c: Inputs):
+    """Every line of a body is blank, a comment, a sample or unread for a reason; five lines are added to each, four of them bad."""
+    added = F.lit("".join(f"\n{line}" for line in _BAD_LINES))
+    payloads = c.payloads.withColumn("body", F.concat("body", added))
+    config = replace(_CONFIG, count_lines=True, max_body_bytes=_CONFIG.max_body_bytes + sum(len(line) + 1 for line in _BAD_LINES))
+    return I.outcomes_from(I.staged(payloads, c.targets(), config), config).select("scrape_id", "status", "text.*")
+
+
 @query("self_metrics", f"""SELECT t AS ts, name, value, 'counter' AS metric_type, labels FROM as_of, (
   SELECT 'collector_scrape_total' AS name, CAST(count(*) AS DOUBLE) AS value,
     concat('{{"status":"', status, '","target":"', target, '"}}') AS labels FROM ({_OUTCOMES}) GROUP BY status, target
@@ -159,6 +179,29 @@ def _(c: Inputs):
     return _registry(c).select(*_COLUMNS)
 
 
+@query("effective_targets_chained", """WITH RECURSIVE ordered AS (
+  SELECT id, name, url, row_number() OVER (ORDER BY id) AS n, k FROM (
+    SELECT concat('t', c_custkey) AS id, concat('n', c_custkey // 64, '_', c_custkey % 64 // 2) AS name,
+      concat('http://u', c_custkey // 64, '_', (c_custkey % 64 + 1) // 2) AS url, c_custkey // 64 AS k FROM customer)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS i FROM ordered),
+steps AS (
+  SELECT k, 0 AS i, ['']::VARCHAR[] AS names, ['']::VARCHAR[] AS urls, NULL::VARCHAR AS id FROM (SELECT DISTINCT k FROM numbered)
+  UNION ALL SELECT s.k, s.i + 1,
+    CASE WHEN list_contains(s.names, o.name) OR list_contains(s.urls, o.url) THEN s.names ELSE list_append(s.names, o.name) END,
+    CASE WHEN list_contains(s.names, o.name) OR list_contains(s.urls, o.url) THEN s.urls ELSE list_append(s.urls, o.url) END,
+    CASE WHEN list_contains(s.names, o.name) OR list_contains(s.urls, o.url) THEN NULL ELSE o.id END
+  FROM steps s JOIN numbered o ON o.k = s.k AND o.i = s.i + 1)
+SELECT id FROM steps WHERE id IS NOT NULL""")
+def _(c: Inputs):
+    """Added targets in chains of 64, each sharing its name with one neighbour and its address with the other."""
+    key = F.col("c_custkey")
+    block, place = F.floor(key / 64), F.pmod(key, F.lit(64))
+    rows = c.table("customer").select(
+        F.concat(F.lit("t"), key).alias("id"), F.concat(F.lit("n"), block, F.lit("_"), F.floor(place / 2)).alias("name"),
+        F.concat(F.lit("http://u"), block, F.lit("_"), F.floor((place + 1) / 2)).alias("url"), F.lit(1).alias("ord"), F.lit("dynamic").alias("origin"))
+    return T.resolve_conflicts(rows).select("id")
+
+
 @query("recurring_enabled", "SELECT id, name FROM registry WHERE enabled AND mode = 'recurring'")
 def _(c: Inputs):
     return T.recurring_enabled(_registry(c)).select("id", "name")

@@ -17,7 +17,17 @@ from ..functions.scalars import float_text, is_plain_number
 _NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*+"
 _QUOTED = r'"(?:[^"\\]++|\\.)*+"'
 _NUMBER = r"[+-]?(?:(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?|(?i:inf|infinity|nan))"
-SAMPLE = rf"^\s*({_NAME})\s*(?:\{{((?:[^\"}}]++|{_QUOTED})*+)\}})?\s+({_NUMBER})(?:\s+-?[0-9]++)?\s*$"
+_LABEL = rf"[a-zA-Z_][a-zA-Z0-9_]*+\s*+=\s*+{_QUOTED}\s*+"
+_BLOCK = rf"\{{(\s*+(?:{_LABEL}(?:,\s*+{_LABEL})*+(?:,\s*+)?+)?+)\}}"
+_LOOSE = rf"\{{(?:[^\"}}]++|{_QUOTED})*+\}}"
+_REST = rf"\s+({_NUMBER})(?:\s+-?[0-9]++)?"
+SAMPLE = rf"^\s*({_NAME})\s*(?:{_BLOCK})?{_REST}\s*$"
+# Why a line is no sample, tried in this order: the reason, and what its lines look like.
+UNREAD = {
+    "exemplar": rf"^\s*{_NAME}\s*(?:{_BLOCK})?{_REST}\s*+#",
+    "labels": rf"^\s*{_NAME}\s*{_LOOSE}{_REST}\s*$|^\s*{_NAME}\s*\{{[^}}]*+$",
+    "value": rf"^\s*{_NAME}\s*(?:{_BLOCK}\s*\S|\s\S++\s*$)",
+}
 TYPE = rf"^\s*#\s*TYPE\s+({_NAME})\s+(\w+)\s*$"
 # A pair starts at a brace or comma: trying every letter of the name would cost far more.
 PAIR = r'[{,]\s*([a-zA-Z_][a-zA-Z0-9_]*+)\s*=\s*"((?:[^"\\]++|\\.)*+)"'
@@ -108,6 +118,42 @@ def parsed_samples(body: Column, wanted: Callable[[Column], Column] | None = Non
     return _let(_lines(body), classified)
 
 
+def line_kinds(body: Column) -> Column:
+    """Array of ``(line_no, kind, reason)`` for every line: blank, comment, sample or unread, the last with a reason."""
+
+    def kind(line: Column) -> Column:
+        bare = F.trim(F.replace(F.replace(line, F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" ")))
+        return F.when(bare == "", "blank").when(bare.startswith("#"), "comment").when(line.rlike(SAMPLE), "sample").otherwise("unread")
+
+    def reason(line: Column) -> Column:
+        found = F.lit("line")
+        for name, pattern in reversed(UNREAD.items()):
+            found = F.when(line.rlike(pattern), name).otherwise(found)
+        return found
+
+    kinds = F.transform(_lines(body), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), kind(x["line"]).alias("kind")))
+    return F.transform(kinds, lambda x: F.struct(
+        x["line_no"].alias("line_no"), x["kind"].alias("kind"), F.when(x["kind"] == "unread", reason(x["line"])).alias("reason")))
+
+
+def line_counts(kinds: Column) -> Column:
+    """Struct of ``lines, blank, comments, samples, unread`` and the unread ones by reason, of :func:`line_kinds`."""
+
+    def counts(found: Column) -> Column:
+        def of(name: str) -> Column:
+            return F.size(F.filter(found, lambda x: x["kind"] == name)).cast("bigint")
+
+        def why(name: str) -> Column:
+            return F.size(F.filter(found, lambda x: x["reason"] == name)).cast("bigint")
+
+        return F.struct(
+            F.size(found).cast("bigint").alias("lines"), of("blank").alias("blank"), of("comment").alias("comments"), of("sample").alias("samples"),
+            of("unread").alias("unread"), *[why(name).alias(f"unread_{name}") for name in (*UNREAD, "line")],
+        )
+
+    return _let(kinds, counts)
+
+
 def _unescape(text: Column) -> Column:
     marker = F.lit("\u0000")
     plain = F.replace(text, F.lit("\\\\"), marker)

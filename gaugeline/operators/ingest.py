@@ -10,7 +10,7 @@ from ..functions.labels import PROMOTED, labels_json
 from ..session import checkpointed, small_side
 from ..sources.payloads import MAX_BODY_BYTES, classify_payloads
 from .exposition import (
-    decompose_histograms, decompose_summaries, inject_target, metric_type, parsed_samples, value_of, with_labels,
+    decompose_histograms, decompose_summaries, inject_target, line_counts, line_kinds, metric_type, parsed_samples, value_of, with_labels,
 )
 
 # Samples kept per scrape, names reserved for the collector itself, and the
@@ -27,7 +27,8 @@ class IngestConfig:
     ``own_namespaces`` are prefixes of the metrics an instrumented app's own engine exports, such
     as ``engine`` for ``engine_*``: they are accepted by default, except ``<namespace>_dropped_total``,
     which means nothing once added up over several apps. ``drop_counter_namespaces`` names the
-    namespaces whose drop counter is denied, if those are not all of them.
+    namespaces whose drop counter is denied, if those are not all of them. ``count_lines`` gives every outcome a struct
+    ``text`` of its body's lines by what they are; all lines are then looked at, not only those of accepted families.
     """
 
     max_samples: int = MAX_SAMPLES
@@ -35,6 +36,7 @@ class IngestConfig:
     deny_prefixes: tuple[str, ...] = DENY_PREFIXES
     own_namespaces: tuple[str, ...] = ()
     drop_counter_namespaces: tuple[str, ...] = ()
+    count_lines: bool = False
 
     @property
     def deny_exact(self) -> tuple[str, ...]:
@@ -107,6 +109,8 @@ def staged(payloads: DataFrame, targets: DataFrame, config: IngestConfig = Inges
         found,
         lambda s: ~denied(s["family"], config) & F.exists("allow", lambda p: s["family"].startswith(p)),
     )
+    if config.count_lines:
+        rows = rows.withColumn("text", line_counts(line_kinds(F.when(F.col("status") == "ok", F.col("body").cast("string")))))
     return rows.withColumn("accepted", accepted).drop("body", "allow")
 
 
@@ -130,13 +134,13 @@ def samples_from(stage: DataFrame, config: IngestConfig = IngestConfig()) -> Dat
 
 
 def outcomes_from(stage: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    """One row per attempt. Text always parses (bad lines are skipped), so there is no parse error here."""
+    """One row per attempt. Text always parses (bad lines are skipped, and counted if asked for), so there is no parse error here."""
     n = F.when(F.col("status") == "ok", F.size("accepted")).otherwise(0)
     return stage.select(
         "scrape_id", "target", F.col("scrape_ts").alias("ts"), "seq", "status", "fetch_reason",
         F.least(n, F.lit(config.max_samples)).cast("bigint").alias("samples"),
         F.greatest(n - config.max_samples, F.lit(0)).cast("bigint").alias("dropped"),
-        *[c for c in ("duration_ms",) if c in stage.columns],
+        *[c for c in ("duration_ms", "text") if c in stage.columns],
     )
 
 

@@ -7,11 +7,12 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import predicates as P
+from ..functions.labels import canonical, labels_json
 from ..functions.scalars import epoch_micros, micros, step_value
-from ..session import checkpointed
 from .latest import latest_by_labels
 
 # Query limits.
@@ -96,22 +97,36 @@ def latest_per_bucket(samples: DataFrame, start_us: int, step_us: int | Column)
     return newest.select(F.concat("name", "labels").alias("series_key"), "name", "labels", "bucket", "ts_us", "value")
 
 
+def _hits(samples: DataFrame, query: RangeQuery) -> DataFrame:
+    hits = within(samples.filter(P.named(query.name)), query.start_us, query.end_us)
+    return hits.filter(P.matches(hits, query.matchers))
+
+
+def _times(hits: DataFrame) -> DataFrame:
+    """The different times of each series: all that the size of an answer depends on, whatever its step."""
+    is_map = dict(hits.dtypes)["labels"].startswith("map")
+    text = F.coalesce(labels_json(F.col("labels")), F.lit("{}")) if is_map else F.col("labels")
+    times = hits.select(text.alias("labels"), micros("ts").alias("ts_us")).distinct()
+    return times if is_map or "series_key" in hits.columns else times.withColumn("labels", canonical())
+
+
+def count_points(times: DataFrame, start_us: int, step_us: int) -> int:
+    """Points of an answer: series and steps that have a sample."""
+    return times.select("labels", step_bucket(F.col("ts_us"), start_us, step_us)).distinct().count()
+
+
 def query_range(samples: DataFrame, query: RangeQuery, max_points: int | None = None) -> DataFrame:
     """Run a range query; a metric without samples gives an empty result.
 
-    With ``max_points`` the result is materialised and counted, and too large an answer raises
-    :class:`TooManyPoints` instead of being cut.
+    With ``max_points`` the points are counted first, and too large an answer raises :class:`TooManyPoints` instead of being
+    cut. Nothing is written.
     """
-    hits = within(samples.filter(P.named(query.name)), query.start_us, query.end_us)
-    hits = hits.filter(P.matches(hits, query.matchers))
-    points = latest_per_bucket(hits, query.start_us, query.step_us)
-    if max_points is None:
-        return points
-    held = checkpointed(points)
-    count = held.count()
-    if count > max_points:
-        raise TooManyPoints(count, max_points)
-    return held
+    hits = _hits(samples, query)
+    if max_points is not None:
+        count = count_points(_times(hits), query.start_us, query.step_us)
+        if count > max_points:
+            raise TooManyPoints(count, max_points)
+    return latest_per_bucket(hits, query.start_us, query.step_us)
 
 
 def widened(step: float, points: int, limit: int = MAX_POINTS) -> int:
@@ -121,15 +136,22 @@ def widened(step: float, points: int, limit: int = MAX_POINTS) -> int:
 def query_range_adaptive(
     samples: DataFrame, query: RangeQuery, max_points: int = MAX_POINTS, retries: int = RETRIES
 ) -> tuple[DataFrame, RangeQuery]:
-    """Widen the step while the answer is too large; returns the answer and the query that gave it."""
-    for attempt in range(retries + 1):
-        try:
-            return query_range(samples, query, max_points), query
-        except TooManyPoints as over:
+    """Widen the step while the answer is too large; returns the answer and the query that gave it.
+
+    The samples are read once to choose the step: the times of the series are kept meanwhile, and every step is counted on
+    them. The answer is then computed for that step alone.
+    """
+    times = _times(_hits(samples, query)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for attempt in range(retries + 1):
+            points = count_points(times, query.start_us, query.step_us)
+            if points <= max_points:
+                return query_range(samples, query), query
             if attempt == retries:
-                raise
-            step = widened(query.step_us / 1e6, over.points, max_points)
-            query = replace(query, step_us=step * 1_000_000)
+                raise TooManyPoints(points, max_points)
+            query = replace(query, step_us=widened(query.step_us / 1e6, points, max_points) * 1_000_000)
+    finally:
+        times.unpersist()
     raise AssertionError("unreachable")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed, small_side
@@ -9,6 +13,8 @@ from .ingest import IngestConfig, default_allow
 
 # Fixed value: targets that may be added at run time.
 MAX_DYNAMIC = 64
+# Clashing rows that one task settles: three short columns of each.
+AT_ONCE = 500_000
 _URL = r"^https?://\S*$"
 
 
@@ -44,31 +50,68 @@ def drop_removed(targets: DataFrame, overrides: DataFrame) -> DataFrame:
     return targets.join(small_side(overrides.filter("removed").select("id")), "id", "left_anti")
 
 
-def resolve_conflicts(targets: DataFrame) -> DataFrame:
-    """Declared targets, and the added ones whose name and address no accepted target before them has.
+def _settled(clashing: DataFrame) -> DataFrame:
+    """``_row`` of the accepted ones among rows that clash, taken in order by one task; the caller bounds them."""
 
-    Declared ones come first, then ids in order. A refused target takes no name, so it refuses no other. In each round
-    the first of every name and address among what is left is accepted, and what clashes with it is refused.
-    """
-    declared, left = targets.filter("origin = 'config'"), targets.filter("origin <> 'config'")
-    taken = {k: declared.select(F.trim(k).alias("_taken")).distinct() for k in ("name", "url")}
-    accepted = []
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, urls, won = set(), set(), []
+        for batch in batches:
+            for row, name, url in zip(batch["_row"], batch["_name"], batch["_url"], strict=True):
+                name, url = (None if pd.isna(x) else x for x in (name, url))
+                if name not in names and url not in urls:
+                    names.add(name)
+                    urls.add(url)
+                    won.append(row)
+        if won:
+            yield pd.DataFrame({"_row": won})
+
+    ordered = clashing.select("_row", "_name", "_url", "ord", "id").coalesce(1).sortWithinPartitions("ord", "id", "_name", "_url", "_row")
+    return ordered.select("_row", "_name", "_url").mapInPandas(settle, "_row long")
+
+
+def _settled_in_rounds(clashing: DataFrame) -> DataFrame:
+    """The same for more rows than a task should take: each round accepts the first of every name and address that is
+    left, and refuses what clashes with it. A chain takes a round for every second row."""
+    left, accepted = clashing, []
     while True:
-        for key, rows in taken.items():
-            left = left.join(small_side(rows), F.trim(key).eqNullSafe(F.col("_taken")), "left_anti")
         left = checkpointed(left)
         if left.isEmpty():
-            break
-        place = F.struct("ord", "id")
-        firsts = [left.groupBy(F.trim(k).alias(f"_{k}")).agg(F.min(place).alias(f"_first_{k}")) for k in ("name", "url")]
-        ranked = left.join(firsts[0], F.trim("name").eqNullSafe(F.col("_name"))).join(firsts[1], F.trim("url").eqNullSafe(F.col("_url")))
-        first = (F.col("_first_name") == place) & (F.col("_first_url") == place)
-        won = checkpointed(ranked.filter(first).select(*left.columns))
-        accepted.append(won)
-        taken = {k: won.select(F.trim(k).alias("_taken")).distinct() for k in ("name", "url")}
-    for won in accepted:
-        declared = declared.unionByName(won)
-    return declared
+            return reduce(DataFrame.unionByName, accepted)
+        place = F.struct("ord", "id", "_name", "_url", "_row")
+        firsts = [left.groupBy(F.col(k).alias(f"{k}_of")).agg(F.min(place).alias(f"{k}_first")) for k in ("_name", "_url")]
+        ranked = left
+        for key, first in zip(("_name", "_url"), firsts, strict=True):
+            ranked = ranked.join(first, F.col(key).eqNullSafe(F.col(f"{key}_of")))
+        won = checkpointed(ranked.filter((F.col("_name_first") == place) & (F.col("_url_first") == place)).select(*left.columns))
+        accepted.append(won.select("_row"))
+        for key in ("_name", "_url"):
+            taken = won.select(F.col(key).alias("_taken")).distinct()
+            left = left.join(taken, F.col(key).eqNullSafe(F.col("_taken")), "left_anti")
+
+
+def resolve_conflicts(targets: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """Declared targets, and the added ones whose name and address no accepted target before them has.
+
+    Declared ones come first, then ids in order. A refused target takes no name, so it refuses no other. An added row that
+    shares neither name nor address with any other needs no look at the order; the rest, counted first, are settled in one
+    pass in order, however long their chains, or in rounds if they are more than ``at_once``.
+    """
+    keyed = targets.withColumns({"_name": F.trim("name"), "_url": F.trim("url"), "_row": F.monotonically_increasing_id()})
+    held = checkpointed(keyed)
+    added = held.filter("origin <> 'config'")
+    for key in ("_name", "_url"):
+        of = held.groupBy(F.col(key).alias(f"{key}_of")).agg(
+            F.bool_or(F.col("origin") == "config").alias(f"{key}_declared"), F.count(F.lit(1)).alias(f"{key}_n"))
+        added = added.join(of, F.col(key).eqNullSafe(F.col(f"{key}_of"))).filter(~F.col(f"{key}_declared"))
+    alone = (F.col("_name_n") == 1) & (F.col("_url_n") == 1)
+    free = checkpointed(added.select(*held.columns, alone.alias("_alone")))
+    clashing = free.filter(~F.col("_alone")).drop("_alone")
+    n = clashing.count()
+    accepted = held.filter("origin = 'config'").unionByName(free.filter("_alone").drop("_alone"))
+    if n:
+        won = _settled(clashing) if n <= at_once else _settled_in_rounds(clashing)
+        accepted = accepted.unionByName(clashing.join(won, "_row", "left_semi").select(*held.columns))
+    return accepted.select(*targets.columns)
 
 
 def effective_targets(config: DataFrame, dynamic: DataFrame, log: DataFrame) -> DataFrame:
