@@ -40,3 +40,8 @@ def folded(text: Column) -> Column:
 def row_key(*columns: str) -> Column:
     """64 bits that stand for a row; repeated rows share them."""
     return F.xxhash64(*columns)
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")

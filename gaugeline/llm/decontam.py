@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeline.llm.common import raw, stored
+from gaugeline.llm.common import quoted, raw, stored
 
 #: Bytes of benchmark text that are searched for at once; their tables take some fifty times as much in a worker.
 BLOCK_BYTES = 2 << 20
@@ -157,6 +157,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = 13) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("text"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), quoted(text).alias("text"))
     rows = searched(rows, benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].alias("text")), window=window)
     return rows.where(~is_contaminated(hit_words(F.col("found.spans")), F.col("found.n_words"))).select("doc.*")

@@ -3,7 +3,7 @@
 A document's hashed vector of byte 4-grams is projected to three numbers; its place on a Hilbert curve through that
 cube is the key of a range sort. Along the curve the documents' ids (each followed by an end id) run through the
 sequences without a gap. What is left at the end of a partition is cut into sequences of powers of two, so no sequence
-is padded at all. Range bounds include a hash of doc_id, so a heap of equal documents is spread over partitions.
+is padded at all. Range bounds include a hash of each row, so a heap of equal documents or repeated rows is spread over partitions.
 
 Defined cases: null texts are empty, and a document of no ids is its end id alone; null ids are carried; repeated rows
 are packed each; very long texts run through as many sequences as they need; an empty table gives no rows. Other columns
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, doc_id:
             yield pd.Series(hilbert(np.rint((points + 1) / 2 * top).clip(0, top), BITS))
 
     placed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", place(raw()))
-    placed = placed.withColumn("tie", F.xxhash64("doc_id", "text"))
+    placed = placed.withColumn("tie", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))  # sets repeated rows apart
     sorted_docs = placed.repartitionByRange("place", "tie").sortWithinPartitions("place", "tie", "doc_id")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

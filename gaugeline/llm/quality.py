@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeline.llm.common import raw
 
-#: Bytes of a passage; labelled documents that train at most, and passages of each of them.
-PASSAGE, SAMPLE, BAG = 512, 4000, 64
+#: Bytes of a passage; labelled documents that train at most, and passages they may have together (160 MB on the driver).
+PASSAGE, SAMPLE, PASSAGES = 512, 4000, 1 << 17
 CLASSES, GRAMS, FOLDED = 16, 256, 64
 FEATURES, HIDDEN, GATE = CLASSES * CLASSES + FOLDED + 3, 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 24, 64, 0.01, 1e-4, 11
@@ -102,8 +102,9 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.
 
 def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
     """Weights after some passes of Adam over the bags, in a fixed random order, for features of mean 0 and deviation 1."""
-    every = np.concatenate(bags)
-    mean, deviation = every.mean(axis=0), every.std(axis=0) + 0.01
+    passages = sum(map(len, bags))  # bag by bag, since all of them together are large
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / passages
+    deviation = np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / passages) + 0.01
     w, draw = start(), np.random.default_rng(SEED)
     w["score_bias"][:] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
     slow, fast, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
@@ -143,30 +144,34 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> dict[str, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> dict[str, np.ndarray] | None:
     """Weights from at most ``sample`` labelled documents that aren't held out, the ones of smallest hash; None without any.
 
-    Of a training document, at most ``bag`` passages at even distances are used.
+    They train with all their passages. A document that would bring these beyond ``passages`` in all is not of the sample.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), raw(text).alias("text"))
     present = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows of two numbers
+    first = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows of two numbers
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE))
+    sized = rows.join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.max(size).alias("n"), F.min(F.xxhash64("doc_id")).alias("h"))
+    picked, room = [], passages
+    for row in sorted(sized.collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if row["n"] <= room:
+            picked.append((row["doc_id"], row["label"]))
+            room -= row["n"]
+    if not picked:
+        return None
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for content in batch["text"]:
-                x = encode(content)
-                found.append(x[np.linspace(0, len(x) - 1, min(bag, len(x))).astype(int)].tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "bag": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "bag": [encode(content).tobytes() for content in batch["text"]]})
 
     joined = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     bagged = joined.mapInPandas(bags, "doc_id long, label int, bag binary")
     found = bagged.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("bag").alias("bag")).collect()  # one per id
-    if not found:
-        return None
     found.sort(key=lambda r: r["doc_id"])
     taken = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in found]
     return fit(taken, np.array([float(r["label"]) for r in found]))

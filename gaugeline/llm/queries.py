@@ -58,7 +58,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(table(spark, sf_dir, "documents"), "source")
+    return lines.line_dedup(table(spark, sf_dir, "documents"), "source", once=True)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

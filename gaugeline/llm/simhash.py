@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeline.llm.common import raw, stored
+from gaugeline.llm.common import quoted, raw, stored
 
 SEED = 42
 #: Fingerprints in one tile, and in the pieces a tile pair is compared by.
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id:
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with one row left of each group: the smallest doc_id (null last), then the smallest text hash."""
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), F.col(text).alias("text"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.struct(*map(quoted, names)).alias("doc"), F.col(text).alias("text"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
     marked = with_fingerprints(rows, shingle).select("doc", "id", "row", F.xxhash64("text").alias("text_hash"), "fingerprint")
     marked = stored(marked, "simhash-docs")  # from here on a row's number is what was written
     order = F.struct(F.col("id").isNull(), "id", "text_hash", "row")

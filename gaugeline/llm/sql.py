@@ -32,11 +32,11 @@ FROM folded LEFT JOIN covered USING (row_no) LEFT JOIN named USING (row_no)
 
 LINES = r"""
 WITH numbered AS (SELECT row_number() OVER () AS row_no, doc_id, source, text FROM documents),
-parts AS (SELECT row_no, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM numbered),
+parts AS (SELECT row_no, source, text AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM numbered),
 trimmed AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM parts),
 frequent AS (
-  SELECT c.source, c.bare FROM (SELECT source, bare, count(DISTINCT row_no) AS holding FROM trimmed WHERE bare <> '' GROUP BY 1, 2) c
-  JOIN (SELECT source, count(*) AS pages FROM numbered GROUP BY 1) t ON c.source IS NOT DISTINCT FROM t.source
+  SELECT c.source, c.bare FROM (SELECT source, bare, count(DISTINCT page) AS holding FROM trimmed WHERE bare <> '' GROUP BY 1, 2) c
+  JOIN (SELECT source, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS pages FROM numbered GROUP BY 1) t ON c.source IS NOT DISTINCT FROM t.source
   WHERE holding >= 3 AND holding > pages * 0.1),
 marked AS (
   SELECT row_no, n, line, f.bare IS NOT NULL AS boilerplate

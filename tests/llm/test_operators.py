@@ -36,7 +36,7 @@ def frame(spark, rows, columns="doc_id long, text string"):
         name, kind = field.split(" ")
         if name not in df.columns:
             df = df.withColumn(name, F.lit(1).cast(kind))
-    return df
+    return df.withColumn("a.b`c", F.lit(1))
 
 
 @pytest.fixture(scope="module")
@@ -284,6 +284,71 @@ def test_articles_of_the_given_pages(spark):
     assert df.where("n_chars <> length(text) OR text RLIKE '  |^\\\\s|track\\\\('").count() == 0 and df.where("n_chars > 0").count() == 50
 
 
+STORY = "<p>The long story of the day.</p><p>It goes on for a while.</p>"
+TOLD = ["The long story of the day.", "It goes on for a while."]
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    (f'<div class="container has-sidebar"><article>{STORY}</article></div><footer>f</footer>', (2, TOLD)),
+    (f'<div id="content-ad-free">{STORY}</div><footer>f</footer>', (0, TOLD)), (f'<div class="comment-free">{STORY}</div>', (0, TOLD)),
+    (f'<div class="sidebar"><main>{STORY}</main></div><p>x', (1, TOLD)), (f'<form><article>{STORY}</article></form>', (2, TOLD)), (f'<div class="modal"><div class="banner">{STORY}</div></div><p>x', (0, [*TOLD, "x"])),
+    (f'<div class="comments">{STORY}</div><p>x', (0, ["x"])), (f"<div hidden>{STORY}</div><p>x", (0, ["x"])), (f'<nav>{STORY}</nav><p>x', (0, ["x"])),
+    (f'<aside class="sidebar"><article>card</article></aside><article>{STORY}</article>', (2, TOLD)), (f'<div class="ad-slot">buy</div><div class="sidebar_left">s</div><div class="cookie-notice">c</div>{STORY}', (0, TOLD)),
+    (f'{STORY}<div class="foo', (0, TOLD)), (f'{STORY}<div class="foo bar', (0, TOLD)), (f'{STORY}<div', (0, TOLD)), (f"{STORY}</", (0, TOLD)), (f"{STORY}<", (0, TOLD)),
+    (f'<article>{STORY}<a href="x>', (2, TOLD)), (f'<a title=\'it>{STORY}', (0, TOLD)), ("<p>3 < 4 and 5 <6", (0, ["3 < 4 and 5 <6"])),
+])
+def test_wrappers_and_cut_tags_lose_no_story(page, expected):
+    assert webtext.blocks(page) == expected
+
+
+def plain_main_text(pages):
+    """Host-wise, with all windows of all pages at hand; (page_id, host, blocks) rows."""
+    hosts = defaultdict(set)
+    for _, host, parts in pages:
+        hosts[host].add(tuple(parts))
+    out = {}
+    for page, host, parts in pages:
+        holding = Counter()
+        for other in hosts[host]:
+            words = [w for b in other for w in b.split(" ")] if other else []
+            holding.update({tuple(words[i : i + 8]) for i in range(len(words) - 7)})
+        least = max(3, len(hosts[host]) // 10 + 1)
+        words = [w for b in parts for w in b.split(" ")]
+        covered = [False] * len(words)
+        for i in range(len(words) - 7):
+            if holding[tuple(words[i : i + 8])] >= least:
+                covered[i : i + 8] = [True] * 8
+        kept, at, left = [], 0, 0
+        for block in parts:
+            own = block.split(" ")
+            gone = covered[at : at + len(own)]
+            at += len(own)
+            stay = own if 2 * sum(gone) <= len(own) else [w for w, c in zip(own, gone, strict=True) if not c]
+            left += len(stay)
+            kept += [" ".join(stay)] if stay else []
+        out[page] = "\n".join(kept if left >= 8 or not any(covered) else parts)
+    return out
+
+
+def test_unmarked_pages_equal_a_plain_host_wise_version(spark):
+    rng = random.Random(12)
+    menu = " ".join(f"menu{k}" for k in range(12))
+    given = [(r["page_id"], r["html"].replace("<article", "<div").replace("</article", "</div")) for r in spark.read.parquet(f"{SF}/pages.parquet").where("html IS NOT NULL").collect()]
+    pages = []
+    for i, (page, text) in enumerate(given):  # a host with half of all pages, and small ones; menus, notes and near copies
+        site = "hot" if i % 2 else f"h{i % 5}"
+        extra = f"<p>{menu}</p>" if rng.random() < 0.7 else ""
+        pages.append((page, f"http://{site}/", f"{extra}{text}"))
+        if rng.random() < 0.3:
+            pages.append((10_000 + page, f"http://{site}/", f"{extra}{text}<p>seen on day {page} by {rng.random()}</p>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    parts = [(p, u.split("/")[2], webtext.blocks(h)) for p, u, h in pages]
+    assert all(level == 0 for *_, (level, _) in parts)
+    got = {r["page_id"]: r["text"] for r in webtext.extract(df).collect()}
+    expected = plain_main_text([(p, s, b) for p, s, (_, b) in parts])
+    assert got == expected and any(menu in h and menu not in expected[p] for p, _, h in pages)
+
+
 # -- 6 -------------------------------------------------------------------------------------------------------------
 
 
@@ -333,6 +398,18 @@ def test_hilbert_curve_steps_to_neighbours():
     assert (np.abs(np.diff(grid[np.argsort(place)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_repeated_rows_are_spread(spark):
+    rows = [(7, "same words again " * 40)] * 2000 + [(i, f"text {i} " * 30) for i in range(2000)]
+    tokens_in = Counter()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), VOCABULARY).select("sequence_id", "length").collect():
+            tokens_in[p["sequence_id"] >> 32] += p["length"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tokens_in) >= 8 and max(tokens_in.values()) < 3 * sum(tokens_in.values()) / len(tokens_in)
+
+
 # -- 7 -------------------------------------------------------------------------------------------------------------
 
 
@@ -403,6 +480,13 @@ def test_line_dedup_of_odd_rows(spark):
     assert lines.line_dedup(df.limit(0)).count() == 0
 
 
+def test_copies_make_no_line_boilerplate(spark):
+    article = lambda k: "\n".join(f"line {i} of article {k} says {k * 31 + i}" for i in range(6))
+    rows = [(i, "big", f"menu\n{article(i)}") for i in range(40)] + [(100 + i, "big", article(500)) for i in range(20)] + [(200 + i, "small", article(600)) for i in range(5)]
+    got = lines.line_dedup(frame(spark, rows, "doc_id long, source string, text string"), once=True)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {d: t.removeprefix("menu\n") for d, _, t in rows}
+
+
 # -- 9 -------------------------------------------------------------------------------------------------------------
 
 
@@ -438,6 +522,17 @@ def test_long_texts_are_scored_whole(monkeypatch):
     assert abs(quality.probability(w, LONG.encode()) - whole) < 1e-3 and len(x) == -(-len(LONG.encode()) // quality.PASSAGE)
 
 
+def test_training_takes_whole_texts_within_its_bound(spark, monkeypatch):
+    rows, labels = [(i, f"word{i} " * (40 * i)) for i in range(1, 30)], [(i, i % 2) for i in range(1, 30)]
+    size = {d: -(-len(t.encode()) // quality.PASSAGE) for d, t in rows}
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append([len(b) for b in bags]) or {})
+    for bound in (10**6, 60, 1):
+        quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), passages=bound)
+    kept = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 5]
+    assert sorted(seen[0]) == sorted(size[d] for d in kept) and sum(seen[1]) <= 60 < sum(seen[0]) and not Counter(seen[1]) - Counter(seen[0]) and seen[2:] in ([], [[1]])
+
+
 def test_classifier_of_odd_rows(spark):
     df, labels = frame(spark, ODD), frame(spark, [(1, 0), (1, 1), (6, 1), (None, 1), (8, None), (99, 0), (10, 0)], "doc_id long, quality int")
     rows = quality.classify(df, labels).collect()

@@ -8,7 +8,7 @@ import brute
 import corpus_pipeline as pipeline
 import pytest
 
-from gaugeline.llm import lines, quality, tokens
+from gaugeline.llm import lines, quality, simhash, tokens
 from gaugeline.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +61,19 @@ def test_copies_that_fill_a_source_keep_their_article(spark):
     assert article(500) in left and article(600) in left and "" not in left
 
 
+def test_near_copies_that_fill_a_source_keep_their_article(spark):
+    article = lambda k: "\n".join(f"line {i} of article {k} says {k * 31 + i} and more words of its own {k}" for i in range(20))
+    rows = [(i, f"menu\n{article(i)}", "big") for i in range(40)] + [(100 + i, f"{article(500)}\non day {i}", "big") for i in range(20)]
+    rows += [(200 + i, f"{article(600)}\nat {i}", "small") for i in range(4)]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], table(spark, SF, "documents").schema)
+    found = simhash.near_duplicates(docs, pipeline.SHINGLE, pipeline.RADIUS).groupBy("component_id").count().collect()
+    assert {r["component_id"]: r["count"] for r in found}.get(100) == 20, "the copies are near ones"
+    kept = {r["doc_id"]: r["text"] for r in pipeline.line_dedup(spark, docs, SF).collect()}
+    assert kept == {d: t.removeprefix("menu\n") for d, t, _ in rows}
+    left = [r["text"] for r in pipeline.simhash_near_dedup(spark, pipeline.line_dedup(spark, docs, SF), SF).collect()]
+    assert sum(article(500) in t for t in left) == 1 and sum(article(600) in t for t in left) == 1 and len(left) == 42
+
+
 def test_packing_stage_takes_millions_of_blanks(spark):
     docs = table(spark, SF, "documents")
     rows = spark.createDataFrame([(7, " " * 2_000_000, "en", "s", 2_000_000), (8, "a b", "en", "s", 3)], docs.schema)
