@@ -25,9 +25,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; n_chars says what is left.
 
-    Copies are one page of their source here: they are left to the next stage, which keeps one of them.
+    Copies and near copies are one page of their source here, grouped as the next stage groups them, which keeps one of
+    them: so a line that only they share is no boilerplate. What is grouped is hashes of lines; no text is shuffled for it.
     """
-    kept = lines.drop_boilerplate(docs, "source", once=True)
+    pages = simhash.with_fingerprints(docs.select("source", "text"), SHINGLE)
+    pages = stored(pages.select("source", lines.bare(F.col("text")).alias("hashes"), "fingerprint"), "pipeline-lines")
+    groups = simhash.rooted_prints(pages.select("fingerprint").distinct(), RADIUS)
+    listed = lines.boilerplate_of_groups(pages.join(groups, "fingerprint"), "source", "hashes", "root")
+    kept = lines.drop_boilerplate(docs, "source", listed=listed)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
