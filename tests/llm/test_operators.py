@@ -141,6 +141,35 @@ def test_decontamination_of_empty_tables(spark):
     assert decontam.decontaminate(df, items.limit(0)).where("contaminated OR n_hit > 0").count() == 0
 
 
+def test_decontamination_over_several_stages_of_blocks(spark, monkeypatch):
+    df, items = frame(spark, ODD + [(30, "w1 w3 w4 w5"), (31, "solo x short item here")]), frame(spark, ITEMS, "item_id long, text string")
+    whole = bag(decontam.searched(df.select("doc_id", "text"), items).select("doc_id", F.to_json("found").alias("f")), "doc_id", "f")
+    monkeypatch.setattr(decontam, "CHAINED", 2)
+    in_parts = decontam.searched(df.select("doc_id", "text"), items, limit=12)
+    assert bag(in_parts.select("doc_id", F.to_json("found").alias("f")), "doc_id", "f") == whole
+    assert decontam.blocks(items, "item_id", "text", 12)[0] > 4
+
+
+@pytest.mark.parametrize(("size", "different"), [(1, 1 << 20), (300, 1 << 20), (1 << 20, 3)])
+def test_rounds_of_texts_change_no_result(monkeypatch, size, different):
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    content = [(t or "").encode() for _, t in ODD] + [b"w1 w3 w4 w5", b"solo x SHORT item here " * 40]
+    batches = [(content[:7], 7), (content[7:], len(content) - 7)]
+    nothing = lambda n: {"spans": [None] * n, "items": [None] * n}
+    blocks = [Sent([(None if k is None else str(k), (t or "").encode())]) for k, t in ITEMS]
+
+    def rows():
+        return [tuple(r) for part in decontam.scan(blocks, 13).func((c, nothing(n)) for c, n in batches) for r in part.itertuples(index=False)]
+
+    whole = rows()
+    monkeypatch.setattr(decontam, "ROUND_BYTES", size)
+    monkeypatch.setattr(decontam, "ROUND_WORDS", different)
+    assert rows() == whole and len(whole) == len(content) and whole[-1][2] == ["2", "5"]
+
+
 # -- 3 -------------------------------------------------------------------------------------------------------------
 
 
