@@ -45,23 +45,32 @@ class Search:
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.numbers: dict[bytes, int] = {}
-        strings: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(dict)
+        strings: dict[int, dict[tuple[int, ...], tuple | set]] = defaultdict(dict)
+        shifts: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
         for item, text in items:
             codes = [self.numbers.setdefault(w, len(self.numbers)) for w in words(text)]
-            size = min(window, len(codes))
-            for i in range(len(codes) - size + 1 if codes else 0):
-                strings[size].setdefault(tuple(codes[i : i + size]), set()).update([] if item is None else [item])
+            if not codes:
+                continue
+            size, named = min(window, len(codes)), () if item is None else (item,)
+            block, own, safe = min(2, size), strings[size], shifts[size]
+            for i in range(len(codes) - size + 1):
+                string = tuple(codes[i : i + size])
+                owners = own.setdefault(string, named)
+                if isinstance(owners, set):
+                    owners.update(named)
+                elif owners != named:
+                    own[string] = {*owners, *named}
+            # The nearest end of a window at or after a block: its own, but for the first blocks of an item.
+            for end in range(block, len(codes) + 1):
+                key = tuple(codes[end - block : end])
+                safe[key] = min(safe.get(key, size), max(0, size - end))
         self.tables = []
         for size, found in sorted(strings.items()):
             block = min(2, size)
-            shifts: dict[tuple[int, ...], int] = {}
-            buckets: dict[tuple[int, ...], list[tuple[tuple[int, ...], set[str]]]] = defaultdict(list)
+            buckets: dict[tuple[int, ...], list[tuple[tuple[int, ...], tuple | set]]] = defaultdict(list)
             for string, owners in found.items():
-                for end in range(block, size + 1):
-                    key = string[end - block : end]
-                    shifts[key] = min(shifts.get(key, size), size - end)
                 buckets[string[size - block :]].append((string, owners))
-            self.tables.append((size, block, shifts, dict(buckets)))
+            self.tables.append((size, block, shifts[size], dict(buckets)))
 
     def find(self, codes: list[int], mark: Callable[[int, int], None]) -> set[str]:
         """Report the word places of every occurrence; the items they belong to."""
@@ -78,7 +87,7 @@ class Search:
                 for string, owners in buckets[key]:
                     if string == here:
                         mark(at - size, at)
-                        items |= owners
+                        items.update(owners)
                 at += 1
         return items
 
