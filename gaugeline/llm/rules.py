@@ -1,9 +1,10 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions alone.
 
 Five transformed statistics describe a text. Per language and source, a minimum-covariance-determinant estimate of
-their centre and scatter is found by concentration steps: from a robust start, the half (``SUPPORT``) of the group
-nearest to the present centre gives the next one. A text whose squared Mahalanobis distance from its group's final
-estimate exceeds a quantile of the chi-squared distribution is rejected.
+their centre and scatter is found by concentration steps: the three quarters (``SUPPORT``) of the group nearest to the
+present centre give the next one. Three starts per group (quartiles; spatial signs; all rows) take the first steps in the
+same passes; the one of least determinant goes on until its determinant stops falling. A text whose squared Mahalanobis
+distance from its group's final estimate exceeds a quantile of the chi-squared distribution is rejected.
 
 Ranks within a group are read off a histogram of distances, whose size has a bound, so no group is ever sorted or
 gathered; the nearest part is all rows up to the bin that reaches its rank. Sums are in whole numbers, so results do not
@@ -19,11 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeline.llm.common import SPACE, stored
-from gaugeline.session import small_side
+from gaugeline.session import checkpointed, small_side
 
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
-#: Share of a group that the estimate rests on, concentration steps, bins of a doubling of the distance.
-SUPPORT, STEPS, FINE = 0.75, 5, 32
+#: Share of a group that the estimate rests on, steps that every start takes, bins of a doubling of the distance.
+SUPPORT, TRIALS, FINE = 0.75, 2, 32
+#: The least fall of the logarithm of the determinant that calls for another step. That logarithm is never below nought,
+#: since least deviations are added, so steps end.
+FALL = 1e-4
+#: Products of spatial signs are rounded to parts of one, so that their sums do not depend on the order of rows.
+SIGN_PARTS = 1 << 20
 #: The 0.9999 quantile of chi-squared with five degrees of freedom, and the factor that makes up for the scatter of the
 #: nearest three quarters of a normal sample.
 CUTOFF, CONSISTENCY = 25.745, 1.412
@@ -83,8 +89,28 @@ def transformed() -> dict[str, Column]:
     return {k: F.round(v / d * PARTS).cast("long") for (k, d), v in zip(STATISTICS.items(), values, strict=True)}
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """Per group: medians, and quartile distances as deviations, off histograms of whole bins."""
+def whole(value: Column) -> Column:
+    """The exact sum of whole numbers."""
+    return F.sum(value.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def sums() -> list[Column]:
+    """Rows, sums and sums of products of the statistics."""
+    return [
+        F.count(F.lit(1)).alias("n"), *[whole(F.col(x)).alias(f"s{i}") for i, x in enumerate(NAMES)],
+        *[whole(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i, j in PAIRS],
+    ]
+
+
+def moments(factor: float) -> dict[str, Column]:
+    """The centre and, times a factor, the scatter that such sums give."""
+    n, mean = F.col("n").cast("double"), [F.col(f"s{i}").cast("double") / F.col("n") / PARTS for i in range(SIZE)]
+    scatter = {f"c{i}{j}": (F.col(f"p{i}{j}").cast("double") / n / PARTS**2 - mean[i] * mean[j]) * factor for i, j in PAIRS}
+    return {f"m{i}": mean[i] for i in range(SIZE)} | scatter
+
+
+def quartiles(rows: DataFrame) -> DataFrame:
+    """Per group: medians m, and quartile distances as deviations d, off histograms of whole bins."""
     width = PARTS // COARSE
     longer = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(x) / width) for x in NAMES])).alias("k", "bin"))
     bins = longer.groupBy("g", "k", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -94,12 +120,32 @@ def start(rows: DataFrame) -> DataFrame:
     marks = ranked.groupBy("g", "k").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
     middle, spread = (F.col("mid") + 0.5) / COARSE, (F.col("high") - F.col("low")) / COARSE / 1.349
     pick = lambda k, value: F.max(F.when(F.col("k") == k, value))
-    wide = marks.groupBy("g").agg(*[pick(k, middle).alias(f"m{k}") for k in range(SIZE)], *[pick(k, spread * spread).alias(f"c{k}{k}") for k in range(SIZE)])
-    return factored(wide.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j}))
+    return marks.groupBy("g").agg(*[pick(k, middle).alias(f"m{k}") for k in range(SIZE)], *[pick(k, spread).alias(f"d{k}") for k in range(SIZE)])
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Per group three estimates, numbered s: quartiles alone; spatial signs about the medians; all rows.
+
+    The sign of a row is its way from the medians, in quartile deviations and least deviations, brought to length one.
+    """
+    robust = small_side(quartiles(rows))
+    unit = [F.sqrt(F.col(f"d{i}") * F.col(f"d{i}") + 1.0) for i in range(SIZE)]
+    away = rows.join(robust, "g").withColumns({f"z{i}": (F.col(x) / PARTS - F.col(f"m{i}")) / unit[i] for i, x in enumerate(NAMES)})
+    length = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(SIZE)), F.lit(0.0))
+    away = away.withColumn("length", F.greatest(length, F.lit(1e-12)))
+    signs = [F.sum(F.round(F.col(f"z{i}") * F.col(f"z{j}") / F.col("length") * SIGN_PARTS).cast("long")).alias(f"q{i}{j}") for i, j in PAIRS]
+    about = checkpointed(away.groupBy("g").agg(*sums(), *signs).join(robust, "g"))
+    centre = {f"m{i}": F.col(f"m{i}") for i in range(SIZE)}
+    deviations = {f"c{i}{j}": F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0) for i, j in PAIRS}
+    directions = {f"c{i}{j}": F.col(f"q{i}{j}").cast("double") / F.col("n") / SIGN_PARTS * SIZE * unit[i] * unit[j] for i, j in PAIRS}
+    kinds = [centre | deviations, centre | directions, moments(1.0)]
+    each = F.array(*[F.struct(F.lit(s).alias("s"), *[c.alias(name) for name, c in kind.items()]) for s, kind in enumerate(kinds)])
+    return factored(about.select("g", F.inline(each)))
 
 
 def factored(estimates: DataFrame) -> DataFrame:
-    """Per group: the centre and the Cholesky factor of the scatter, to whose diagonal the least deviations are added."""
+    """Per group and start: the centre, the Cholesky factor of the scatter, to whose diagonal the least deviations are
+    added, and the logarithm of its determinant."""
     parts: dict[tuple[int, int], str] = {}
     for i, j in PAIRS:
         rest = F.col(f"c{i}{j}") + (1.0 if i == j else 0.0)
@@ -107,7 +153,8 @@ def factored(estimates: DataFrame) -> DataFrame:
             rest = rest - F.col(parts[i, k]) * F.col(parts[j, k])
         parts[i, j] = f"l{i}{j}"
         estimates = estimates.withColumn(parts[i, j], F.sqrt(rest) if i == j else rest / F.col(parts[j, j]))
-    return estimates.select("g", *[f"m{i}" for i in range(SIZE)], *parts.values())
+    determinant = sum((2 * F.log(F.col(parts[i, i])) for i in range(SIZE)), F.lit(0.0))
+    return estimates.select("g", "s", *[f"m{i}" for i in range(SIZE)], *parts.values(), determinant.alias("determinant"))
 
 
 def distance(rows: DataFrame) -> DataFrame:
@@ -124,17 +171,27 @@ def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """One step: the estimates from each group's nearest rows. Sums are kept by bin of the distance, so one pass does."""
     near = distance(rows.join(small_side(estimates), "g"))
     bin_of = F.floor(FINE * F.log2(F.greatest(F.least(F.col("d2"), F.lit(2.0**20)), F.lit(2.0**-20))))
-    whole = lambda c: F.sum(c.cast("decimal(20,0)")).cast("decimal(38,0)")
-    bins = near.withColumn("bin", bin_of).groupBy("g", "bin").agg(
-        F.count(F.lit(1)).alias("n"), *[whole(F.col(x)).alias(f"s{i}") for i, x in enumerate(NAMES)],
-        *[whole(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i, j in PAIRS],
-    )
-    group = Window.partitionBy("g")
+    bins = near.withColumn("bin", bin_of).groupBy("g", "s", "bin").agg(*sums())
+    group = Window.partitionBy("g", "s")
     ranked = bins.withColumn("before", F.sum("n").over(group.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(group))
-    held = ranked.where(F.col("before") < F.col("all") * SUPPORT).groupBy("g").agg(*[F.sum(c).cast("double").alias(c) for c in bins.columns[2:]])
-    held = held.select("g", "n", *[(F.col(f"s{i}") / F.col("n") / PARTS).alias(f"m{i}") for i in range(SIZE)], *[f"p{i}{j}" for i, j in PAIRS])
-    scatter = {f"c{i}{j}": (F.col(f"p{i}{j}") / F.col("n") / PARTS**2 - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY for i, j in PAIRS}
-    return factored(held.withColumns(scatter))
+    held = ranked.where(F.col("before") < F.col("all") * SUPPORT).groupBy("g", "s").agg(*[F.sum(c).alias(c) for c in bins.columns[3:]])
+    return factored(held.withColumns(moments(CONSISTENCY)))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """One estimate per group: the start of least determinant after the first steps, stepped on until that stops falling."""
+    estimates = starts(rows)
+    for _ in range(TRIALS):
+        estimates = concentrated(rows, estimates)
+    least = estimates.groupBy("g").agg(F.min_by(F.struct(*estimates.columns[1:]), F.struct("determinant", "s")).alias("e"))
+    best = checkpointed(least.select("g", "e.*", F.lit(True).alias("moving")))
+    while not best.where("moving").isEmpty():
+        step = concentrated(rows, best.where("moving").drop("moving"))
+        step = step.select("g", F.struct(*step.columns[1:]).alias("new"))
+        fell = F.coalesce(F.col("new.determinant") < F.col("determinant") - FALL, F.lit(False))
+        next_of = [F.when(fell, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in estimates.columns[1:]]
+        best = checkpointed(best.join(step, "g", "left").select("g", *next_of, fell.alias("moving")))
+    return best.drop("moving")
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -142,10 +199,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     group = F.to_json(F.struct("lang", "source"))
     rows = stored(base_statistics(docs, doc_id, text, lang, source).withColumns(transformed()).withColumn("g", group), "rules")
     sound = rows.where(~F.col("base_failed")).select("g", *NAMES)
-    estimates = start(sound)
-    for _ in range(STEPS):
-        estimates = concentrated(sound, estimates)
-    judged = distance(rows.join(small_side(estimates), "g", "left"))
+    judged = distance(rows.join(small_side(settled(sound)), "g", "left"))
     far = F.when(~F.col("base_failed"), F.col("d2"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -457,20 +457,28 @@ def judged_plainly(rows):
         if not own:
             continue
         x, width = values[own], rules.PARTS // rules.COARSE
-        bins = np.sort(np.floor(x / width), axis=0)
+        bins, points = np.sort(np.floor(x / width), axis=0), x / rules.PARTS
         at = lambda q: bins[int(np.ceil(q * len(own))) - 1]
-        centre, scatter = (at(0.5) + 0.5) / rules.COARSE, np.diag(((at(0.75) - at(0.25)) / rules.COARSE / 1.349) ** 2)
-
-        def distances(x=x):
-            d = x / rules.PARTS - centre
-            return (d @ np.linalg.inv(scatter + np.eye(5)) * d).sum(axis=1)
-
-        for _ in range(rules.STEPS):
-            b = np.floor(rules.FINE * np.log2(np.clip(distances(), 2.0**-20, 2.0**20)))
-            top = np.sort(b)[int(np.ceil(rules.SUPPORT * len(own))) - 1]
-            near = x[b <= top] / rules.PARTS
-            centre, scatter = near.mean(axis=0), np.cov(near.T, bias=True) * rules.CONSISTENCY
-        for i, d in zip(own, distances(), strict=True):
+        middle, spread = (at(0.5) + 0.5) / rules.COARSE, (at(0.75) - at(0.25)) / rules.COARSE / 1.349
+        unit = np.sqrt(spread**2 + 1)
+        z = (points - middle) / unit
+        signs = z / np.sqrt(np.maximum((z**2).sum(axis=1), 1e-12))[:, None]
+        starts = [(middle, np.diag(spread**2)), (middle, signs.T @ signs / len(own) * 5 * np.outer(unit, unit)), (points.mean(axis=0), np.cov(points.T, bias=True))]
+
+        def distances(estimate, points=points):
+            d = points - estimate[0]
+            return (d @ np.linalg.inv(estimate[1] + np.eye(5)) * d).sum(axis=1)
+
+        def step(estimate, points=points):
+            b = np.floor(rules.FINE * np.log2(np.clip(distances(estimate, points), 2.0**-20, 2.0**20)))
+            near = points[b <= np.sort(b)[int(np.ceil(rules.SUPPORT * len(points))) - 1]]
+            return near.mean(axis=0), np.cov(near.T, bias=True) * rules.CONSISTENCY
+
+        determinant = lambda e: np.linalg.slogdet(e[1] + np.eye(5))[1]
+        best = min((step(step(e)) for e in starts), key=determinant)
+        while determinant(after := step(best)) < determinant(best) - rules.FALL:
+            best = after
+        for i, d in zip(own, distances(best), strict=True):
             verdict[i] = bool(d <= rules.CUTOFF)
     return base, verdict
 
