@@ -8,7 +8,8 @@ right: where neighbours agree in them, the whole stretch is repeated. Only where
 is the match extended word by word: all passages that this place selects are cut out, sorted and compared likewise.
 
 So the result is exact: a word is covered if it lies in 50 consecutive words that another document has too (equal
-64-bit hashes count as equal words).
+64-bit hashes count as equal words). ``drop_later_copies`` removes what is found: of every such passage the occurrence of
+the least (document id, place) stays.
 
 Defined cases: words are what lies between ASCII white space, as written; null and shorter texts hold no passage; rows
 of equal doc_id and text are one document, so they are no repetition of each other, and give one result; null ids are
@@ -17,18 +18,21 @@ carried; documents that merely share an id are different documents; an empty tab
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
-from gaugeline.llm.common import raw, row_key, stored
+from gaugeline.llm.common import quoted, raw, row_key, stored
 from gaugeline.llm.runs import shared_runs
 
 BASE = 0x9E37_79B9_7F4A_7C15
 MIX = 0xBF58_476D_1CE4_E5B9
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -128,12 +132,8 @@ def merged_spans(spans):
     return F.element_at(F.transform(F.array(both), joined), 1)
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, end, n_words: stretches of words that lie in passages of ``least`` words other documents have too.
-
-    Documents without such a stretch have no row.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw(text).alias("text")).withColumn("owner", row_key("doc_id", "text"))
+def stretches(rows: DataFrame, least: int) -> DataFrame:
+    """owner, doc_id, spans: the stretches of each document, out of rows (doc_id, text, owner)."""
     kept = stored(suffixes(rows, least), "suffixes")
     candidates = stored(shared_runs(kept, "head", "owner"), "candidates")
     around = shared_runs(candidates, "around", "owner", alone=True)
@@ -149,5 +149,100 @@ def repeated_passages(docs: DataFrame, least: int = 50, doc_id: str = "doc_id",
     extended = stored(passages(rows.join(places, "owner"), least), "passages")
     found = shared_runs(extended, "passage", "owner").select("owner", "doc_id", "start", (F.col("start") + least).alias("end"))
     spans = whole.select("owner", "doc_id", "start", "end").unionByName(found)
-    joined = spans.groupBy("owner", "doc_id").agg(merged_spans(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return joined.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", (F.col("s.end") - F.col("s.start")).cast("long").alias("n_words"))
+    return spans.groupBy("owner", "doc_id").agg(merged_spans(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+
+def repeated_passages(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, start, end, n_words: stretches of words that lie in passages of ``least`` words other documents have too.
+
+    Documents without such a stretch have no row.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw(text).alias("text")).withColumn("owner", row_key("doc_id", "text"))
+    found = stretches(rows, least).select("doc_id", F.explode("spans").alias("s"))
+    return found.select("doc_id", "s.start", "s.end", (F.col("s.end") - F.col("s.start")).cast("long").alias("n_words"))
+
+
+def passages_of_spans(docs: DataFrame, least: int) -> DataFrame:
+    """(passage, doc_id, owner, start): every passage inside the spans of each document."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for owner, doc, text, spans in zip(batch["owner"], batch["doc_id"], batch["text"], batch["spans"], strict=True):
+                words = Words(text)
+                start = np.concatenate([np.arange(x["start"], x["end"] - least + 1) for x in spans])
+                yield pd.DataFrame({
+                    "passage": words.runs(start, start + least).view(np.int64), "doc_id": pd.array([doc] * len(start), "Int64"),
+                    "owner": owner, "start": start.astype(np.int32),
+                })
+
+    return docs.mapInPandas(cut, "passage long, doc_id long, owner long, start int")
+
+
+def later_occurrences(occurrences: DataFrame) -> DataFrame:
+    """(owner, start) of all occurrences of a passage but its first, by (doc_id, owner, start), null ids first.
+
+    Occurrences are sorted by range over all of these, so a frequent passage is spread over many partitions. The first
+    row of a partition is later if its passage stands in the partition before, whose last row tells: two rows of each
+    partition are compared.
+    """
+
+    def flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = batch["passage"].to_numpy()
+            first = np.concatenate([[before is None or key[0] != before], key[1:] != key[:-1]])
+            edge = np.zeros(len(batch), bool)
+            edge[0] = before is None
+            before, batch = key[-1], batch.assign(first=first, edge=edge)
+            if held is not None:
+                yield held
+            held = batch
+        if held is not None:
+            held.loc[held.index[-1], "edge"] = True
+            yield held
+
+    order = ["passage", "doc_id", "owner", "start"]
+    ordered = occurrences.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = stored(ordered.mapInPandas(flagged, "passage long, doc_id long, owner long, start int, first boolean, edge boolean"), "occurrences")
+    place = F.struct(*order[1:])
+    least = marked.where("edge").groupBy("passage").agg(F.min(place).alias("least"))
+    goes_on = marked.where("first AND edge").join(F.broadcast(least), "passage").where(place > F.col("least"))
+    return marked.where("NOT first").select("owner", "start").unionByName(goes_on.select("owner", "start"))
+
+
+@F.pandas_udf(StringType())
+def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the words of the spans and the white space after them; null where there are no spans."""
+    out: list[str | None] = []
+    for text, cuts in zip(texts, spans, strict=True):
+        if not len(cuts):
+            out.append(None)
+            continue
+        place = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+        kept, at = [], 0
+        for cut in cuts:
+            kept.append(text[at : place[cut["start"]]])
+            at = place[cut["end"]]
+        out.append(b"".join([*kept, text[at:]]).decode())
+    return pd.Series(out, dtype=object)
+
+
+def drop_later_copies(docs: DataFrame, least: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All documents with all their columns; texts lose every later occurrence of a passage that several documents have.
+
+    Each word that goes stands in an earlier occurrence, and no passage of ``least`` words is left in two documents in its
+    old surroundings. Later occurrences in the document of the first go too. Texts that lose nothing stay as they are, null too.
+    """
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), quoted(doc_id).cast("long").alias("doc_id"), raw(text).alias("text"))
+    rows = rows.withColumn("owner", row_key("doc_id", "text"))
+    found = stored(stretches(rows.select("doc_id", "text", "owner"), least).select("owner", "spans"), "stretches")
+    once = rows.select("doc_id", "text", "owner").join(found.select("owner"), "owner", "left_semi").dropDuplicates(["owner"]).join(found, "owner")
+    later = later_occurrences(stored(passages_of_spans(once, least), "occurrences"))
+    cuts = later.groupBy("owner").agg(merged_spans(F.collect_set(F.struct("start", (F.col("start") + least).alias("end")))).alias("cuts"))
+    rest = rows.join(cuts, "owner", "left")
+    changed = without(F.col("text"), F.coalesce("cuts", F.array().cast(cuts.schema["cuts"].dataType)))
+    return rest.withColumn("left", changed).select(*[
+        (F.coalesce("left", F.col("doc")[c]) if c == text else F.col("doc")[c]).alias(c) for c in docs.columns
+    ])

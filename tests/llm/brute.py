@@ -87,6 +87,26 @@ def repeated(rows: list[tuple[int | None, str | None]], least: int) -> Counter:
     return out
 
 
+def without_later_copies(rows: list[tuple[int | None, str | None]], least: int) -> list[str | None]:
+    """The texts without later occurrences of passages that several documents have; ids are in order and told apart by id."""
+    documents = {(d, t or ""): BLANK.findall(t or "") for d, t in rows}
+    places = defaultdict(list)
+    for key in sorted(documents, key=lambda k: (k[0] is not None, k[0] or 0)):
+        for i in range(len(documents[key]) - least + 1):
+            places[tuple(documents[key][i : i + least])].append((key, i))
+    gone = defaultdict(set)
+    for at in places.values():
+        if len({key for key, _ in at}) > 1:
+            for key, i in at[1:]:
+                gone[key].update(range(i, i + least))
+    out: list[str | None] = []
+    for d, t in rows:
+        cut, pieces = gone[d, t or ""], re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t or "")
+        head = re.match(r"[\x20\x09-\x0D]*", t or "").group()
+        out.append(head + "".join(p for i, p in enumerate(pieces) if i not in cut) if cut else t)
+    return out
+
+
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     text = text or ""
     words = BLANK.findall(text)

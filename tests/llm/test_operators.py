@@ -231,6 +231,38 @@ def test_repeated_passages_of_nested_and_odd_rows(spark):
     assert sparse.repeated_passages(frame(spark, rows).limit(0), 50).count() == 0
 
 
+@pytest.mark.parametrize("least", [50, 12])
+def test_later_copies_go(spark, least):
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    noise = lambda n: [f"n{draw.random()}" for _ in range(n)]
+    rows = ODD + [
+        (40, "\n ".join(noise(30) + words[:80] + noise(20))), (41, " ".join(words[20:90] + noise(9))), (42, "  " + "\t".join(noise(5) + words[5:75] + words[100:170])),
+        (43, " ".join(words[60:150])), (44, " ".join(words[100:170] + noise(3) + words[100:170])), (45, " ".join(words[200:260] * 2)), (46, " ".join(words[200:260])),
+        (None, " ".join(words[300:360])), (47, " ".join(words[290:370])), (46, " ".join(words[200:260])),
+    ] + [(60 + i, " ".join(["é" * (i % 3 + 1)] + words[300:355])) for i in range(40)]
+    df = frame(spark, rows).repartition(8)
+    left = sparse.drop_later_copies(df, least)
+    assert left.columns == df.columns
+    expected = brute.without_later_copies(rows, least)
+    assert bag(left, "doc_id", "text") == Counter((d, t) for (d, _), t in zip(rows, expected, strict=True))
+    assert sum(t != e for (_, t), e in zip(rows, expected, strict=True)) > 45
+    assert sparse.drop_later_copies(df.limit(0), least).count() == 0
+
+
+def test_first_occurrences_over_many_partitions(spark):
+    rows = [(p, None if i % 50 == 0 else i // 3, i % 7, i) for p, n in ((-4, 900), (1, 5000), (2, 1), (3, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "passage long, doc_id long, owner long, start int").repartition(8)
+    order = lambda r: (r[1] is not None, r[1] or 0, *r[2:])
+    first = {p: min((r for r in rows if r[0] == p), key=order) for p in (-4, 1, 2, 3)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        later = sparse.later_occurrences(stored(df, "occurrences"))
+        assert Counter(map(tuple, later.collect())) == Counter(r[2:] for r in rows if first[r[0]] != r)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_neighbours_over_many_partitions(spark):
     draw = random.Random(1)
     rows = [(draw.choice([5, 5, 5, draw.randrange(400)]), draw.randrange(60)) for _ in range(3000)] + [(-1, 1)] * 50
