@@ -18,13 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gaugeline.llm.common import quoted, raw, stored
 
 SEED = 42
 #: Fingerprints in one tile, and in the pieces a tile pair is compared by.
-TILE, PIECE = 1 << 15, 256
+TILE, PIECE = 1 << 17, 256
+#: Tiles' worth of fingerprints that a task compares with one tile, and comparisons that are worth a task.
+MEET, WORK = 4, 1 << 30
+#: Population counts of the quarters, the highest bits first.
+QUARTERS = ("q3", "q2", "q1", "q0")
 #: Hashes whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -88,7 +92,8 @@ def links(one: np.ndarray, two: np.ndarray, radius: int, same: bool) -> tuple[np
         parts.append((tile, [c[i : i + PIECE].min(axis=0) for i in cut], [c[i : i + PIECE].max(axis=0) for i in cut]))
     (a, low_a, high_a), (b, low_b, high_b) = parts[0], parts[-1]
     low_b, high_b = np.array(low_b), np.array(high_b)
-    base, found = 0 if same else len(a), ([], [])
+    every = a if same else np.concatenate([a, b])
+    base, found, held = 0 if same else len(a), ([], []), 0
     for i in range(len(low_a)):
         gap = np.maximum(0, np.maximum(low_a[i] - high_b, low_b - high_a[i])).sum(axis=1)
         block = a[i * PIECE : (i + 1) * PIECE]
@@ -115,60 +120,95 @@ def links(one: np.ndarray, two: np.ndarray, radius: int, same: bool) -> tuple[np
                     nodes = np.concatenate([np.arange(size) + i * PIECE, base + j * PIECE + np.arange(width)])
                 found[0].append(nodes[x])
                 found[1].append(nodes[y])
+                held += len(x)
+        if held > 4 * len(every):  # a forest of what was found so far holds less than that
+            root = forest(np.concatenate(found[0]), np.concatenate(found[1]), len(every))
+            child = np.flatnonzero(root != np.arange(len(every)))
+            found, held = ([child], [root[child]]), len(child)
     if not found[0]:
         return a[:0], a[:0]
-    every = a if same else np.concatenate([a, b])
     root = forest(np.concatenate(found[0]), np.concatenate(found[1]), len(every))
     child = np.flatnonzero(root != np.arange(len(every)))
     return every[child], every[root[child]]
 
 
-def linked(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) that connect what lies within the radius, from a table of different fingerprints.
+def tiled(prints: DataFrame) -> DataFrame:
+    """The tiles of a table of different fingerprints: number, place, size, bounds of the quarters' counts, and the bytes.
 
-    Fingerprints are tiled by the counts of their two halves. A tile meets every tile whose counts differ by no more
-    than the radius in sum; tiles of one cell meet in all their pairs. What travels is tiles as byte strings.
+    A cell holds equal counts of both halves. A cell of more than a tile is cut along its quarters' counts, so that
+    its tiles differ in them; only what shares all four counts is dealt by hash.
     """
     signed = F.col("fingerprint")
-    halves = prints.select(
-        signed, F.bit_count(F.shiftrightunsigned(signed, 32)).alias("high"), F.bit_count(signed.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"),
+    quarters = [F.bit_count(F.shiftrightunsigned(signed, 16 * k).bitwiseAND(F.lit(0xFFFF))).alias(f"q{k}") for k in (3, 2, 1, 0)]
+    counted = prints.select(signed, *quarters)
+    cell = Window.partitionBy("high", "low")
+    total, before = F.sum("n").over(cell), F.sum("n").over(cell.orderBy("q3", "q1")) - F.col("n")
+    # 17 x 17 x 17 x 17 rows at most
+    cells = stored(
+        counted.groupBy(*QUARTERS).agg(F.count(F.lit(1)).alias("n"))
+        .withColumns({"high": F.col("q3") + F.col("q2"), "low": F.col("q1") + F.col("q0")})
+        .withColumns({"total": total, "before": before, "cuts": F.ceil(total / TILE)}),
+        "simhash-cells",
     )
-    cells = stored(halves.groupBy("high", "low").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("cuts")), "simhash-cells")
-    # 33 x 33 cells at most
-    cut = halves.join(F.broadcast(cells), ["high", "low"]).withColumn("cut", F.pmod(F.xxhash64(signed, F.lit(7)), "cuts").cast("int"))
+    cut = counted.join(F.broadcast(cells), list(QUARTERS)).withColumn("cut", F.expr("(before + pmod(xxhash64(fingerprint, 7), n)) * cuts div total"))
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        return pd.DataFrame({"high": [first["high"]], "low": [first["low"]], "cut": [first["cut"]], "tile": [np.sort(frame["fingerprint"].to_numpy()).tobytes()]})
+        first, values = frame.iloc[0], np.sort(frame["fingerprint"].to_numpy())
+        c = counts(values.view(np.uint64)).astype(np.int32)
+        return pd.DataFrame({
+            "high": [first["high"]], "low": [first["low"]], "cut": [first["cut"]], "size": [len(values)],
+            "least": [c.min(axis=0)], "most": [c.max(axis=0)], "prints": [values.tobytes()],
+        })
+
+    kinds = "high int, low int, cut long, size long, least array<int>, most array<int>, prints binary"
+    made = cut.select("high", "low", "cut", "fingerprint").groupBy("high", "low", "cut").applyInPandas(packed, kinds)
+    # numbers follow the order of (high, low, cut)
+    return stored(made.withColumn("tile", F.expr("(high * 64 + low) * (1L << 40) + cut")), "simhash-tiles")
+
+
+def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(tile, other, part, work) for all tiles that may hold near fingerprints, by numbers alone.
 
-    tiles = stored(cut.select("high", "low", "cut", "fingerprint").groupBy("high", "low", "cut").applyInPandas(packed, "high int, low int, cut int, tile binary"), "simhash-tiles")
+    A tile meets its own cell and the cells after it whose counts differ by no more than the radius in sum, there only
+    tiles whose quarters' counts come as near. Its partners are dealt into parts of a bounded number of fingerprints.
+    """
     near = [(h, w) for h in range(-radius, radius + 1) for w in range(-radius, radius + 1) if abs(h) + abs(w) <= radius and (h, w) >= (0, 0)]
     steps = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")) for h, w in near])
-    # A tile is sent to its partners' cells; there it meets each tile of that cell.
-    asked = tiles.select(F.explode(steps).alias("d"), "*").select(
-        (F.col("high") + F.col("d.h")).alias("to_high"), (F.col("low") + F.col("d.w")).alias("to_low"),
-        F.struct("high", "low", "cut").alias("from"), F.col("tile").alias("one"),
-    )
-    partners = cells.select(F.col("high").alias("to_high"), F.col("low").alias("to_low"), F.col("cuts").alias("to_cuts"))
-    pairs = (
-        asked.join(F.broadcast(partners), ["to_high", "to_low"])
-        .withColumn("to_cut", F.explode(F.sequence(F.lit(0), F.col("to_cuts") - 1)))
-        .where(F.col("from") <= F.struct(F.col("to_high").alias("high"), F.col("to_low").alias("low"), F.col("to_cut").alias("cut")))
-    )
-    other = tiles.select(F.col("high").alias("to_high"), F.col("low").alias("to_low"), F.col("cut").alias("to_cut"), F.col("tile").alias("two"))
-    met = pairs.join(other, ["to_high", "to_low", "to_cut"]).select(
-        "one", "two", (F.col("from") == F.struct(F.col("to_high").alias("high"), F.col("to_low").alias("low"), F.col("to_cut").alias("cut"))).alias("same"),
-        F.xxhash64("from", "to_high", "to_low", "to_cut").alias("spread"),
+    index = tiles.select("tile", "high", "low", "size", "least", "most")
+    asked = index.select(F.explode(steps).alias("d"), "*").select(
+        (F.col("high") + F.col("d.h")).alias("high"), (F.col("low") + F.col("d.w")).alias("low"),
+        F.col("tile").alias("other"), F.col("size").alias("others"), F.col("least").alias("other_least"), F.col("most").alias("other_most"),
     )
+    gap = sum((F.greatest(F.lit(0), F.col("least")[k] - F.col("other_most")[k], F.col("other_least")[k] - F.col("most")[k]) for k in range(4)), F.lit(0))
+    met = asked.join(index, ["high", "low"]).where((F.col("other") <= F.col("tile")) & (gap <= radius))
+    before = F.sum("others").over(Window.partitionBy("tile").orderBy("other")) - F.col("others")
+    part = F.floor(before / (MEET * TILE))
+    return stored(met.select("tile", "other", part.alias("part"), (F.col("size") * F.col("others")).alias("work")), "simhash-pairs")
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for one, two, same in zip(batch["one"], batch["two"], batch["same"], strict=True):
-                u, v = links(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), radius, bool(same))
-                if len(u):
-                    yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return met.repartition("spread").select("one", "two", "same").mapInPandas(compared, "u long, v long")
+def linked(prints: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) that connect what lies within the radius, from a table of different fingerprints.
+
+    What is paired is tile numbers. The bytes of a tile then travel once to each part of its partners' comparisons,
+    and once to each part of its own.
+    """
+    tiles = tiled(prints)
+    pairs = tile_pairs(tiles, radius)
+    work, parts = pairs.agg(F.coalesce(F.sum(F.col("work").cast("double")), F.lit(0.0)), F.count_distinct("tile", "part")).first()
+    own = pairs.groupBy("tile", "part").agg(F.max(F.col("other") == F.col("tile")).alias("same")).withColumn("from", F.col("tile"))
+    others = pairs.where("other <> tile").select("tile", "part", F.lit(None).cast("boolean").alias("same"), F.col("other").alias("from"))
+    sent = own.unionByName(others).join(tiles.select(F.col("tile").alias("from"), "prints"), "from")
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame["same"].notna()
+        tile, same = np.frombuffer(frame.loc[own, "prints"].iloc[0], np.uint64), bool(frame.loc[own, "same"].iloc[0])
+        found = [links(tile, tile, radius, True)] if same else []
+        found += [links(np.frombuffer(other, np.uint64), tile, radius, False) for other in frame.loc[~own, "prints"]]
+        u, v = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1))
+        return pd.DataFrame({"u": u, "v": v})
+
+    tasks = int(max(1, min(parts, work // WORK + 1)))
+    return sent.select("tile", "part", "same", "prints").repartition(tasks, "tile", "part").groupBy("tile", "part").applyInPandas(compared, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
