@@ -16,14 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate once into the shared folder and read it back.
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write an intermediate once into the shared folder, with options of the writer, and read it back.
 
     Later plans read only the columns they need, and a lost executor costs no recomputation.
     """
     spark, path = df.sparkSession, work_dir(df.sparkSession, label)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

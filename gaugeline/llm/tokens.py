@@ -6,8 +6,8 @@ are few and repeat, so each is worked out once per worker and looked up afterwar
 
 Counts come from prefix dynamic programming: for every prefix of a unit, its token count and last token follow from a
 shorter prefix. A token may end a prefix if, put after the last token of the prefix before it, the two encode to
-themselves; exactly one token does. Sums over units give the count of every prefix of the text, so cutting to a budget
-needs no second encoding.
+themselves; exactly one token does. Sums over units give the count of every prefix of the text. All of them are stored,
+in blocks of a base and one byte a prefix, and every question about totals, cuts and budgets is answered from the table.
 
 Defined cases: null and empty texts have no tokens; special strings inside a text are one token each, as the library
 takes them by default, and their own proper prefixes are ordinary text; repeated rows give repeated rows; an empty table
@@ -27,10 +27,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeline.llm.common import stored
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units a worker remembers, and the longest one it does.
 REMEMBERED, LONGEST = 250_000, 64
+#: Prefixes in a block of stored counts.
+BLOCK = 64
 #: Characters of a unit up to which the second library splits it: its pattern's stack ends at about a million blanks.
 WHOLE = 1 << 16
 #: The pre-tokenizer's pattern, the contractions of three characters that it keeps whole though their
@@ -59,11 +63,6 @@ def open_end(chunk: str) -> bool:
     return chunk == "" or chunk[-1].isspace()
 
 
-def cut_units(text: str) -> list[str]:
-    """The units of a text. All but the first begin with a blank, which is left out."""
-    return joined_units(text.split(" "))
-
-
 class Vocabulary:
     """The tokenizer file, and the memory of one worker."""
 
@@ -99,7 +98,7 @@ class Vocabulary:
         self.endings.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.counts: dict[str, int] = {}
+        self.counts: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
 
     @staticmethod
@@ -164,13 +163,9 @@ class Vocabulary:
             before, start = before + count[-1], end
         return out
 
-    def total(self, unit: str) -> int:
-        return sum([self.piece(x)[-1] for x in self.split(unit)])
-
-    def count_units(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The units of a text and the tokens of each."""
-        units, counts = self.looked_up(text, self.counts, self.total)
-        return units, np.array(counts, np.int64)
+    def unit_counts(self, unit: str) -> bytes:
+        """Tokens of every prefix of a unit but the empty one, four bytes each."""
+        return self.unit(unit)[1:].astype("<i4").tobytes()
 
     def looked_up(self, text: str, known: dict, work) -> tuple[list[str], list]:
         """The units of a text and what is known of each, worked out where it isn't."""
@@ -194,12 +189,15 @@ class Vocabulary:
         return units, found
 
     def plain_prefixes(self, text: str) -> np.ndarray:
-        parts, before = [np.zeros(1, np.int32)], 0
-        for k, u in enumerate(cut_units(text)):
-            counted = self.unit(" " + u if k else u)
-            parts.append(before + counted[1:])
-            before += int(counted[-1])
-        return np.concatenate(parts)
+        if not text:
+            return np.zeros(1, np.int32)
+        found = self.looked_up(text, self.counts, self.unit_counts)[1]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        every = np.zeros(len(text) + 1, np.int32)
+        every[1:] = np.frombuffer(b"".join(found), "<i4")
+        totals = every[np.cumsum(lengths)]
+        every[1:] += np.repeat(np.cumsum(totals, dtype=np.int32) - totals, lengths)
+        return every
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of every prefix of a text, counted in characters, from the empty one on."""
@@ -219,20 +217,8 @@ class Vocabulary:
 
     def within(self, text: str, limit: int) -> tuple[int, int]:
         """Tokens of a text, and the length of its longest prefix of at most so many."""
-        if self.special and self.special.search(text):
-            every = self.prefixes(text)
-            return int(every[-1]), int(np.flatnonzero(every <= limit)[-1])
-        if not text:
-            return 0, 0
-        units, counts = self.count_units(text)
-        ends = counts.cumsum()
-        if ends[-1] <= limit:
-            return int(ends[-1]), len(text)
-        k = int(np.searchsorted(ends, limit, side="right"))
-        before = int(ends[k - 1]) if k else 0
-        counted = self.unit(" " + units[k] if k else units[0])
-        length = sum(map(len, units[:k])) + max(0, k - 1)
-        return int(ends[-1]), length + int(np.flatnonzero(before + counted <= limit)[-1])
+        every = self.prefixes(text)
+        return int(every[-1]), int(np.flatnonzero(every <= limit)[-1])
 
     # -- ids -------------------------------------------------------------------------------------------------------
 
@@ -261,33 +247,53 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def token_counts(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, and fit_chars: the longest prefix of at most limit tokens, in characters."""
-
-    @F.pandas_udf("n_tokens long, fit_chars long")
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(path)
-        for texts in batches:
-            yield pd.DataFrame([words.within(t, limit) for t in texts], columns=["n_tokens", "fit_chars"])
-
-    return _texts(docs, doc_id, text).withColumn("n", counted("text")).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n.n_tokens", (F.col("n.n_tokens") > limit).alias("over_limit"), "n.fit_chars",
-    )
+def blocked(counts: np.ndarray) -> tuple[np.ndarray, int, bytes]:
+    """Counts as blocks: the least of each, the bytes of a step above it, and the steps."""
+    blocks = np.concatenate([counts, np.full(-len(counts) % BLOCK, counts[-1], counts.dtype)]).reshape(-1, BLOCK)
+    bases = blocks.min(axis=1)
+    steps = (blocks - bases[:, None]).reshape(-1)[: len(counts)]
+    width = 1 if steps.max() < 256 else 4
+    return bases, width, steps.astype(">u4" if width == 4 else np.uint8).tobytes()
 
 
 def prefix_table(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and prefix_tokens: the token count of every prefix, four bytes each, for ``tokens_at``."""
+    """doc_id, n_bytes, and prefix_tokens: the token count of every prefix from the empty one on, for ``tokens_at``."""
 
-    @F.pandas_udf("binary")
-    def stored_counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("bases array<int>, width int, steps binary")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path)
         for texts in batches:
-            yield pd.Series([words.prefixes(t).astype(">i4").tobytes() for t in texts])
+            yield pd.DataFrame([blocked(words.prefixes(t)) for t in texts], columns=["bases", "width", "steps"])
 
-    return _texts(docs, doc_id, text).select("doc_id", stored_counts("text").alias("prefix_tokens"))
+    return _texts(docs, doc_id, text).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), counted("text").alias("prefix_tokens"))
 
 
 def tokens_at(prefix_tokens: str, length: Column | int) -> Column:
     """Tokens of the prefix of so many characters, out of a stored table; null beyond the text."""
-    at = F.lit(length) if isinstance(length, int) else length
-    return F.conv(F.hex(F.substring(F.col(prefix_tokens), at * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    at, held = F.lit(length).cast("int"), F.col(prefix_tokens)
+    step = F.conv(F.hex(F.substring(held["steps"], at * held["width"] + 1, held["width"])), 16, 10).cast("long")
+    return F.get(held["bases"], F.floor(at / BLOCK).cast("int")) + step
+
+
+def characters(prefix_tokens: str) -> Column:
+    """Characters of the text behind a stored table."""
+    return (F.octet_length(F.col(prefix_tokens)["steps"]) / F.col(prefix_tokens)["width"]).cast("long") - 1
+
+
+def fitting(prefix_tokens: str, limit: int) -> Column:
+    """Characters of the longest prefix of at most so many tokens, out of a stored table."""
+    block = F.array_max(F.transform(F.col(prefix_tokens)["bases"], lambda base, k: F.when(base <= limit, k)))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda k: block * BLOCK + k)
+    cut = F.array_max(F.filter(ends, lambda at: tokens_at(prefix_tokens, at) <= limit)).cast("long")
+    whole = characters(prefix_tokens)
+    return F.when(tokens_at(prefix_tokens, whole) <= limit, whole).otherwise(cut)
+
+
+def token_counts(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, and fit_chars: the longest prefix of at most limit tokens, in characters.
+
+    All of them are read from the stored table of prefix counts; no text is encoded for them.
+    """
+    held = stored(prefix_table(docs, path, doc_id, text), "token-prefixes", compression="zstd")
+    total = tokens_at("prefix_tokens", characters("prefix_tokens"))
+    return held.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"), fitting("prefix_tokens", limit).alias("fit_chars"))

@@ -93,6 +93,42 @@ def test_tiles_link_what_all_pairs_link(radius, monkeypatch):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("tile, meet", [(8, 1), (64, 2)])
+def test_full_cells_are_cut_and_lose_no_link(spark, monkeypatch, tile, meet):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "MEET", meet)
+    monkeypatch.setattr(simhash, "WORK", 1 << 8)
+    draw = random.Random(tile)
+    prints = {draw.getrandbits(64) for _ in range(300)}
+    for p in list(prints)[:60]:
+        for _ in range(6):
+            p ^= 1 << draw.randrange(64) | 1 << draw.randrange(64)
+            prints.add(p)
+    every = sorted(np.array(sorted(prints), np.uint64).view(np.int64).tolist())
+    df = spark.createDataFrame([(p,) for p in every], "fingerprint long")
+    tiles = simhash.tiled(df)
+    sizes = [r["size"] for r in tiles.collect()]
+    assert sum(sizes) == len(every) and len(tiles.select("tile").distinct().collect()) == len(sizes)
+    pairs = simhash.tile_pairs(tiles, 4).collect()
+    assert max(r["part"] for r in pairs) > 0 and len({(r["tile"], r["other"]) for r in pairs}) == len(pairs)
+    assert len(pairs) < len(sizes) * (len(sizes) + 1) / 2
+    edges = [tuple(r) for r in simhash.linked(df, 4).collect()]
+    number = {p: i for i, p in enumerate(every)}
+    label = simhash.forest(np.array([number[a] for a, _ in edges], int), np.array([number[b] for _, b in edges], int), len(every))
+    found, expected = defaultdict(set), defaultdict(set)
+    for i, (a, b) in enumerate(zip(label, brute.groups([p & (1 << 64) - 1 for p in every], 4), strict=True)):
+        found[a].add(i)
+        expected[b].add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_dense_tiles_hold_a_forest_only(monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 4)
+    every = np.array([a << 20 | b for a in range(16) for b in range(16)], np.uint64)  # any two within eight bits
+    u, v = simhash.links(every, every, 8, True)
+    assert len(u) == len(every) - 1 and set(v.tolist()) == {int(v[0])} and len(set(u.tolist())) == len(u)
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(-5, 200), (200, 7)]
     found = dict(bag(simhash.components(spark.createDataFrame(chain, "u long, v long")), "u", "root").keys())
@@ -209,6 +245,27 @@ def test_stored_prefix_counts(spark, library):
     assert got == {r["doc_id"]: len(library.encode(r["text"][:5], add_special_tokens=False).ids) for r in df.where("doc_id IN (6, 13)").collect()}
 
 
+def test_stored_counts_of_every_length_and_cut(spark, library):
+    rows = [r for r in ODD if r[0] not in (None, 6, 8, 9)] + [(20, "it's a   long  walk " * 9 + "<|endoftext|>" + "日本 é " * 30), (21, " " * 130), (22, "x" * 64), (23, "a b " * 16)]
+    held = stored(tokens.prefix_table(frame(spark, rows), VOCABULARY), "prefixes")
+    at = F.explode(F.sequence(F.lit(0), F.lit(400))).alias("at")
+    got = defaultdict(list)
+    for r in held.select("doc_id", "prefix_tokens", at).select("doc_id", "at", tokens.tokens_at("prefix_tokens", F.col("at")).alias("n")).orderBy("doc_id", "at").collect():
+        got[r["doc_id"]].append(r["n"])
+    expected = {d: [len(library.encode((t or "")[:i], add_special_tokens=False).ids) for i in range(len(t or "") + 1)] for d, t in rows}
+    assert {d: [n for n in counts if n is not None] for d, counts in got.items()} == {d: counts[:401] for d, counts in expected.items()}
+    for limit in (0, 1, 7, 40):
+        fits = tokens.token_counts(frame(spark, rows), VOCABULARY, limit).collect()
+        assert {r["doc_id"]: (r["n_tokens"], r["fit_chars"]) for r in fits} == {d: (c[-1], max(i for i, n in enumerate(c) if n <= limit)) for d, c in expected.items()}
+
+
+def test_blocks_of_counts_that_need_more_than_a_byte():
+    counts = np.array([0, 3, 2, 900, 70_000, 5] * 30, np.int32)
+    bases, width, steps = tokens.blocked(counts)
+    assert width == 4 and (np.repeat(bases, tokens.BLOCK)[: len(counts)] + np.frombuffer(steps, ">u4")).tolist() == counts.tolist()
+    assert tokens.blocked(np.arange(200, dtype=np.int32))[1] == 1
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------------
 
 
