@@ -22,6 +22,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,18 @@ def open_end(chunk: str) -> bool:
     return chunk == "" or chunk[-1].isspace()
 
 
+class Memory(dict):
+    """What a worker remembers. When half the room is taken, that half becomes the older one and the older one goes."""
+
+    def __init__(self) -> None:
+        self.older: dict = {}
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class Vocabulary:
     """The tokenizer file, and the memory of one worker."""
 
@@ -97,9 +110,7 @@ class Vocabulary:
                 self.endings.add_word(token.decode("latin-1"), token.decode("latin-1"))
         self.endings.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.counts: dict[str, bytes] = {}
-        self.ids: dict[str, bytes] = {}
+        self.pieces, self.counts, self.ids = Memory(), Memory(), Memory()
 
     @staticmethod
     def letters() -> dict[str, int]:
@@ -123,69 +134,77 @@ class Vocabulary:
         known = self.fits[last, token] = self.merge.encode_single_piece(one + two) == [self.tokens[one], self.tokens[two]]
         return known
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> array:
         """Tokens of every prefix of a piece, counted in bytes: the dynamic program."""
         if (known := self.pieces.get(text)) is not None:
             return known
+        if (known := self.pieces.older.get(text)) is not None:
+            self.pieces[text] = known
+            return known
         count, last, fits, follows, solved = [0], [""], self.fits, self.follows, 0
         for at, token in self.endings.iter(text if text.isascii() else text.encode().decode("latin-1")):
             if at >= solved:
                 start = at + 1 - len(token)
                 if start:
-                    before = last[start]
-                    fit = fits.get((before, token))
-                    if not (follows(before, token) if fit is None else fit):
+                    pair = last[start], token
+                    fit = fits.get(pair)
+                    if not (follows(*pair) if fit is None else fit):
                         continue
-                count.append(count[start] + 1)
+                    count.append(count[start] + 1)
+                else:
+                    count.append(1)
                 last.append(token)
                 solved += 1
+        counted = array("i", count)
         if len(text) <= LONGEST:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            self.pieces[text] = count
-        return count
-
-    def unit(self, unit: str) -> np.ndarray:
-        """Tokens of every prefix of a unit, counted in characters, from the empty one on."""
-        out, before, start, overrun = np.zeros(len(unit) + 1, np.int32), 0, 0, 0
+            self.pieces.turn()
+            self.pieces[text] = counted
+        return counted
+
+    def unit_counts(self, unit: str) -> bytes:
+        """Tokens of every prefix of a unit but the empty one, counted in characters, four bytes each."""
+        if unit.isascii() and unit[1:].isalpha() and unit[0] == " ":
+            return self.piece(unit)[1:].tobytes()
+        parts = self.split(unit)
+        out, before, overrun = array("i"), 0, 0
         blank = lambda s: s.isspace() and not NOT_BLANK.search(s)
-        for text in self.split(unit):
-            count, end = self.piece(text), start + len(text)
-            at = np.cumsum([len(c.encode()) for c in text])
-            out[start + 1 : end + 1] = before + np.array(count, np.int32)[at]
+        for text in parts:
+            count, start = self.piece(text), len(out)
+            if text.isascii():
+                out.extend([before + n for n in count[1:]] if before else count[1:])
+            else:
+                out.extend([before + count[at] for at in accumulate([len(c.encode()) for c in text])])
             if text in CONTRACTIONS:
-                out[start + 2] = before + 2
+                out[start + 1] = before + 2
             if overrun:  # the white space before ended one character later when the text did
-                out[start + 1] = overrun
-            overrun = 0
-            if end < len(unit) and blank(text) and blank(unit[end]):
-                overrun = before + sum(self.piece(x)[-1] for x in self.split(unit[start : end + 1]))
-            before, start = before + count[-1], end
-        return out
-
-    def unit_counts(self, unit: str) -> bytes:
-        """Tokens of every prefix of a unit but the empty one, four bytes each."""
-        return self.unit(unit)[1:].astype("<i4").tobytes()
-
-    def looked_up(self, text: str, known: dict, work) -> tuple[list[str], list]:
+                out[start] = overrun
+            end, overrun = len(out), 0
+            if end < len(unit) and blank(unit[end]) and blank(text):
+                overrun = before + sum([self.piece(x)[-1] for x in self.split(unit[start : end + 1])])
+            before += count[-1]
+        return out.tobytes()
+
+    def looked_up(self, text: str, known: Memory, work) -> tuple[list[str], list]:
         """The units of a text and what is known of each, worked out where it isn't."""
         units = text.split(" ")
         found = list(map(known.get, units))
         found[0] = work(units[0])
         if None in found or open_end(units[0]):
-            if any(open_end(u) for u, x in zip(units, found, strict=True) if x is None) or open_end(units[0]):
+            missing = [k for k, x in enumerate(found) if x is None]
+            if open_end(units[0]) or any(open_end(units[k]) for k in missing):
                 units = joined_units(units)
                 found = list(map(known.get, units))
                 found[0] = work(units[0])
-            if len(known) > REMEMBERED:
-                known.clear()
-            new: dict = {}
-            for k, x in enumerate(found):
-                if x is None:
-                    if (u := units[k]) not in new:
-                        new[u] = work(" " + u)
-                    found[k] = new[u]
-            known.update((u, x) for u, x in new.items() if len(u) <= LONGEST and not open_end(u))
+                missing = [k for k, x in enumerate(found) if x is None]
+            for k in missing:
+                u = units[k]
+                if (x := known.get(u)) is None:  # unless this text had it before
+                    if (x := known.older.get(u)) is None:
+                        x = work(" " + u)
+                    if len(u) <= LONGEST and not open_end(u):
+                        known.turn()
+                        known[u] = x
+                found[k] = x
         return units, found
 
     def plain_prefixes(self, text: str) -> np.ndarray:
@@ -282,11 +301,17 @@ def characters(prefix_tokens: str) -> Column:
 
 def fitting(prefix_tokens: str, limit: int) -> Column:
     """Characters of the longest prefix of at most so many tokens, out of a stored table."""
-    block = F.array_max(F.transform(F.col(prefix_tokens)["bases"], lambda base, k: F.when(base <= limit, k)))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda k: block * BLOCK + k)
-    cut = F.array_max(F.filter(ends, lambda at: tokens_at(prefix_tokens, at) <= limit)).cast("long")
+    bases, width, steps = (F.col(prefix_tokens)[name] for name in ("bases", "width", "steps"))
+    block = F.array_max(F.transform(bases, lambda base, k: F.when(base <= limit, k)))
+    room = F.least(F.lit(limit) - F.get(bases, block), F.when(width == 1, 255).otherwise((1 << 31) - 1))
+    # steps are compared as bytes, highest first
+    most = F.unhex(F.lpad(F.hex(room), 2 * width, "0"))
+    ends = F.sequence(block * BLOCK, F.least(block * BLOCK + (BLOCK - 1), characters(prefix_tokens).cast("int")))
+    cut = F.transform(F.array(F.struct(ends.alias("ends"), most.alias("most"))), lambda x: F.array_max(
+        F.filter(x["ends"], lambda at: F.substring(steps, at * width + 1, width) <= x["most"])
+    ))
     whole = characters(prefix_tokens)
-    return F.when(tokens_at(prefix_tokens, whole) <= limit, whole).otherwise(cut)
+    return F.when(tokens_at(prefix_tokens, whole) <= limit, whole).otherwise(F.get(cut, 0).cast("long"))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
