@@ -33,7 +33,7 @@ from gaugeline.llm.common import stored
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 360_000, 64
 #: Prefixes in a block of stored counts.
 BLOCK = 64
 #: Characters of a unit up to which the second library splits it: its pattern's stack ends at about a million blanks.
@@ -64,6 +64,10 @@ def open_end(chunk: str) -> bool:
     return chunk == "" or chunk[-1].isspace()
 
 
+def blank(text: str) -> bool:
+    return text.isspace() and not NOT_BLANK.search(text)
+
+
 class Memory(dict):
     """What a worker remembers. When half the room is taken, that half becomes the older one and the older one goes."""
 
@@ -167,7 +171,6 @@ class Vocabulary:
             return self.piece(unit)[1:].tobytes()
         parts = self.split(unit)
         out, before, overrun = array("i"), 0, 0
-        blank = lambda s: s.isspace() and not NOT_BLANK.search(s)
         for text in parts:
             count, start = self.piece(text), len(out)
             if text.isascii():
@@ -179,7 +182,7 @@ class Vocabulary:
             if overrun:  # the white space before ended one character later when the text did
                 out[start] = overrun
             end, overrun = len(out), 0
-            if end < len(unit) and blank(unit[end]) and blank(text):
+            if end < len(unit) and blank(text) and blank(unit[end]):
                 overrun = before + sum([self.piece(x)[-1] for x in self.split(unit[start : end + 1])])
             before += count[-1]
         return out.tobytes()
