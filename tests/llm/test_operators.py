@@ -238,6 +238,14 @@ def test_every_prefix_equals_the_library(library):
             assert words.within(text, limit) == (expected[-1], max(i for i, n in enumerate(expected) if n <= limit)), text
 
 
+def test_words_with_marks_are_looked_up_as_words():
+    words, text = tokens.Vocabulary(VOCABULARY), "a thandheed, a thandheed. thandheed! (thandheed) thandheed's thandheed,"
+    every = words.prefixes(text)
+    assert every.tolist() == [len(words.tokenizer.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+    assert " thandheed" not in {**words.pieces, **words.pieces.older} or "thandheed" in words.counts
+    assert words.unit_counts(" thandheed,")[:-4] == words.counts["thandheed"]
+
+
 def test_stored_prefix_counts(spark, library):
     table = tokens.prefix_table(frame(spark, ODD), VOCABULARY)
     df = spark.createDataFrame(ODD, "doc_id long, text string")
