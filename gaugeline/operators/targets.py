@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed, small_side
+from .components import components
 from .ingest import IngestConfig, default_allow
 
 # Fixed value: targets that may be added at run time.
 MAX_DYNAMIC = 64
 # Clashing rows that one task settles: three short columns of each.
 AT_ONCE = 500_000
+# The least rows that a block of a larger group takes.
+LEAST_AT_ONCE = 16
 _URL = r"^https?://\S*$"
 
 
@@ -50,43 +52,63 @@ def drop_removed(targets: DataFrame, overrides: DataFrame) -> DataFrame:
     return targets.join(small_side(overrides.filter("removed").select("id")), "id", "left_anti")
 
 
-def _settled(clashing: DataFrame) -> DataFrame:
-    """``_row`` of the accepted ones among rows that clash, taken in order by one task; the caller bounds them."""
+_ORDER = ("ord", "id", "_name", "_url", "_row")
+
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, urls, won = set(), set(), []
-        for batch in batches:
-            for row, name, url in zip(batch["_row"], batch["_name"], batch["_url"], strict=True):
-                name, url = (None if pd.isna(x) else x for x in (name, url))
-                if name not in names and url not in urls:
-                    names.add(name)
-                    urls.add(url)
-                    won.append(row)
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_row`` of the accepted ones among rows in order; groups share no name or address, and one is held at a time."""
+    group, names, urls = None, set(), set()
+    for batch in batches:
+        won = []
+        for of, row, name, url in zip(batch["_group"], batch["_row"], batch["_name"], batch["_url"], strict=True):
+            if of != group:
+                group, names, urls = of, set(), set()
+            name, url = (None if pd.isna(x) else x for x in (name, url))
+            if name not in names and url not in urls:
+                names.add(name)
+                urls.add(url)
+                won.append(row)
         if won:
             yield pd.DataFrame({"_row": won})
 
-    ordered = clashing.select("_row", "_name", "_url", "ord", "id").coalesce(1).sortWithinPartitions("ord", "id", "_name", "_url", "_row")
-    return ordered.select("_row", "_name", "_url").mapInPandas(settle, "_row long")
-
-
-def _settled_in_rounds(clashing: DataFrame) -> DataFrame:
-    """The same for more rows than a task should take: each round accepts the first of every name and address that is
-    left, and refuses what clashes with it. A chain takes a round for every second row."""
-    left, accepted = clashing, []
-    while True:
-        left = checkpointed(left)
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, accepted)
-        place = F.struct("ord", "id", "_name", "_url", "_row")
-        firsts = [left.groupBy(F.col(k).alias(f"{k}_of")).agg(F.min(place).alias(f"{k}_first")) for k in ("_name", "_url")]
-        ranked = left
-        for key, first in zip(("_name", "_url"), firsts, strict=True):
-            ranked = ranked.join(first, F.col(key).eqNullSafe(F.col(f"{key}_of")))
-        won = checkpointed(ranked.filter((F.col("_name_first") == place) & (F.col("_url_first") == place)).select(*left.columns))
-        accepted.append(won.select("_row"))
-        for key in ("_name", "_url"):
-            taken = won.select(F.col(key).alias("_taken")).distinct()
-            left = left.join(taken, F.col(key).eqNullSafe(F.col("_taken")), "left_anti")
+
+def _settled(clashing: DataFrame) -> DataFrame:
+    """``_row`` of the accepted ones among rows that clash, taken in order by one task; the caller bounds them."""
+    ordered = clashing.select(F.lit(0).cast("long").alias("_group"), *_ORDER).coalesce(1).sortWithinPartitions(*_ORDER)
+    return ordered.select("_group", "_row", "_name", "_url").mapInPandas(_settle, "_row long")
+
+
+def _settled_in_blocks(clashing: DataFrame, n: int, at_once: int) -> DataFrame:
+    """The same for more rows than a task should take: blocks of the order one after another, each without what clashes
+    with the accepted ones of those before."""
+    parts = -(-n // max(at_once, LEAST_AT_ONCE))
+    ordered = clashing.select(*_ORDER).repartitionByRange(parts, *_ORDER).withColumn("_block", F.spark_partition_id())
+    ordered, accepted = checkpointed(ordered), None
+    for (block,) in ordered.select("_block").distinct().sort("_block").collect():
+        rows = ordered.filter(F.col("_block") == block)
+        if accepted is not None:
+            for key in ("_name", "_url"):
+                taken = accepted.select(F.col(key).alias("_taken"))
+                rows = rows.join(taken, F.col(key).eqNullSafe(F.col("_taken")), "left_anti")
+            rows = checkpointed(rows)
+        won = checkpointed(rows.join(_settled(rows), "_row", "left_semi").select("_row", "_name", "_url"))
+        accepted = won if accepted is None else accepted.unionByName(won)
+    return accepted.select("_row")
+
+
+def _settled_by_group(clashing: DataFrame, at_once: int) -> DataFrame:
+    """The same, group by group: a row links its name to its address, and rows clash only within a connected group. Tasks
+    settle groups of up to ``at_once`` rows side by side; larger ones are settled in blocks."""
+    keys = {f"{k}_key": F.xxhash64(F.lit(k), F.col(k).isNull(), F.col(k)) for k in ("_name", "_url")}
+    keyed = clashing.select(*_ORDER).withColumns(keys)
+    roots = components(keyed.select(F.col("_name_key").alias("u"), F.col("_url_key").alias("v"))).withColumnRenamed("u", "_name_key")
+    grouped = checkpointed(
+        keyed.join(roots, "_name_key", "left").select(*_ORDER, F.coalesce("root", "_name_key").alias("_group")))
+    large = checkpointed(grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > at_once))
+    rest = grouped.join(large, "_group", "left_anti").repartition("_group").sortWithinPartitions("_group", *_ORDER)
+    won = rest.select("_group", "_row", "_name", "_url").mapInPandas(_settle, "_row long")
+    n = large.agg(F.sum("_n")).first()[0]
+    return won.unionByName(_settled_in_blocks(grouped.join(large, "_group", "left_semi"), n, at_once)) if n else won
 
 
 def resolve_conflicts(targets: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
@@ -94,7 +116,7 @@ def resolve_conflicts(targets: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
 
     Declared ones come first, then ids in order. A refused target takes no name, so it refuses no other. An added row that
     shares neither name nor address with any other needs no look at the order; the rest, counted first, are settled in one
-    pass in order, however long their chains, or in rounds if they are more than ``at_once``.
+    pass in order, however long their chains, or group by group if they are more than ``at_once``.
     """
     keyed = targets.withColumns({"_name": F.trim("name"), "_url": F.trim("url"), "_row": F.monotonically_increasing_id()})
     held = checkpointed(keyed)
@@ -109,7 +131,7 @@ def resolve_conflicts(targets: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     n = clashing.count()
     accepted = held.filter("origin = 'config'").unionByName(free.filter("_alone").drop("_alone"))
     if n:
-        won = _settled(clashing) if n <= at_once else _settled_in_rounds(clashing)
+        won = _settled(clashing) if n <= at_once else _settled_by_group(clashing, at_once)
         accepted = accepted.unionByName(clashing.join(won, "_row", "left_semi").select(*held.columns))
     return accepted.select(*targets.columns)
 

@@ -52,6 +52,22 @@ def test_a_chain_takes_no_more_jobs_than_one_clash(spark):
     assert jobs(chain(64)) <= jobs(chain(2)) + 1
 
 
+def chains(number, n):
+    return [(f"t{k}-{i:03}", f"n{k}-{i // 2}", f"u{k}-{(i + 1) // 2}", 1, "dynamic", None) for k in range(number) for i in range(n)]
+
+
+def test_groups_settle_side_by_side_and_long_ones_in_blocks(spark):
+    rows = chains(3, 16) + [(f"x{i:03}", f"x{i // 2}", f"v{(i + 1) // 2}", 1, "dynamic", None) for i in range(48)]
+    df = spark.createDataFrame(rows, TARGETS).repartition(5)
+    group = f"groups-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "count")
+    found = T.resolve_conflicts(df, 32)
+    assert sorted(r["id"] for r in found.collect()) == greedy(rows)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 150  # a round for every second row of the longest chain takes more
+
+
 def files_below(spark):
     system, path = file_system(spark, shared_dir(spark))
     return system.getContentSummary(path).getFileCount()
