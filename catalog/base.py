@@ -278,6 +278,11 @@ class Inputs:
         events.createOrReplaceTempView("events")
         return self.spark.sql(VIEWS["scrape_payloads"])
 
+    def spread_payloads(self, parts: int) -> DataFrame:
+        """The same in so many parts, each of rows from all over the table: they move before their bodies are written out."""
+        self.table("events").repartition(parts, "event_id").createOrReplaceTempView("events")
+        return self.spark.sql(VIEWS["scrape_payloads"])
+
     @property
     def metrics(self) -> DataFrame:
         return self.view("metrics_all")

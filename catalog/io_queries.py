@@ -184,25 +184,30 @@ def _(c: Inputs):
 FILES = 8
 
 
-def _landed(c: Inputs, rows: DataFrame, label: str, replay: bool = False, part_of: Column | None = None) -> tuple[str, str]:
+def _landed(
+    c: Inputs, rows: DataFrame, label: str, replay: bool = False, part_of: Column | None = None, spread: bool = False
+) -> tuple[str, str]:
+    """Land the rows; those that are ``spread`` over as many parts as there shall be files do not move again."""
     base = work_dir(c.spark, label)
     top = rows.agg(F.max("seq")).first()[0] + 1 if part_of is None else 0
     for part in range(3):
         piece = rows.filter((F.col("seq") >= top * part // 3) & (F.col("seq") < top * (part + 1) // 3) if part_of is None else part_of == part)
         for copy in range(2 if replay else 1):
-            piece.repartition(FILES).write.parquet(f"{base}/in/p{part}{copy}")
+            (piece if spread else piece.repartition(FILES)).write.parquet(f"{base}/in/p{part}{copy}")
     return base, f"{base}/in/*"
 
 
-def _stream(c: Inputs, path: str, like: DataFrame) -> DataFrame:
-    return S.read_files(c.spark, path, like, FILES)
+def _stream(c: Inputs, path: str, like: DataFrame, files: int = FILES) -> DataFrame:
+    return S.read_files(c.spark, path, like, files)
 
 
 @query("stream_ingest", """SELECT l.scrape_id, l.target, l.name, l.value, l.labels, l.line_no
 FROM accepted_lines l JOIN payload_status s USING (scrape_id) WHERE s.fetch_reason IS NULL AND rank <= 8""")
 def _(c: Inputs):
-    base, path = _landed(c, c.payloads, "ingest")
-    source = _stream(c, path, c.payloads)
+    files = max(FILES, c.spark.sparkContext.defaultParallelism)  # a batch keeps all cores busy
+    payloads = c.spread_payloads(files)
+    base, path = _landed(c, payloads, "ingest", spread=True)
+    source = _stream(c, path, payloads, files)
     S.stream_ingest(source, c.targets(), f"{base}/out", f"{base}/checkpoint", _CONFIG).awaitTermination()
     return c.spark.read.parquet(f"{base}/out/samples").select("scrape_id", "target", "name", "value", "labels", "line_no")
 
