@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise, takewhile
 
 import numpy as np
 import pandas as pd
@@ -11,17 +12,26 @@ from pyspark.sql import DataFrame, functions as F
 from gaugeline.llm.common import stored
 
 
-def shared_runs(rows: DataFrame, key: str, owner: str, least: int | str = 2, alone: bool = False) -> DataFrame:
+def common_words(one: str, two: str) -> int:
+    """Length of the longest common prefix of two strings, in words between blanks."""
+    if one == two:
+        return one.count(" ") + 1
+    words = zip(one.split(" "), two.split(" "), strict=False)
+    return sum(1 for _ in takewhile(lambda pair: pair[0] == pair[1], words))
+
+
+def shared_runs(rows: DataFrame, key: str, owner: str, least: int | str = 2, alone: bool = False, words: int | None = None) -> DataFrame:
     """The rows whose key at least ``least`` owners have; with ``alone``, all rows and a column ``shared``.
 
-    ``least`` may name a column of numbers, one for each key.
+    ``least`` may name a column of numbers, one for each key. With ``words`` the keys are suffixes of texts, written out to
+    that many words: in the sorted order neighbours belong together whose longest common prefix has as many.
 
     Rows are sorted by key and owner over range partitions, whose bounds include the owner, so that a frequent key is
     spread over many of them. Within a partition equal neighbours make runs. Only the first and last run can go on in
     another partition: what is open there is settled by the owners that each partition counts for them, two keys for
     each partition.
 
-    Key and owner are longs without nulls. The input is read more than once and should be stored.
+    Key (with ``words`` a string) and owner are longs without nulls. The input is read more than once and should be stored.
     """
     names = rows.columns
 
@@ -31,7 +41,10 @@ def shared_runs(rows: DataFrame, key: str, owner: str, least: int | str = 2, alo
             return
         part = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
         k, o = part[key].to_numpy(), part[owner].to_numpy()
-        turn = np.concatenate([[True], k[1:] != k[:-1]])
+        if words is None:
+            turn = np.concatenate([[True], k[1:] != k[:-1]])
+        else:
+            turn = np.array([True, *(common_words(a, b) < words for a, b in pairwise(k))])
         run = np.cumsum(turn) - 1
         owners = np.add.reduceat(turn | np.concatenate([[True], o[1:] != o[:-1]]), np.flatnonzero(turn))
         shared = owners[run] >= (part[least].to_numpy() if isinstance(least, str) else least)

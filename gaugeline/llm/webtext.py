@@ -5,10 +5,11 @@ comments and the like) is left out; where its end tag may be omitted, it ends as
 by a whole word, or by a hyphenated one all of whose parts are known; what only its name makes furniture, but holds the
 page's marked part or most of its text, is a wrapper. The marked articles are the
 text, whole, if they hold most of the main part (of the page, if no main part is marked), or else the main part: copies of
-an article on one host are still articles. Where a page marks no such part, its host decides: the token streams of the
-host's pages are put together, suffixes of all tokens are sorted by host and head, and neighbours compared. Tokens inside
+an article on one host are still articles. The token streams of all pages of a host are put together, their suffixes
+sorted word by word and the longest common prefixes of neighbours taken. Tokens inside
 strings that more than a tenth of the host's pages share (three pages at least) are boilerplate. A block mostly of such
-words loses them, any other block stays whole. Pages of one host with equal blocks count as one page. The sort is spread
+words, outside of all marked parts, does not count when the part is chosen. Where a page marks no part that holds most of what counts, such a
+block loses them, any other block stays whole. Pages of one host with equal blocks count as one page. The sort is spread
 by range over host, head and page, so a host of a third of all pages is no task of its own.
 
 Defined cases: null and empty pages have an empty text; a page cut off in the middle is read as far as it goes, and a tag that was cut is
@@ -31,10 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeline.llm.common import row_key, stored
 from gaugeline.llm.runs import shared_runs
+from gaugeline.llm.sparse import Words, mixed, selected
 from gaugeline.session import small_side
 
 #: Tokens of a string that must be shared, and pages of the host that must share it: more than a share of them, and a floor.
 TOKENS, PAGES, SHARE = 8, 3, 0.1
+#: The weight that the pages of a host have together which are enough.
+WHOLE = 1 << 20
 #: Elements that are never text, elements whose class, id or role may say so, elements that begin a block.
 FURNITURE = frozenset("script style noscript template svg math head title nav header footer aside form button select textarea input label iframe object menu dialog audio video canvas".split())
 BOXES = frozenset("div section ul ol dl p span table article figure details a li td tr tbody center ins small strong em".split())
@@ -103,11 +107,16 @@ def ends(skipped: str, name: str, closing: bool, inner: list[str], opened: Count
     return barriers.isdisjoint(inner)
 
 
-def chosen(found: list[tuple[bool, bool, str]]) -> tuple[int, list[str]]:
-    """The part that holds the text, of blocks (in an article, in a main part, text); no part goes that holds most of it."""
+def chosen(found: list[tuple[bool, bool, str]], repeated: list[bool] | None = None) -> tuple[int, list[str]]:
+    """The part that holds the text, of blocks (in an article, in a main part, text); no part goes that holds most of it.
+
+    Blocks that are ``repeated`` on their host and stand in no marked part do not count against an article of some words.
+    """
     size = Counter()
-    for article, main, text in found:
-        size[article, main] += len(text)
+    told = sum(1 + text.count(" ") for article, _, text in found if article) >= TOKENS
+    for (article, main, text), again in zip(found, repeated or [False] * len(found), strict=True):
+        if not (again and told and not article and not main):
+            size[article, main] += len(text)
     articles, main = size[True, False] + size[True, True], size[False, True] + size[True, True]
     if main:
         whole = 2 * size[True, True] > main
@@ -120,7 +129,12 @@ def chosen(found: list[tuple[bool, bool, str]]) -> tuple[int, list[str]]:
 
 
 def blocks(page: str) -> tuple[int, list[str]]:
-    """The blocks of the best marked part: of articles (2), of a main part (1), or of all that is no furniture (0).
+    """The blocks of the best marked part: of articles (2), of a main part (1), or of all that is no furniture (0)."""
+    return chosen(marked_blocks(page))
+
+
+def marked_blocks(page: str) -> list[tuple[bool, bool, str]]:
+    """All blocks that are no furniture, as (in an article, in a main part, text).
 
     Where furniture leaves no marked text, what was taken for it by its name but holds an article or main part, or more
     than half of the page's text, is no furniture, and the page is read again.
@@ -135,7 +149,7 @@ def blocks(page: str) -> tuple[int, list[str]]:
         if not more:
             break
         wraps |= more
-    return chosen(found)
+    return found
 
 
 def read_page(page: str, wraps: set[int]) -> tuple[list[tuple[bool, bool, str]], list[tuple[int, int, bool, bool]]]:
@@ -251,49 +265,90 @@ def unique_runs(parts: list[str], covered: np.ndarray) -> list[str]:
     return out if left >= TOKENS or not covered.any() else parts
 
 
-def boilerplate(unmarked: DataFrame) -> DataFrame:
-    """(owner, places): where strings begin that enough pages of a host share; input owner, host and blocks, an owner for each page."""
+def streamed(text: str, host: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a page's token stream that its strings of TOKENS words select, and 32 bits for the host and the head there."""
+    place, heads = selected(Words(text.encode()), TOKENS)
+    salted = mixed(heads ^ np.uint64(xxhash.xxh64_intdigest(host)))
+    return place, (salted >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """(owner, places): where strings begin that enough pages of a host share, out of owner, host, row and text.
+
+    The suffix array of a host's pages, sorted to the depth of TOKENS words, with the longest common prefixes of
+    neighbours. A string selects a place (a minimiser) by its own words, so pages that share it share the head at that
+    place; suffixes whose head too few pages have are left out before the sort.
+    """
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in filter(len, batches):
+            found = [np.unique(streamed(text, host)[1]) for host, text in zip(batch["host"], batch["text"], strict=True)]
+            weight = np.repeat(-(-WHOLE // batch["least"].to_numpy(np.int64)), [len(f) for f in found])
+            yield pd.DataFrame({"head": np.concatenate(found), "weight": weight})
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in filter(len, batches):
+            found = [streamed(text, host) for host, text in zip(batch["host"], batch["text"], strict=True)]
+            sizes = [len(place) for place, _ in found]
+            yield pd.DataFrame({
+                "owner": np.repeat(batch["owner"].to_numpy(np.int64), sizes), "place": np.concatenate([p for p, _ in found]).astype(np.int32),
+                "head": np.concatenate([h for _, h in found]),
+            })
+
+    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for owner, site, parts, least in zip(batch["owner"], batch["host"], batch["blocks"], batch["least"], strict=True):
-                words, _ = tokens_of(list(parts))
-                head = [xxhash.xxh64_intdigest("\0".join([site, *words[i : i + TOKENS]])) for i in range(len(words) - TOKENS + 1)]
-                if head:
-                    yield pd.DataFrame({"head": np.array(head, np.uint64).view(np.int64), "owner": owner, "place": np.arange(len(head), dtype=np.int32), "least": np.int32(least)})
-
-    pages = unmarked.dropDuplicates(["owner"])
+            for owner, host, text, least, starts in zip(*(batch[c] for c in ("owner", "host", "text", "least", "starts")), strict=True):
+                words = text.split(" ")
+                begin = {i for at in starts for i in range(at - TOKENS // 2 + 1, at + 1) if 0 <= i <= len(words) - TOKENS}
+                if begin:
+                    at = sorted(begin)
+                    suffix = [f"{host}\n{' '.join(words[i : i + TOKENS])}" for i in at]
+                    yield pd.DataFrame({"suffix": suffix, "owner": owner, "place": np.array(at, np.int32), "least": np.int32(least)})
+
+    # copies of a page on a host are one page: the first row stands for them
+    copies = pages.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("owner", "first")
+    single = pages.join(small_side(copies), "owner", "left").where("first IS NULL OR row = first").select("owner", "host", "text")
     enough = F.greatest(F.lit(PAGES), F.floor(F.count(F.lit(1)) * SHARE) + 1).cast("int")
-    hosts = small_side(unmarked.select("owner", "host").distinct().groupBy("host").agg(enough.alias("least")))
-    suffixes = stored(pages.join(hosts, "host").mapInPandas(heads, "head long, owner long, place int, least int"), "page-suffixes")
-    return shared_runs(suffixes, "head", "owner", "least").groupBy("owner").agg(F.collect_set("place").alias("places"))
+    hosts = small_side(pages.select("owner", "host").distinct().groupBy("host").agg(enough.alias("least")))
+    single = single.join(hosts, "host")
+    # a page weighs its part of the pages its host asks for, so one sum a head tells whether enough have it
+    common = single.mapInPandas(heads, "head int, weight long").groupBy("head").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= WHOLE)
+    kept = single.mapInPandas(places, "owner long, place int, head int").join(small_side(common.select("head")), "head", "left_semi")
+    starts = small_side(kept.groupBy("owner").agg(F.collect_list("place").alias("starts")))
+    array = stored(single.join(starts, "owner").mapInPandas(suffixes, "suffix string, owner long, place int, least int"), "page-suffixes")
+    return shared_runs(array, "suffix", "owner", "least", words=TOKENS).groupBy("owner").agg(F.collect_set("place").alias("places"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
     """One row per page: page_id, url, text and n_chars."""
 
-    @F.pandas_udf("level int, blocks array<string>")
+    @F.pandas_udf("marks array<int>, blocks array<string>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for contents in batches:
-            yield pd.DataFrame([blocks(c) for c in contents], columns=["level", "blocks"])
+            found = [marked_blocks(c) for c in contents]
+            yield pd.DataFrame({"marks": [[2 * a + m for a, m, _ in f] for f in found], "blocks": [[t for *_, t in f] for f in found]})
 
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(content).alias("html"))
     rows = rows.withColumn("host", F.coalesce(F.lower(F.try_parse_url(F.col("url"), F.lit("HOST"))), F.lit("")))
-    parsed = stored(rows.withColumn("read", read(F.coalesce("html", F.lit("")))).select("page_id", "url", "host", "read.level", "read.blocks"), "pages")
-    marked, unmarked = parsed.where("level > 0"), parsed.where("level = 0").withColumn("owner", row_key("host", "blocks"))
+    rows = rows.withColumn("read", read(F.coalesce("html", F.lit("")))).select("page_id", "url", "host", "read.marks", "read.blocks")
+    parsed = stored(rows.withColumns({"owner": row_key("host", "blocks"), "row": F.monotonically_increasing_id()}), "pages", compression="zstd")
 
     @F.pandas_udf("array<string>")
-    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for parts, places in batches:
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for marks, parts, places in batches:
             out = []
-            for p, shared in zip(parts, places, strict=True):
-                covered = np.zeros(sum(1 + x.count(" ") for x in p), bool)
+            for mark, p, shared in zip(marks, parts, places, strict=True):
+                found = [(m >= 2, m % 2 == 1, text) for m, text in zip(mark, p, strict=True)]
+                sizes = [1 + text.count(" ") for text in p]
+                covered = np.zeros(sum(sizes), bool)
                 for i in () if shared is None else shared:
                     covered[i : i + TOKENS] = True
-                out.append(unique_runs(list(p), covered))
+                gone = np.add.reduceat(covered.astype(np.int64), np.cumsum([0, *sizes[:-1]])) if sizes else []
+                level, texts = chosen(found, [2 * int(g) > n for g, n in zip(gone, sizes, strict=True)])
+                out.append(texts if level else unique_runs(texts, covered))
             yield pd.Series(out)
 
-    bare = unmarked.join(boilerplate(unmarked.select("owner", "host", "blocks")), "owner", "left")
-    every = marked.select("page_id", "url", "blocks").unionByName(bare.select("page_id", "url", kept("blocks", "places").alias("blocks")))
+    shared = small_side(boilerplate(parsed.select("owner", "host", "row", F.concat_ws(" ", "blocks").alias("text"))))
+    every = parsed.join(shared, "owner", "left").select("page_id", "url", kept("marks", "blocks", "places").alias("blocks"))
     text = F.concat_ws("\n", "blocks")
     return every.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -410,6 +410,28 @@ def test_articles_of_the_given_pages(spark):
     assert df.where("n_chars <> length(text) OR text RLIKE '  |^\\\\s|track\\\\('").count() == 0 and df.where("n_chars > 0").count() == 50
 
 
+def test_pages_that_mark_an_article_go_through_the_suffix_array(spark):
+    say = lambda tag, n: " ".join(f"{tag}w{k}" for k in range(n))
+    menu, same = say("menu", 90), say("same", 20)
+    pages = [(i, "https://a.example/", f"<p>{menu}</p><p>day {i}</p><article><p>{same}</p><p>{say(i, 30)}</p></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in webtext.extract(frame(spark, pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{same}\n{say(i, 30)}" for i in range(6)}  # the menu is more text than the article, but no text of the page
+    texts = [(i, f"h{i % 2}", i, f"{menu} {say(i, 30)}") for i in range(8)]
+    places = {r["owner"]: set(r["places"]) for r in webtext.boilerplate(frame(spark, texts, "owner long, host string, row long, text string")).collect()}
+    assert places == {i: set(range(83)) for i in range(8)}
+
+
+def test_neighbours_of_a_suffix_array_share_words(spark):
+    assert [runs.common_words(a, b) for a, b in (("a b c", "a b c"), ("a b c", "a b d"), ("a b", "ab b"), ("a", "a b"))] == [3, 2, 0, 1]
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("abc") for _ in range(4)), rng.randint(0, 9)) for _ in range(300)]
+    owners = defaultdict(set)
+    for key, owner in rows:
+        owners[" ".join(key.split(" ")[:4])].add(owner)
+    got = bag(runs.shared_runs(spark.createDataFrame(rows, "key string, owner long"), "key", "owner", 5, words=4), "key", "owner")
+    assert got == Counter(r for r in rows if len(owners[r[0]]) >= 5)
+
+
 STORY = "<p>The long story of the day.</p><p>It goes on for a while.</p>"
 TOLD = ["The long story of the day.", "It goes on for a while."]
 
